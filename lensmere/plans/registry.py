@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "language"]
+MODULES = ["retrieval", "language", "dialogue"]
 
 
 def registry() -> dict:
