@@ -52,9 +52,9 @@ def scope(df: DataFrame, text: str = "text", has_image: Column | None = None,
     """
     has_image = F.lit(False) if has_image is None else has_image
     in_conversation = F.lit(False) if in_conversation is None else in_conversation
-    t = X.trimmed(X.or_empty(F.col(text)))
-    low = F.lower(t)
-    n = X.word_count(low)
+    prepared = df.withColumn("_t", X.trimmed(X.or_empty(F.col(text)))).withColumn(
+        "_low", F.lower("_t")).withColumn("_n", X.word_count(F.col("_low")))
+    t, low, n = F.col("_t"), F.col("_low"), F.col("_n")
 
     def whole(pattern: str) -> Column:
         return t.rlike("(?i)^(?:" + pattern.replace("{name}", name) + ")$")
@@ -88,7 +88,7 @@ def scope(df: DataFrame, text: str = "text", has_image: Column | None = None,
     number = F.lit(lenient_rule)
     for i, (hit, *_) in reversed(list(enumerate(rules, start=1))):
         number = F.when(hit, F.lit(i)).otherwise(number)
-    staged = df.withColumn("_rule", number)
+    staged = prepared.withColumn("_rule", number)
     rule = F.col("_rule")
     if embedder is not None:
         staged = staged.withColumn("_open", (rule == lenient_rule) & (n >= 4))

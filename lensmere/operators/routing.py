@@ -38,54 +38,68 @@ def gate(queries: DataFrame, embedder: Embedder, roster: list = L.EXPERTS,
     q = X.trimmed(X.or_empty(F.col("text")))
     q = F.when(q == "", F.lit(L.GATE_EMPTY_QUERY)).otherwise(q)
     sims = prototype_similarity([e[2] for e in roster])
-    base = queries.withColumn("_low", F.lower(q)).withColumn("_sims", sims(embedder(q)))
-    boosts = []
-    for i, (_, _, _, keywords, modality, _) in enumerate(roster):
-        score = F.round(F.get("_sims", F.lit(i)), 6)
-        if keywords:
-            score = score + F.when(
-                X.contains_any(F.col("_low"), keywords), L.GATE_KEYWORD_BOOST).otherwise(0.0)
-        if modality:
-            score = score + F.when(
-                F.col("modality") == modality, L.GATE_MODALITY_BOOST).otherwise(0.0)
-        boosts.append(score)
-    base = base.withColumn("_scores", F.array(*boosts))
-    top = F.array_max("_scores")
-    base = base.withColumn("_exp", F.transform(
-        "_scores", lambda s: F.exp((s - top) / F.lit(max(1e-6, temperature)))))
-    total = F.aggregate("_exp", F.lit(0.0), lambda a, x: a + x)
-    base = base.withColumn("_weights", F.transform("_exp", lambda x: F.round(x / total, 9)))
-
-    # Order by weight, ties by place in the roster.
-    ordered = F.transform(
-        F.array_sort(F.transform("_weights", lambda w, i: F.struct((-w).alias("w"), i.alias("i")))),
-        lambda s: s["i"])
     default = next((i for i, e in enumerate(roster) if e[5]), None)
-    base = base.withColumn("_order", ordered)
-    strong = F.filter(
-        F.slice("_order", 1, top_k), lambda i: F.get("_weights", i) >= floor)
-    fallback = F.lit(default) if default is not None else F.element_at("_order", 1)
-    base = base.withColumn(
-        "_chosen", F.when(F.size(strong) > 0, strong).otherwise(F.array(fallback)))
-    guaranteed = F.col("_chosen")
-    for i, expert in enumerate(roster):
-        if expert[4]:
-            wanted = (F.col("modality") == expert[4]) & ~F.array_contains("_chosen", F.lit(i))
-            guaranteed = F.when(
-                wanted, F.concat(F.array(F.lit(i)), F.slice("_chosen", 1, top_k - 1))
-            ).otherwise(guaranteed)
-    base = base.withColumn("_final", guaranteed)
-    share = F.aggregate(
-        "_final", F.lit(0.0), lambda a, i: a + F.get("_weights", i))
+    base = queries.withColumn("_q", q).withColumn("_sims", sims(embedder(F.col("_q"))))
+
+    def boosted(low: Column) -> Column:
+        scores = []
+        for i, (_, _, _, keywords, modality, _) in enumerate(roster):
+            score = F.round(F.get("_sims", F.lit(i)), 6)
+            if keywords:
+                score = score + F.when(
+                    X.contains_any(low, keywords), L.GATE_KEYWORD_BOOST).otherwise(0.0)
+            if modality:
+                score = score + F.when(
+                    F.col("modality") == modality, L.GATE_MODALITY_BOOST).otherwise(0.0)
+            scores.append(score)
+        return F.array(*scores)
+
+    def softmax_weights(scores: Column) -> Column:
+        spread = F.lit(max(1e-6, temperature))
+        powers = X.bind(F.array_max(scores), lambda top: F.transform(
+            scores, lambda s: F.exp((s - top) / spread)))
+        return X.bind(powers, lambda ps: X.bind(
+            F.aggregate(ps, F.lit(0.0), lambda a, x: a + x),
+            lambda total: F.transform(ps, lambda x: F.round(x / total, 9))))
+
+    def by_weight(weights: Column) -> Column:
+        """Places in the roster, heaviest first; ties keep the roster's order."""
+        keyed = F.transform(weights, lambda w, i: F.struct((-w).alias("w"), i.alias("i")))
+        return F.transform(F.array_sort(keyed), lambda s: s["i"])
+
+    def chosen(weights: Column, order: Column) -> Column:
+        fallback = F.lit(default) if default is not None else F.element_at(order, 1)
+        strong = F.filter(F.slice(order, 1, top_k), lambda i: F.get(weights, i) >= floor)
+        return X.bind(strong, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(fallback)))
+
+    def with_modality(picked: Column) -> Column:
+        out = picked
+        for i, expert in enumerate(roster):
+            if expert[4]:
+                missing = (F.col("modality") == expert[4]) & ~F.array_contains(picked, F.lit(i))
+                out = F.when(
+                    missing, F.concat(F.array(F.lit(i)), F.slice(picked, 1, top_k - 1))
+                ).otherwise(out)
+        return out
+
+    def shares(weights: Column, picked: Column) -> Column:
+        total = F.aggregate(picked, F.lit(0.0), lambda a, i: a + F.get(weights, i))
+        return X.bind(total, lambda t: F.transform(picked, lambda i: F.struct(
+            i.alias("i"), F.round(F.get(weights, i) / t, 3).alias("weight"))))
+
+    def route(weights: Column) -> Column:
+        picked = X.bind(by_weight(weights), lambda order: chosen(weights, order))
+        return X.bind(X.bind(picked, with_modality), lambda p: shares(weights, p))
+
+    routed = X.bind(
+        X.bind(X.bind(F.lower("_q"), boosted), softmax_weights), route)
     names = F.array(*[F.lit(e[0]) for e in roster])
     lenses = F.array(*[F.lit(e[1]) for e in roster])
     return base.select(
-        "query_id", F.col("text").alias("query"), share.alias("_share"), "_weights",
-        F.posexplode("_final").alias("position", "_i"),
+        "query_id", F.col("text").alias("query"), F.posexplode(routed).alias("position", "_r"),
     ).select(
-        "query_id", "query", "position", F.get(names, F.col("_i")).alias("expert"),
-        F.get(lenses, F.col("_i")).alias("lens"),
-        F.round(F.get("_weights", F.col("_i")) / F.col("_share"), 3).alias("weight"),
+        "query_id", "query", "position", F.get(names, F.col("_r.i")).alias("expert"),
+        F.get(lenses, F.col("_r.i")).alias("lens"), F.col("_r.weight").alias("weight"),
     )
 
 
