@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "language", "dialogue"]
+MODULES = ["retrieval", "language", "dialogue", "corpora"]
 
 
 def registry() -> dict:
