@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lensmere.functions import text as X
 from lensmere.operators.running import running_count
@@ -47,7 +47,7 @@ def budget_chunks(budget: int = GENERAL_BUDGET, overlap: int = GENERAL_OVERLAP):
             return [text]
         return [" ".join(words[a:b]) for a, b in spans(words)]
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
     def chunks(texts: pa.Array) -> pa.Array:
         return pa.array([cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 

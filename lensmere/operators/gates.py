@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
@@ -116,7 +116,7 @@ def nearest_anchor(texts: list):
     """Highest similarity of a vector to a few fixed texts, as an Arrow function."""
     anchors = embed_constants(texts)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def nearest(vectors: pa.Array) -> pa.Array:
         flat = vectors.flatten().to_numpy(zero_copy_only=False)
         matrix = flat.reshape(len(vectors), -1) if len(flat) else np.zeros((len(vectors), 1))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from lensmere.functions import text as X
 
@@ -32,7 +32,7 @@ def bucket_and_sign(token: str, dim: int) -> tuple[int, int]:
 def hashing_embedder(dim: int = EMBEDDING_DIM, stopwords: list | None = None) -> Embedder:
     """Signed feature hashing of the index tokens, scaled to unit length."""
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def embed(tokens: pa.Array) -> pa.Array:
         n = len(tokens)
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)

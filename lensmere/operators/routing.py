@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
@@ -17,7 +17,7 @@ def prototype_similarity(texts: list):
     """Similarities of a vector to a few fixed texts, as one array per row."""
     prototypes = embed_constants(texts)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def similar(vectors: pa.Array) -> pa.Array:
         flat = vectors.flatten().to_numpy(zero_copy_only=False)
         scores = flat.reshape(len(vectors), prototypes.shape[1]) @ prototypes.T

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "language", "dialogue", "corpora"]
+MODULES = ["retrieval", "language", "dialogue", "corpora", "assembly"]
 
 
 def registry() -> dict:
