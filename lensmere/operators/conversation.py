@@ -20,7 +20,6 @@ TITLE_CHARS, RENAMED_TITLE_CHARS = 60, 80
 DEFAULT_TITLE, UNTITLED = "New chat", "Untitled"
 
 BLOCK_TURNS = 4096
-TURN_BLOCK = F.floor(F.col("turn") / BLOCK_TURNS)
 
 
 def context_messages(log: DataFrame) -> DataFrame:
@@ -67,7 +66,8 @@ def memory(log: DataFrame, turns: int = MEMORY_TURNS, chars: int = MEMORY_CHARS,
 def previous_text(log: DataFrame, role: str, name: str) -> DataFrame:
     """The last earlier message of a role, next to every message."""
     return last_before(
-        log, ["conv_id"], ["turn"], TURN_BLOCK, F.when(F.col("role") == role, F.col("text")), name)
+        log, ["conv_id"], ["turn"], F.floor(F.col("turn") / BLOCK_TURNS),
+        F.when(F.col("role") == role, F.col("text")), name)
 
 
 def fold_follow_ups(log: DataFrame) -> DataFrame:

@@ -44,17 +44,15 @@ def split_train_dev(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     ).drop("_h", "_place", "_size")
 
 
-def gold_ranks(gold: DataFrame, runs: DataFrame) -> DataFrame:
+def gold_ranks(gold: DataFrame, runs: DataFrame, conditions: list) -> DataFrame:
     """(condition, query_id, rank): place of the wanted document, 0 if absent.
 
     ``gold``: (query_id, doc_id); ``runs``: (condition, query_id, doc_id, rank).
     """
-    conditions = runs.select("condition").distinct()
     found = runs.join(gold, ["query_id", "doc_id"]).groupBy("condition", "query_id").agg(
         F.min("rank").alias("rank"))
-    # The conditions of an experiment are a handful; each query gets all of them.
-    names = conditions.agg(F.array_sort(F.collect_list("condition")).alias("c")).scalar()
-    every = gold.select("query_id", F.explode(names).alias("condition"))
+    every = gold.select(
+        "query_id", F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"))
     return every.join(found, ["condition", "query_id"], "left").select(
         "condition", "query_id", F.coalesce("rank", F.lit(0)).alias("rank"))
 
@@ -92,8 +90,10 @@ def bootstrap(pairs: DataFrame, key: str = "query_id", iterations: int = ITERATI
 
     Draw j of iteration i picks the row numbered hash(i, j, seed) mod n.  Rows
     with equal pairs are interchangeable, so draws are joined to their row and
-    reduced to one sum per iteration before anything is gathered.
+    reduced to one sum per iteration before anything is gathered.  The pairs
+    (one row per query) are read three times and therefore kept.
     """
+    pairs = pairs.persist()
     n = pairs.agg(F.count("*").alias("n")).scalar()
     numbered = running_count(
         pairs.withColumn("_h", shuffle_key(F.col(key), seed)), [], ["_h", key],

@@ -15,22 +15,27 @@ RERANK_SKIP = 0.86
 
 
 def reciprocal_rank_fusion(lists: list, k: int = RRF_K) -> DataFrame:
-    """Fuse (query_id, doc_id, rank) lists.
+    """Fuse (query_id, doc_id, rank, score) lists.
 
     Equal scores keep the order of first appearance: earlier list, then rank.
+    ``first_list_score`` is the score a document had in the first list, so the
+    first list need not be joined back.
     """
     tagged = None
     for number, one in enumerate(lists):
-        part = one.select("query_id", "doc_id", "rank", F.lit(number).alias("list_no"))
+        part = one.select("query_id", "doc_id", "rank", F.lit(number).alias("list_no"),
+                          F.when(F.lit(number == 0), F.col("score")).alias("first"))
         tagged = part if tagged is None else tagged.unionByName(part)
     fused = tagged.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 9).alias("score"),
         F.min(F.struct("list_no", "rank")).alias("first_seen"),
+        F.max("first").alias("first_list_score"),
     )
     order = W.partitionBy("query_id").orderBy(
         F.col("score").desc(), F.col("first_seen").asc(), F.col("doc_id").asc())
     return fused.select(
-        "query_id", "doc_id", "score", F.row_number().over(order).alias("rank"))
+        "query_id", "doc_id", "score", F.row_number().over(order).alias("rank"),
+        "first_list_score")
 
 
 def hybrid(queries: DataFrame, docs: DataFrame, embedder: Embedder, k: int = 10,
@@ -50,20 +55,16 @@ def hybrid(queries: DataFrame, docs: DataFrame, embedder: Embedder, k: int = 10,
     d = dense.search(
         queries.select("query_id", embedder(F.col("text")).alias("embedding")), vectors, pool)
     s = lexical.search(queries, docs, pool)
+    limit = pool_size or max(3 * k, k)
     fused = reciprocal_rank_fusion([d, s]).withColumnRenamed("score", "fused")
     if excluded:
         keep = docs.filter(~F.trim("category").isin(excluded)).select("doc_id")
         fused = fused.join(keep, "doc_id", "left_semi")
-    limit = pool_size or max(3 * k, k)
-    order = W.partitionBy("query_id").orderBy("rank")
-    pooled = (
-        fused.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= limit).drop("rank").withColumnRenamed("position", "rank")
-    )
-    scored = pooled.join(
-        d.select("query_id", "doc_id", F.col("score").alias("dense")),
-        ["query_id", "doc_id"], "left",
-    ).withColumn("score", F.coalesce("dense", F.lit(0.0)))
+    scored = fused.withColumn("score", F.coalesce("first_list_score", F.lit(0.0)))
+    if excluded:
+        place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+        scored = scored.withColumn("_place", place).drop("rank").withColumnRenamed("_place", "rank")
+    scored = scored.filter(F.col("rank") <= limit)
     if min_score is not None:
         scored = scored.filter(F.col("score") >= min_score)
     return scored.select("query_id", "doc_id", "rank", "fused", "score")
@@ -73,28 +74,26 @@ def top(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def rerank(pool: DataFrame, queries: DataFrame, docs: DataFrame, reranker: Reranker, k: int,
-           skip_at: float | None = None) -> DataFrame:
+def rerank(pool: DataFrame, queries: DataFrame, docs: DataFrame, reranker: Reranker,
+           k: int | None = None, skip_at: float | None = None) -> DataFrame:
     """Reorder a pool by a reranker; passage text is joined only for the pool.
 
     With ``skip_at``, queries whose best score reaches it keep their order and
-    their passages never reach the reranker.
+    their passages never reach the reranker.  ``rank`` stays next to
+    ``final_rank``; ``k`` limits the latter.
     """
     best = F.max("score").over(W.partitionBy("query_id"))
     marked = pool.withColumn(
-        "skip", (best >= skip_at) if skip_at is not None else F.lit(False))
-    texts = (
-        marked.filter(~F.col("skip"))
-        .join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id")
-        .join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        .withColumn("rerank", F.round(reranker(F.col("query"), F.col("passage")), 6))
-        .drop("query", "passage")
-    )
-    kept = marked.filter("skip").withColumn("rerank", F.lit(None).cast("double"))
+        "_open", (best < skip_at) if skip_at is not None else F.lit(True))
+    wanted = F.when(F.col("_open"), F.col("doc_id"))
+    texts = marked.withColumn("_wanted", wanted).join(
+        docs.select(F.col("doc_id").alias("_wanted"), F.col("text").alias("_passage")),
+        "_wanted", "left",
+    ).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    score = F.when(F.col("_open"), F.round(reranker(F.col("_query"), F.col("_passage")), 6))
     order = W.partitionBy("query_id").orderBy(
         F.col("rerank").desc_nulls_last(), F.col("rank").asc())
-    return (
-        texts.unionByName(kept)
-        .withColumn("final_rank", F.row_number().over(order))
-        .filter(F.col("final_rank") <= k)
-    )
+    ranked = texts.withColumn("rerank", score).drop(
+        "_open", "_wanted", "_passage", "_query").withColumn(
+        "final_rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("final_rank") <= k)

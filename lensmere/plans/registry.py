@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "language", "dialogue", "corpora", "assembly"]
+MODULES = ["retrieval", "language", "dialogue", "corpora", "assembly", "measures", "ingest"]
 
 
 def registry() -> dict:

@@ -217,7 +217,8 @@ def rrf_fuse(spark, sf):
     dense_hits = dense.search(
         q.select("query_id", EMBED(F.col("text")).alias("embedding")),
         d.select("doc_id", EMBED(F.col("text")).alias("embedding")), K)
-    return fusion.reciprocal_rank_fusion([dense_hits, lexical.search(q, d, K)])
+    return fusion.reciprocal_rank_fusion([dense_hits, lexical.search(q, d, K)]).drop(
+        "first_list_score")
 
 
 def hybrid_topk(spark, sf):
