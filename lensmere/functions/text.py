@@ -140,18 +140,32 @@ def contextual_embedding_text(context: Column, text: Column) -> Column:
 
 def snippet(c: Column, limit: int = 400) -> Column:
     """At most ``limit`` characters, ending at a sentence if one ends late enough."""
-    head = trimmed(F.substring(c, 1, limit))
-    flipped = F.reverse(head)
+    def ended(head: Column) -> Column:
+        flipped = F.reverse(head)
 
-    def last(mark: str) -> Column:
-        at = F.instr(flipped, " " + mark)
-        return F.when(at > 0, F.length(head) - at - 1).otherwise(F.lit(-1))
+        def last(mark: str) -> Column:
+            at = F.instr(flipped, " " + mark)
+            return F.when(at > 0, F.length(head) - at - 1).otherwise(F.lit(-1))
 
-    cut = F.greatest(last("."), last("?"), last("!"))
-    return F.when(
-        (F.length(c) > limit) & (cut >= limit // 3),
-        F.substring(head, F.lit(1), cut + 1),
-    ).otherwise(head)
+        return bind(F.greatest(last("."), last("?"), last("!")), lambda cut: F.when(
+            (F.length(c) > limit) & (cut >= limit // 3),
+            F.substring(head, F.lit(1), cut + 1)).otherwise(head))
+
+    return bind(trimmed(F.substring(c, 1, limit)), ended)
+
+
+def split_prompt(c: Column, marker: str) -> Column:
+    """A prompt cut at a marker into its system and its user part."""
+    at = F.instr(c, marker)
+    return F.when(at > 0, F.struct(
+        trimmed(F.substring(c, F.lit(1), at - 1)).alias("system"),
+        trimmed(F.substring(c, at, F.length(c))).alias("user"),
+    )).otherwise(F.struct(F.lit("").alias("system"), c.alias("user")))
+
+
+def percent(c: Column) -> Column:
+    """A share as a whole percentage, halves to even."""
+    return F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
 def shortened(c: Column, limit: Column | int) -> Column:

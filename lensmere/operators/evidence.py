@@ -65,8 +65,10 @@ def evidence_block(passages: DataFrame, directive: DataFrame | None = None,
     s = passages.filter(F.col("rank") <= limit).select(
         "query_id", "rank", X.snippet(X.or_empty(F.col("text")), chars).alias("snippet"))
     one = W.partitionBy("query_id", F.lower("snippet")).orderBy("rank")
-    lines = s.filter("snippet <> ''").withColumn("_n", F.row_number().over(one)).filter(
-        "_n = 1").select("query_id", "rank", F.concat(F.lit("- "), "snippet").alias("piece"))
+    # Empty snippets are dropped after the window: before it, the filter would be
+    # pushed to the corpus and the snippet computed for every document.
+    lines = s.withColumn("_n", F.row_number().over(one)).filter(
+        "_n = 1 AND snippet <> ''").select("query_id", "rank", F.concat(F.lit("- "), "snippet").alias("piece"))
     block = _ordered_text(lines, "evidence", "\n")
     for extra, column in ((findings, "findings"), (directive, "directive")):
         if extra is not None:

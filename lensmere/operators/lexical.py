@@ -34,13 +34,19 @@ def postings(toks: DataFrame) -> DataFrame:
 
 
 def document_frequency(toks: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with the term and occurrences overall."""
-    per_task = toks.select(
-        F.explode(F.array_distinct("tokens")).alias("term"),
-    ).groupBy("term").agg(F.count("*").alias("df"))
-    occurrences = toks.select(F.explode("tokens").alias("term")).groupBy("term").agg(
-        F.count("*").alias("cf"))
-    return per_task.join(occurrences, "term")
+    """(term, df, cf): documents with the term and occurrences overall.
+
+    Each document gives its tokens and, marked, its distinct tokens, so both
+    counts come from one scan and one shuffle.
+    """
+    marked = F.concat(
+        F.transform("tokens", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct("tokens"),
+                    lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"))))
+    return toks.select(F.explode(marked).alias("m")).select(
+        F.col("m.t").alias("term"), F.col("m.d").cast("bigint").alias("d"),
+    ).groupBy("term").agg(
+        F.sum("d").alias("df"), F.sum(F.lit(1) - F.col("d")).alias("cf"))
 
 
 def capped_vocabulary(df: DataFrame, cap: int = VOCABULARY_CAP) -> DataFrame:

@@ -138,7 +138,7 @@ def gather(routed: DataFrame, docs: DataFrame, embedder: Embedder,
 
 def directive(routed: DataFrame) -> DataFrame:
     """(query_id, directive): the chosen experts and their shares in words."""
-    part = F.concat("expert", F.lit(" ("), F.round(F.col("weight") * 100).cast("int"), F.lit("%)"))
+    part = F.concat("expert", F.lit(" ("), X.percent(F.col("weight")), F.lit(")"))
     return routed.select("query_id", "position", part.alias("part")).groupBy("query_id").agg(
         F.concat(
             F.lit(L.DIRECTIVE_HEAD),

@@ -204,7 +204,7 @@ ROUTE_SQL = f"WITH {_route_ctes(UQ)} SELECT query_id, position, expert, weight F
 LENS_SQL = f"""WITH {_route_ctes(UQ)} SELECT query_id, position, expert,
  replace(lens, '{{q}}', query) AS text FROM routed"""
 DIRECTIVE_SQL = f"""WITH {_route_ctes(UQ)} SELECT query_id, {Q.lit(L.DIRECTIVE_HEAD)} ||
- string_agg(expert || ' (' || round(weight * 100)::INT || '%)', ', ' ORDER BY position)
+ string_agg(expert || ' (' || round_even(weight * 100, 0)::INT || '%)', ', ' ORDER BY position)
  || {Q.lit(L.DIRECTIVE_TAIL)} AS directive FROM routed GROUP BY query_id"""
 LOAD_SQL = f"""WITH {_route_ctes(UQ)} SELECT expert, count(*) AS n,
  round(avg(weight), 6) AS mean_weight FROM routed GROUP BY expert"""

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import SparkSession, functions as F
 
 from lensmere.functions import text as X
-from lensmere.operators import corpus
+from lensmere.operators import answer, corpus, dense, findings, models
 from lensmere.plans import assembly
 from lensmere.plans import sql as Q
+from lensmere.plans import utterances as U
 from lensmere.session import checkpoint_folder
 from lensmere.sources import readers, templates, writers
 from lensmere.streaming import streams
-from lensmere.tables import table
+from lensmere.tables import spread, table
 
 
 def _escaped(c):
@@ -148,6 +149,72 @@ def reply_frames(spark, sf):
     return streams.dialogue_frames(assembly.reply_texts(spark, sf))
 
 
+def _findings(spark, sf):
+    """Mean value per user and event type as the findings of an image."""
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(
+        F.round(F.avg("value") / 40, 4).alias("probability"))
+    return e.select(
+        F.col("user_id").alias("image_id"),
+        F.when(F.col("user_id") % 3 == 0, "skin").otherwise("chest_xray").alias("modality"),
+        F.when(F.col("event_type") == "click", "Effusion").otherwise(
+            F.concat(F.lit("old_"), "event_type")).alias("label"),
+        F.least("probability", F.lit(1.0)).alias("probability"))
+
+
+def top_findings(spark, sf):
+    return findings.top_findings(_findings(spark, sf), 0.6).select(
+        "image_id", "place", "label", "probability")
+
+
+def finding_wording(spark, sf):
+    return findings.wording(_findings(spark, sf), 0.6)
+
+
+def image_modality(spark, sf):
+    """Modality by saturation of images whose pixels come from part sizes."""
+    p = table(spark, sf, "part")
+    pixel = F.struct(F.col("p_size").alias("r"), (F.col("p_size") + F.col("p_partkey") % 9).alias("g"),
+                     (F.col("p_size") % 7 + 40).alias("b"))
+    pixels = F.array(pixel, F.struct(pixel["b"].alias("r"), pixel["b"].alias("g"), pixel["b"].alias("b")))
+    return p.select("p_partkey", F.round(findings.mean_saturation(pixels), 6).alias("saturation"),
+                    findings.modality(pixels).alias("modality"))
+
+
+def result_rows(spark, sf):
+    """The columns shown for a passage; question and answer only for QA pairs."""
+    d = table(spark, sf, "documents")
+    none = F.lit(None).cast("string")
+    chunks = d.select(
+        F.concat(F.lit("chunk_"), "doc_id").alias("id"), "text", "source", F.col("lang").alias("category"),
+        none.alias("url"), F.when(F.col("doc_id") % 4 == 0, "QA_pair").otherwise("note").alias("type"),
+        X.token_estimate(F.col("text")).alias("token_count"),
+        F.when(F.col("doc_id") % 9 == 0, "42").alias("rxcui"), F.col("lang").alias("question"),
+        F.col("source").alias("answer"))
+    return dense.result_projection(chunks)
+
+
+def prompt_split(spark, sf):
+    d = table(spark, sf, "documents")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(
+        F.substring("text", 1, 50), F.lit(" \nCONVERSATION MEMORY:\n"), "lang")).otherwise(F.col("lang"))
+    return d.select("doc_id", X.split_prompt(marked, "CONVERSATION MEMORY:").alias("p")).select(
+        "doc_id", "p.system", "p.user")
+
+
+def answer_context(spark, sf):
+    """The whole way from the newest message of a conversation to its prompt."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return answer.answer_context(U.utterances(spark, sf), d, models.hashing_embedder())
+
+
+def retrieve_by_intent(spark, sf):
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("category")))
+    m = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(
+            F.when(F.col("item_id") % 2 == 0, "which dose of drug ").otherwise("why "), "text").alias("text"))
+    return answer.retrieve_by_intent(m, d, models.hashing_embedder(), "src2")
+
+
 # --- streams --------------------------------------------------------------
 
 def _run_folder(spark: SparkSession) -> str:
@@ -234,7 +301,50 @@ STREAM_SQL = """SELECT user_id AS session_id, count(*) AS queries, max(ts) AS la
 AUDIT_SQL = """SELECT event_type AS event, ts::DATE AS day, count(*) AS n, sum(event_id)::BIGINT AS id_sum
 FROM events GROUP BY ALL"""
 
+FIND = """f AS (SELECT user_id AS image_id, CASE WHEN user_id % 3 = 0 THEN 'skin' ELSE 'chest_xray' END AS modality,
+  CASE WHEN event_type = 'click' THEN 'Pleural effusion' ELSE 'Old ' || upper(event_type[1]) || event_type[2:] END AS label,
+  least(round(avg(value) / 40, 4), 1) AS probability FROM events GROUP BY user_id, event_type),
+ r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY probability DESC, label) AS place FROM f),
+ t AS (SELECT *, CASE WHEN modality = 'skin' THEN place = 1 ELSE probability >= 0.6 END AS top FROM r)"""
+TOP_SQL = f"WITH {FIND} SELECT image_id, place, label, probability FROM t WHERE top"
+WORD_SQL = f"""WITH {FIND}, k AS (SELECT image_id, CASE modality WHEN 'skin' THEN 'skin image' ELSE 'chest radiograph' END AS kind,
+  bool_or(top) AS any_top, string_agg(label || ' (' || round_even(probability * 100, 0)::INT || '%)', ', ' ORDER BY place) FILTER (top) AS share,
+  max(label || ' at ' || round_even(probability * 100, 0)::INT || '%') FILTER (place = 1) AS best,
+  string_agg(label || ' ' || printf('%.2f', round_even(probability, 2)), '; ' ORDER BY place) FILTER (top) AS tl,
+  string_agg(label || ' ' || printf('%.2f', round_even(probability, 2)), '; ' ORDER BY place) FILTER (place <= 3) AS fl
+  FROM t GROUP BY ALL)
+SELECT image_id, CASE WHEN any_top THEN 'Leading ' || kind || ' finding(s): ' || share || '. Model screening estimate, not a diagnosis.'
+ ELSE 'No findings reached the reporting threshold. Highest estimate: ' || best || '. Screening estimate, not a diagnosis.' END AS summary,
+ 'Automated ' || kind || ' analysis (model-estimated probabilities, for reasoning only, not a diagnosis): '
+ || CASE WHEN any_top THEN tl ELSE fl END || '. Values near or below 0.5 are uncertain.' AS block FROM k"""
+MODALITY_SQL = """WITH p AS (SELECT p_partkey, p_size AS r, p_size + p_partkey % 9 AS g, p_size % 7 + 40 AS b FROM part),
+ s AS (SELECT p_partkey, round(floor((greatest(r, g, b) - least(r, g, b)) * 255 / greatest(r, g, b)) / 2, 6) AS saturation FROM p)
+SELECT p_partkey, saturation, CASE WHEN saturation < 25 THEN 'chest_xray' ELSE 'skin' END AS modality FROM s"""
+RESULT_SQL = """SELECT 'chunk_' || doc_id AS chunk_id, text, source, lang AS category, '' AS url,
+ CASE WHEN doc_id % 4 = 0 THEN 'QA_pair' ELSE 'note' END AS type, (len(text) // 4)::INT AS token_count,
+ CASE WHEN doc_id % 9 = 0 THEN '42' END AS rxcui, CASE WHEN doc_id % 4 = 0 THEN lang END AS question,
+ CASE WHEN doc_id % 4 = 0 THEN source END AS answer FROM documents"""
+SPLIT_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {Q.trimmed('substr(text, 1, 50)')} ELSE '' END AS system,
+ CASE WHEN doc_id % 2 = 0 THEN 'CONVERSATION MEMORY:' || chr(10) || lang ELSE lang END AS "user" FROM documents"""
+INTENT_SQL = f"""WITH m AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'which dose of drug '
+  ELSE 'why ' END || text AS text FROM benchmark),
+ i AS (SELECT query_id, {Q.first_rule('lower(text)', X.L.INTENT_RULES, "'qa'")} AS intent FROM m),
+ dv AS ({Q.embedding('documents', 'doc_id')}), qv AS ({Q.embedding('m', 'query_id')}),
+ {Q.dense('qv', 'dv', 15, 'pool', 0.2)},
+ sp AS (SELECT p.query_id, doc_id, score, row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, doc_id) AS place
+   FROM pool p JOIN documents USING (doc_id) JOIN i ON i.query_id = p.query_id
+   WHERE source = 'src2' AND intent = 'medication' QUALIFY place <= 3)
+SELECT query_id, doc_id, score, place AS rank, 'category' AS found_by FROM sp UNION ALL
+SELECT query_id, doc_id, score, rank, 'all' FROM pool WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM sp)"""
+
 REGISTRY = {
+    "top_findings": (top_findings, TOP_SQL),
+    "finding_wording": (finding_wording, WORD_SQL),
+    "image_modality": (image_modality, MODALITY_SQL),
+    "result_rows": (result_rows, RESULT_SQL),
+    "prompt_split": (prompt_split, SPLIT_SQL),
+    "answer_context": (answer_context, None),
+    "retrieve_by_intent": (retrieve_by_intent, INTENT_SQL),
     "qa_xml_pairs": (qa_xml_pairs, XML_SQL),
     "json_records": (json_records, RECORDS_SQL),
     "json_record_fields": (json_record_fields, FIELDS_SQL),
