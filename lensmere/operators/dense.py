@@ -82,7 +82,7 @@ def _search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, min_score: f
                       out: T.StructType) -> DataFrame:
     spark = corpus.sparkSession
     shared = spark.sparkContext.broadcast(
-        (queries["query_id"].to_pylist(), _matrix(queries["embedding"]))
+        (queries["query_id"].combine_chunks(), _matrix(queries["embedding"]))
     )
 
     def scan(batches):
@@ -97,7 +97,7 @@ def _search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, min_score: f
                   _matrix(batch.column("embedding")), min_score)
         if schema is not None and best.ids is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([query_ids[i] for i in best.query]), pa.array(best.ids, schema),
+                [query_ids.take(pa.array(best.query)), pa.array(best.ids, schema),
                  pa.array(best.scores)],
                 ["query_id", "doc_id", "score"],
             )

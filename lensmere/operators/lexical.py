@@ -157,11 +157,11 @@ def _term_counts(toks: DataFrame, terms: list) -> dict:
             n_docs += len(lengths)
             total += int(lengths.sum())
         seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({
-            "term": [None] + [value_set[int(i)].as_py() for i in seen],
-            "df": [n_docs] + df[seen].tolist(),
-            "total": [total] + [0] * len(seen),
-        })
+        yield pa.RecordBatch.from_arrays([
+            pa.array([None] + value_set.take(pa.array(seen)).to_pylist(), pa.string()),
+            pa.array([n_docs] + df[seen].tolist(), pa.int64()),
+            pa.array([total] + [0] * len(seen), pa.int64()),
+        ], ["term", "df", "total"])
 
     counted = (
         toks.select("tokens").mapInArrow(count, "term string, df bigint, total bigint")
@@ -180,6 +180,7 @@ def _scores_by_scan(pairs: pa.Table, toks: DataFrame, k: int, docs: DataFrame,
     ])
     spark = toks.sparkSession
     query_ids = sorted(set(pairs["query_id"].to_pylist()))
+    id_column = pa.array(query_ids, pairs["query_id"].type)
     terms = sorted(set(pairs["term"].to_pylist()))
     if not terms:
         return spark.createDataFrame([], out)
@@ -197,7 +198,7 @@ def _scores_by_scan(pairs: pa.Table, toks: DataFrame, k: int, docs: DataFrame,
     by_term = pair_query[order]
     starts = np.searchsorted(pair_term[order], np.arange(len(terms) + 1))
     shared = spark.sparkContext.broadcast(
-        (query_ids, terms, weights, by_term, starts, float(avgdl)))
+        (id_column, terms, weights, by_term, starts, float(avgdl)))
 
     def scan(batches):
         query_ids, terms, weights, by_term, starts, avgdl = shared.value
@@ -225,7 +226,7 @@ def _scores_by_scan(pairs: pa.Table, toks: DataFrame, k: int, docs: DataFrame,
                                 scores, scores != 0)
         if best.ids is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([query_ids[i] for i in best.query]), pa.array(best.ids, id_type),
+                [query_ids.take(pa.array(best.query)), pa.array(best.ids, id_type),
                  pa.array(best.scores)],
                 ["query_id", "doc_id", "score"],
             )
