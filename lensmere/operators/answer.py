@@ -8,6 +8,7 @@ from lensmere.functions import text as X
 from lensmere.operators import conversation, evidence, gates, routing, symptoms, tree
 from lensmere.operators.corpus import union
 from lensmere.operators.models import Embedder, no_hypotheticals
+from lensmere.operators.pools import join_pool
 
 
 def newest(log: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def answer_context(log: DataFrame, docs: DataFrame, embedder: Embedder,
     leaf = routed.withColumn("query", F.when(
         X.or_empty(generated) != "", F.concat("query", F.lit("\n"), generated)).otherwise(F.col("query")))
     pool = routing.gather(leaf, docs, embedder)
-    found = pool.join(docs.select("doc_id", "text", "source"), "doc_id").select(
+    texts = join_pool(pool, docs.select("doc_id", "text", "source"), asked, routing.POOLED)
+    found = texts.select(
         "query_id", F.col("place").alias("rank"), "text", "source", F.lit(1).alias("tier"))
     if nodes is not None:
         top = tree.overview(asked, nodes, embedder).select(

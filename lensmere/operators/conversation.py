@@ -84,9 +84,9 @@ def listing(log: DataFrame) -> DataFrame:
     """(conv_id, title, last_turn, message_count), latest first."""
     blank = X.trimmed("text") == ""
     first_user = F.min_by(
-        X.trimmed("text"), F.when((F.col("role") == "user") & ~blank, F.col("turn")))
+        F.substring(X.trimmed("text"), 1, TITLE_CHARS), F.when((F.col("role") == "user") & ~blank, F.col("turn")))
     return log.groupBy("conv_id").agg(
-        F.coalesce(F.substring(first_user, 1, TITLE_CHARS), F.lit(DEFAULT_TITLE)).alias("title"),
+        F.coalesce(first_user, F.lit(DEFAULT_TITLE)).alias("title"),
         F.max("turn").alias("last_turn"), F.count("*").alias("message_count"),
     ).orderBy(F.col("last_turn").desc(), "conv_id")
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lensmere.functions import vectors as V
+from lensmere.operators.pools import join_pool
 from lensmere.operators.topk import BestPerQuery
 
 # Query vectors up to this many bytes travel to every task; more are split
@@ -137,9 +138,10 @@ def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, min_score: floa
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, out)
 
 
-def exclude_categories(hits: DataFrame, attributes: DataFrame, excluded: list) -> DataFrame:
+def exclude_categories(hits: DataFrame, attributes: DataFrame, excluded: list,
+                       queries: DataFrame, k: int) -> DataFrame:
     """Drop hits of unwanted categories after the top-k, so fewer rows may remain."""
-    return hits.join(attributes, "doc_id").filter(
+    return join_pool(hits, attributes, queries, k).filter(
         ~F.coalesce(F.trim(F.col("category").cast("string")), F.lit("")).isin(excluded)
     )
 
@@ -148,7 +150,8 @@ def search_category(queries: DataFrame, corpus: DataFrame, category, k: int,
                     min_score: float | None = None) -> DataFrame:
     """A pool of 5k hits restricted to a category, then the best k of those."""
     pool = search(queries, corpus, max(5 * k, k), min_score)
-    kept = pool.join(corpus.select("doc_id", "category"), "doc_id").filter(
+    named = join_pool(pool, corpus.select("doc_id", "category"), queries, 5 * k)
+    kept = named.filter(
         F.trim(F.col("category").cast("string")) == F.lit(str(category).strip())
     )
     return rank(kept.drop("rank"), k)

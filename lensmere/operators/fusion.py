@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lensmere.operators import dense, lexical
 from lensmere.operators.models import Embedder, Reranker
+from lensmere.operators.pools import join_pool
 
 # Fusion constant, pool sizes, rerank settings.
 RRF_K = 60
@@ -58,8 +59,8 @@ def hybrid(queries: DataFrame, docs: DataFrame, embedder: Embedder, k: int = 10,
     limit = pool_size or max(3 * k, k)
     fused = reciprocal_rank_fusion([d, s]).withColumnRenamed("score", "fused")
     if excluded:
-        keep = docs.filter(~F.trim("category").isin(excluded)).select("doc_id")
-        fused = fused.join(keep, "doc_id", "left_semi")
+        fused = join_pool(fused, docs.select("doc_id", "category"), queries, 2 * pool).filter(
+            ~F.coalesce(F.trim("category"), F.lit("")).isin(excluded)).drop("category")
     scored = fused.withColumn("score", F.coalesce("first_list_score", F.lit(0.0)))
     if excluded:
         place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
@@ -79,21 +80,20 @@ def rerank(pool: DataFrame, queries: DataFrame, docs: DataFrame, reranker: Reran
     """Reorder a pool by a reranker; passage text is joined only for the pool.
 
     With ``skip_at``, queries whose best score reaches it keep their order and
-    their passages never reach the reranker.  ``rank`` stays next to
+    the reranker is not called for them.  ``rank`` stays next to
     ``final_rank``; ``k`` limits the latter.
     """
     best = F.max("score").over(W.partitionBy("query_id"))
     marked = pool.withColumn(
         "_open", (best < skip_at) if skip_at is not None else F.lit(True))
-    wanted = F.when(F.col("_open"), F.col("doc_id"))
-    texts = marked.withColumn("_wanted", wanted).join(
-        docs.select(F.col("doc_id").alias("_wanted"), F.col("text").alias("_passage")),
-        "_wanted", "left",
+    texts = join_pool(
+        marked, docs.select("doc_id", F.col("text").alias("_passage")), queries, 2 * POOL,
     ).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
-    score = F.when(F.col("_open"), F.round(reranker(F.col("_query"), F.col("_passage")), 6))
+    shown = F.when(F.col("_open"), F.col("_passage"))
+    score = F.when(F.col("_open"), F.round(reranker(F.col("_query"), shown), 6))
     order = W.partitionBy("query_id").orderBy(
         F.col("rerank").desc_nulls_last(), F.col("rank").asc())
     ranked = texts.withColumn("rerank", score).drop(
-        "_open", "_wanted", "_passage", "_query").withColumn(
+        "_open", "_passage", "_query").withColumn(
         "final_rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("final_rank") <= k)

@@ -8,6 +8,7 @@ from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
 from lensmere.operators import (conversation, evidence, explain, lexical, replies, safety,
                                 symptoms)
+from lensmere.operators.pools import join_pool
 from lensmere.operators.running import running_count
 from lensmere.plans import sql as Q
 from lensmere.plans import utterances as U
@@ -21,7 +22,7 @@ def passages(spark, sf):
     """The BM25 pool of every benchmark query with its texts."""
     hits = lexical.search(queries(spark, sf), docs(spark, sf), POOL)
     d = table(spark, sf, "documents").select("doc_id", "text", "source", F.col("lang").alias("category"))
-    return hits.join(d, "doc_id")
+    return join_pool(hits, d, queries(spark, sf), POOL)
 
 
 PASSAGES = f"""{QUERIES_CTE}, {Q.bm25('documents', 'q', POOL)},

@@ -125,7 +125,8 @@ def dense_min_score(spark, sf):
 def dense_exclude_category(spark, sf):
     hits = dense.search(vector_queries(spark, sf), vectors(spark, sf), K)
     kept = dense.exclude_categories(
-        hits, vectors(spark, sf).select("doc_id", "category"), ["1", "2"])
+        hits, vectors(spark, sf).select("doc_id", "category"), ["1", "2"],
+        vector_queries(spark, sf), K)
     return kept.select("query_id", "doc_id", "score", "rank")
 
 
