@@ -49,6 +49,10 @@ def compare(spark, con, folder, run, sql):
     df = run(spark, folder)
     rows = df.collect()
     spark_seconds = time.time() - t
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    crossed = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+    if crossed:
+        return len(rows), None, f"plan has {crossed}", spark_seconds, 0.0
     if sql is None:
         return len(rows), None, None, spark_seconds, 0.0
     t = time.time()
