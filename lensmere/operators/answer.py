@@ -45,14 +45,15 @@ def answer_context(log: DataFrame, docs: DataFrame, embedder: Embedder,
     ``modality``: (conv_id, modality) of an attached image.  Messages outside
     the scope have no prompt.
     """
-    messages = screened(log, embedder)
+    # One row per conversation, read by every step below.
+    messages = screened(log, embedder).persist()
     open_ = searched(messages)
     asked = open_.select(F.col("conv_id").alias("query_id"), F.col("query").alias("text"))
     if modality is None:
         with_image = asked.withColumn("modality", F.lit(None).cast("string"))
     else:
         with_image = asked.join(modality.withColumnRenamed("conv_id", "query_id"), "query_id", "left")
-    routed = routing.gate(with_image, embedder)
+    routed = routing.gate(with_image, embedder).persist()
     generated = hypothetical(F.col("query"))
     leaf = routed.withColumn("query", F.when(
         X.or_empty(generated) != "", F.concat("query", F.lit("\n"), generated)).otherwise(F.col("query")))

@@ -68,17 +68,27 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | Non
         T.StructField("doc_id", corpus.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    head = queries.limit(1).toArrow()
-    dim = len(head["embedding"][0]) if head.num_rows else 1
-    most = max(1, broadcast_bytes // (8 * dim))
-    sample = queries.limit(most + 1).toArrow()
-    if sample.num_rows > most:
+    sample, most = bounded_table(queries, broadcast_bytes)
+    if sample is None:
         found = _search_cells(queries, corpus, k, min_score, most, out)
     else:
         found = _search_broadcast(sample, corpus, k, min_score, out)
     return rank(found, k)
 
 
+def bounded_table(df: DataFrame, max_bytes: int, first: int = 2_000) -> tuple:
+    """(rows, limit) of a vector table, with rows None when it exceeds ``max_bytes``.
+
+    Never more than the limit (plus one row) reaches the driver.
+    """
+    few = df.limit(first + 1).toArrow()
+    dim = max(1, len(few["embedding"][0])) if few.num_rows else 1
+    most = max(1, max_bytes // (8 * dim))
+    if few.num_rows > first and most > first:
+        few = df.limit(most + 1).toArrow()
+    return (None if few.num_rows > most else few), most
+
+
 def _search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, min_score: float | None,
                       out: T.StructType) -> DataFrame:
     spark = corpus.sparkSession

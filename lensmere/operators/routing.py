@@ -120,7 +120,8 @@ def gather(routed: DataFrame, docs: DataFrame, embedder: Embedder,
     """
     lenses = lens_queries(routed)
     # One search answers all lenses of all queries.
-    keyed = lenses.withColumn("lens_id", F.concat_ws("#", "query_id", "position"))
+    # It reads them several times, hence persist: one short row per query and expert.
+    keyed = lenses.withColumn("lens_id", F.concat_ws("#", "query_id", "position")).persist()
     hits = fusion.top(fusion.hybrid(
         keyed.select(F.col("lens_id").alias("query_id"), "text"), docs, embedder, per_expert,
     ), per_expert)

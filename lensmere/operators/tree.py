@@ -37,12 +37,10 @@ def assign(vectors: DataFrame, centres: DataFrame,
     Centres are a bounded table of the size of the tree level; it is measured
     before it travels, and a larger one is refused rather than broadcast.
     """
-    head = centres.limit(1).toArrow()
-    dim = len(head["embedding"][0]) if head.num_rows else 1
-    most = max(1, broadcast_bytes // (8 * dim))
-    sample = centres.limit(most + 1).toArrow().sort_by("cluster")
-    if sample.num_rows > most:
+    sample, most = dense.bounded_table(centres, broadcast_bytes)
+    if sample is None:
         raise ValueError(f"more than {most} centres; cluster in levels instead")
+    sample = sample.sort_by("cluster")
     shared = vectors.sparkSession.sparkContext.broadcast(
         (sample["cluster"].to_numpy(), dense._matrix(sample["embedding"])))
     out = T.StructType([
