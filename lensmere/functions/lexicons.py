@@ -559,6 +559,25 @@ TUNING_INSTRUCTION = (
     "context is insufficient, set confidence='low' and keep citations empty."
 )
 
+# ---------------------------------------------------------------------------
+# Patterns and keys for tidying replies
+# ---------------------------------------------------------------------------
+
+REPLY_KEYS = ["medical_assessment", "answer", "response", "summary"]
+REPLY_KEYS_LONG = REPLY_KEYS + ["condition_summary", "diagnosis"]
+REPLY_FIELD = r'(?i)^"?(?:medical_assessment|answer|response)"?\s*:\s*"?'
+REPLY_HEADER = r"(?i)^(?:Response:|Answer:|Medical Assessment:)\s*"
+HEAVY_FIELD = r'^"?medical_assessment"?:\s*"?'
+HEAVY_ANY_FIELD = r'^"?[a-z_]+"?:\s*"?'
+HEAVY_HEADER = r"(?i)^(?:Return structured JSON response:|Response:|Answer:|Medical Assessment:)\s*"
+CODE_BLOCK = "```[^`]*```"
+BOLD = r"\*\*([^\n]*?)\*\*"
+ITALIC = r"\*([^\n]*?)\*"
+REPEATED_PHRASE = r"(?i)(\b\w+(?:\s+\w+){0,3})\s*(?:\1\s*){2,}"
+HYPOTHETICAL_LABELS = r"(?i)\b(specific|broad)\s*:\s*"
+PROMPT_ECHO = r'(?is)^.*?\basks?\s*:\s*"[^"]*"\s*[.,:;-]*'
+OPENING_FILLER = r"(?i)^\s*(specifically|in general)[,:]?\s*"
+
 
 def flatten(lexicon: dict) -> list:
     """(category, term) pairs in the order the lexicon states them."""

@@ -201,12 +201,12 @@ def light_cleanup(c: Column) -> Column:
     """Cleanup of a streamed reply that keeps its markdown and line breaks."""
     text = trimmed(or_empty(c))
     text = F.coalesce(
-        json_text_field(text, ["medical_assessment", "answer", "response", "summary"]), text
+        json_text_field(text, L.REPLY_KEYS), text
     )
     text = F.regexp_replace(
-        text, r'(?i)^"?(?:medical_assessment|answer|response)"?\s*:\s*"?', ""
+        text, L.REPLY_FIELD, ""
     )
-    text = F.regexp_replace(text, r"(?i)^(?:Response:|Answer:|Medical Assessment:)\s*", "")
+    text = F.regexp_replace(text, L.REPLY_HEADER, "")
     text = trimmed(F.regexp_replace(text, r"\n{3,}", "\n\n"))
     quoted = (F.length(text) > 1) & F.startswith(text, F.lit('"')) & F.endswith(text, F.lit('"'))
     text = F.when(
@@ -218,29 +218,28 @@ def light_cleanup(c: Column) -> Column:
 def heavy_cleanup(c: Column, collapse_repeats: bool = True) -> Column:
     """Flatten a structured reply to one line of plain prose."""
     raw = trimmed(or_empty(c))
-    text = F.regexp_replace(raw, r'^"?medical_assessment"?:\s*"?', "")
-    text = F.regexp_replace(text, r'^"?[a-z_]+"?:\s*"?', "")
+    text = F.regexp_replace(raw, L.HEAVY_FIELD, "")
+    text = F.regexp_replace(text, L.HEAVY_ANY_FIELD, "")
     text = F.coalesce(
         json_text_field(
             text,
-            ["medical_assessment", "answer", "response", "summary", "condition_summary",
-             "diagnosis"],
+            L.REPLY_KEYS_LONG,
         ),
         text,
     )
     text = F.regexp_replace(
         text,
-        r"(?i)^(?:Return structured JSON response:|Response:|Answer:|Medical Assessment:)\s*",
+        L.HEAVY_HEADER,
         "",
     )
-    text = F.regexp_replace(text, "```[^`]*```", "")
-    text = F.regexp_replace(text, r"\*\*([^\n]*?)\*\*", "$1")
-    text = F.regexp_replace(text, r"\*([^\n]*?)\*", "$1")
+    text = F.regexp_replace(text, L.CODE_BLOCK, "")
+    text = F.regexp_replace(text, L.BOLD, "$1")
+    text = F.regexp_replace(text, L.ITALIC, "$1")
     text = squeezed(text)
     text = F.regexp_replace(text, '^"+|"+$', "")
     if collapse_repeats:
         text = F.regexp_replace(
-            text, r"(?i)(\b\w+(?:\s+\w+){0,3})\s*(?:\1\s*){2,}", "$1 "
+            text, L.REPEATED_PHRASE, "$1 "
         )
     return F.when(text == "", F.substring(squeezed(raw), 1, 2000)).otherwise(text)
 
@@ -255,9 +254,9 @@ def hypothetical_specific(c: Column) -> Column:
     """The concrete line of a generated hypothetical, or the whole prose."""
     labelled = labelled_line(c, "SPECIFIC")
     labelled = F.when(F.length(labelled) > 15, F.substring(labelled, 1, 400))
-    plain = F.regexp_replace(or_empty(c), r"(?i)\b(specific|broad)\s*:\s*", " ")
-    plain = F.regexp_replace(plain, r'(?is)^.*?\basks?\s*:\s*"[^"]*"\s*[.,:;-]*', "")
-    plain = F.regexp_replace(plain, r"(?i)^\s*(specifically|in general)[,:]?\s*", "")
+    plain = F.regexp_replace(or_empty(c), L.HYPOTHETICAL_LABELS, " ")
+    plain = F.regexp_replace(plain, L.PROMPT_ECHO, "")
+    plain = F.regexp_replace(plain, L.OPENING_FILLER, "")
     plain = squeezed(plain)
     return F.coalesce(labelled, F.when(F.length(plain) > 25, F.substring(plain, 1, 400)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
+from lensmere.operators import symptoms
 
 # Limits and confidence constants.
 ALIGN_KEYS, CONFIDENCE_KEYS, SHOWN_KEYS, SHOWN_PASSAGES = 25, 20, 15, 5
@@ -156,3 +157,18 @@ def graph_edges(symptoms: Column, conditions: Column, treatments: Column) -> Col
 
     return F.concat(links(symptoms, "sym_", conditions, "cond_", "suggests"),
                     links(conditions, "cond_", treatments, "treat_", "managed_by"))
+
+
+def package(responses: DataFrame, passages: DataFrame, level: Column) -> DataFrame:
+    """All explanations of a response in one row per query.
+
+    Evidence has at most five entries per query.
+    """
+    entries = alignment(responses, passages).groupBy("query_id").agg(F.array_sort(F.collect_list(
+        F.struct("place", "passage_index", "source", "matched", "support"))).alias("evidence"))
+    entities = symptoms.merge_entities(symptoms.rule_entities(X.squeezed(X.or_empty(F.col("text")))))
+    texts = responses.withColumn("_s", F.transform(entities, lambda e: e["text"])).select(
+        "query_id", outline(F.col("text")).alias("outline"),
+        counterfactuals(F.col("text"), F.col("_s")).alias("counterfactuals"))
+    return texts.join(confidence(responses, passages, level), "query_id").join(
+        entries, "query_id", "left")

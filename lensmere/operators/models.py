@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lensmere.functions import text as X
 
@@ -56,6 +56,12 @@ def hashing_embedder(dim: int = EMBEDDING_DIM, stopwords: list | None = None) ->
     return lambda text: embed(X.index_tokens(X.or_empty(text), stopwords))
 
 
+def embed_distinct(df: DataFrame, embedder: Embedder) -> DataFrame:
+    """Rows with ``embedding``; equal texts are encoded once (for costly models)."""
+    once = df.select("text").distinct().withColumn("embedding", embedder(F.col("text")))
+    return df.join(once, df["text"].eqNullSafe(once["text"])).drop(once["text"])
+
+
 def embed_constants(texts: list, dim: int = EMBEDDING_DIM) -> np.ndarray:
     """The default embedder for a handful of fixed texts (prototypes, anchors)."""
     import regex

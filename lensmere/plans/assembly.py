@@ -193,6 +193,17 @@ def explanation_confidence(spark, sf):
     return explain.confidence(queries(spark, sf), passages(spark, sf), level)
 
 
+def explanation_package(spark, sf):
+    level = F.when(F.col("query_id") % 3 == 0, "CRITICAL").otherwise("LOW")
+    q = queries(spark, sf)
+    packed = explain.package(q, passages(spark, sf), level)
+    return packed.select(
+        "query_id", "confidence", F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence_count"),
+        F.element_at("evidence", 1)["support"].alias("best_support"),
+        F.element_at("counterfactuals", -1).alias("last_counterfactual"),
+        F.element_at("outline", 1).alias("first_sentence"))
+
+
 REPLY_HEADS = [
     "Answer: Drink water!! Rest.",
     '"medical_assessment": "It is likely a tension headache. Consider rest because stress matters."',
@@ -302,6 +313,25 @@ CONF_SQL = f"""WITH {PASSAGES}, {_keys('q', 20, 'k')}, {KA}, {PM},
 SELECT q.query_id, CASE WHEN keys IS NULL THEN 0.5 ELSE round(greatest(0.3e0, least(0.92e0,
  0.45e0 + 0.45e0 * (coalesce(seen, 0) / len(keys)) - CASE WHEN q.query_id % 3 = 0 THEN 0.1e0 ELSE 0 END)), 3)
  END::DOUBLE AS confidence FROM q LEFT JOIN ka USING (query_id) LEFT JOIN sn USING (query_id)"""
+MARK_Q = " + ".join(f"contains(lower(s), {Q.lit(m)})::INT" for m in L.REASONING_MARKERS)
+PACKAGE_SQL = f"""WITH {PASSAGES}, {_keys('q', 25, 'k')}, {KA}, {PM},
+ al AS (SELECT query_id, round(len(m) / len(keys), 3) AS support, row_number() OVER (PARTITION BY query_id
+   ORDER BY round(len(m) / len(keys), 3) DESC, rank) AS place FROM pm QUALIFY place <= 5),
+ ev AS (SELECT query_id, count(*)::INT AS evidence_count, max(support) AS best_support FROM al GROUP BY query_id),
+ {_keys('q', 20, 'k20')}, ka20 AS (SELECT query_id, list(keyword ORDER BY place) AS keys FROM k20 GROUP BY query_id),
+ pm20 AS (SELECT p.query_id, list_filter(ka20.keys, lambda x: contains(lower({Q.squeezed('p.text')}), x)) AS m
+   FROM p JOIN ka20 USING (query_id)),
+ sn AS (SELECT query_id, len(list_distinct(flatten(list(m)))) AS seen FROM pm20 GROUP BY query_id),
+ sp AS (SELECT query_id, string_split(regexp_replace({Q.trimmed('text')},
+   '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM q),
+ sx AS (SELECT query_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM sp),
+ fs AS (SELECT query_id, {Q.trimmed('s')} AS first_sentence FROM (SELECT *, CASE WHEN len(s) > 12 THEN {MARK_Q} ELSE 0 END AS w FROM sx)
+   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, i) = 1)
+SELECT q.query_id, CASE WHEN ka20.keys IS NULL THEN 0.5 ELSE round(greatest(0.3e0, least(0.92e0,
+  0.45e0 + 0.45e0 * (coalesce(seen, 0) / len(ka20.keys)) - CASE WHEN q.query_id % 3 = 0 THEN 0.1e0 ELSE 0 END)), 3)
+  END::DOUBLE AS confidence, coalesce(evidence_count, 0) AS evidence_count, best_support,
+ {Q.lit(L.COUNTERFACTUAL_GENERIC)} AS last_counterfactual, first_sentence
+FROM q LEFT JOIN ka20 USING (query_id) LEFT JOIN sn USING (query_id) LEFT JOIN ev USING (query_id) LEFT JOIN fs USING (query_id)"""
 MARK = " + ".join(f"contains(lower(s), {Q.lit(m)})::INT" for m in L.REASONING_MARKERS)
 OUTLINE_SQL = f"""WITH {REPLIES}, sp AS (SELECT reply_id, string_split(regexp_replace({Q.trimmed('text')},
    '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM rp),
@@ -683,6 +713,7 @@ REGISTRY = {
     "document_keywords": (document_keywords, KEYWORD_SQL),
     "evidence_alignment": (evidence_alignment, ALIGN_SQL),
     "explanation_confidence": (explanation_confidence, CONF_SQL),
+    "explanation_package": (explanation_package, PACKAGE_SQL),
     "reasoning_outline": (reasoning_outline, OUTLINE_SQL),
     "counterfactuals": (counterfactuals, COUNTER_SQL),
     "graph_nodes": (graph_nodes, NODE_SQL),

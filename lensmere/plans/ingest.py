@@ -149,6 +149,16 @@ def reply_frames(spark, sf):
     return streams.dialogue_frames(assembly.reply_texts(spark, sf))
 
 
+def audit_times(spark, sf):
+    """Times of audit rows as ISO text and as seconds since 1970."""
+    ts = F.col("ts")
+    seconds = (F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + F.hour(ts) * 3_600
+               + F.minute(ts) * 60 + F.second(ts))
+    return table(spark, sf, "events").select(
+        "event_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("iso"),
+        seconds.alias("epoch"))
+
+
 def _findings(spark, sf):
     """Mean value per user and event type as the findings of an image."""
     e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(
@@ -337,7 +347,10 @@ INTENT_SQL = f"""WITH m AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 =
 SELECT query_id, doc_id, score, place AS rank, 'category' AS found_by FROM sp UNION ALL
 SELECT query_id, doc_id, score, rank, 'all' FROM pool WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM sp)"""
 
+TIME_SQL = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, floor(epoch(ts))::BIGINT AS epoch FROM events"""
+
 REGISTRY = {
+    "audit_times": (audit_times, TIME_SQL),
     "top_findings": (top_findings, TOP_SQL),
     "finding_wording": (finding_wording, WORD_SQL),
     "image_modality": (image_modality, MODALITY_SQL),

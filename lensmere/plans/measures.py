@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lensmere.functions import text as X
-from lensmere.operators import (corpus, dense, evaluation, evidence, fusion, models, tree)
+from lensmere.operators import evaluation, evidence, experiment, models, tree
 from lensmere.plans import assembly, corpora
 from lensmere.plans import sql as Q
 from lensmere.plans.retrieval import docs, queries, vectors
@@ -47,35 +47,11 @@ def keyword_queries(spark, sf):
         "query_id", X.keyword_query(F.col("text")).alias("keywords"))
 
 
-def _runs(spark, sf):
+def _ranks(spark, sf):
     q = question_sample(spark, sf).select(F.col("id").alias("query_id"), F.col("query").alias("text"))
+    gold = q.select("query_id", F.col("query_id").alias("doc_id"))
     d = _qa(spark, sf).select(F.col("id").alias("doc_id"), "text")
-    vectors_ = d.select("doc_id", EMBED(F.col("text")).alias("embedding"))
-    dense_hits = dense.search(
-        q.select("query_id", EMBED(F.col("text")).alias("embedding")), vectors_, fusion.RERANK_POOL)
-    pool = fusion.hybrid(q, d, EMBED, 10, pool_size=fusion.RERANK_POOL, embedded=vectors_)
-    dense_both = fusion.rerank(dense_hits, q, d, models.overlap_reranker,
-                               skip_at=fusion.RERANK_SKIP)
-    hybrid_both = fusion.rerank(pool, q, d, models.overlap_reranker)
-
-    def runs(both, name):
-        """Order before and after reranking from one pass."""
-        conditions = F.array(
-            F.struct(F.lit(f"{name}_raw").alias("condition"), F.col("rank").alias("rank")),
-            F.struct(F.lit(f"{name}_rr").alias("condition"), F.col("final_rank").alias("rank")))
-        return both.select("query_id", "doc_id", F.explode(conditions).alias("c")).select(
-            "c.condition", "query_id", "doc_id", "c.rank").filter(F.col("rank") <= 10)
-
-    return runs(dense_both, "dense").unionByName(runs(hybrid_both, "hybrid"))
-
-
-CONDITIONS = ["dense_raw", "dense_rr", "hybrid_raw", "hybrid_rr"]
-
-
-def _ranks(spark, sf):
-    gold = question_sample(spark, sf).select(
-        F.col("id").alias("query_id"), F.col("id").alias("doc_id"))
-    return evaluation.gold_ranks(gold, _runs(spark, sf), CONDITIONS)
+    return experiment.gold_ranks(q, gold, d, EMBED, models.overlap_reranker)
 
 
 def gold_ranks(spark, sf):

@@ -54,6 +54,11 @@ def interaction_texts(records: DataFrame) -> DataFrame:
     return records.withColumn("text", sentence(INTERACTION))
 
 
+def rendered(records: DataFrame, template: str) -> DataFrame:
+    """Texts of any other kind (guidelines, protocols, education) from a given template."""
+    return records.withColumn("text", sentence(template))
+
+
 def integrated_chunks(parts: list) -> DataFrame:
     """Knowledge tables as chunks with running ids; missing optional fields are null."""
     from lensmere.operators.corpus import union

@@ -36,3 +36,19 @@ def test_chain(spark, tmp_path):
     codes = str(tmp_path / "codes")
     build.main(["shrink", "--input", vectors, "--output", codes, "-k", "3", "--sample", "20"])
     assert spark.read.parquet(f"{codes}/codes").count() == n
+
+
+def test_evaluation_report(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lensmere.jobs import evaluate
+    from lensmere.plans.measures import _qa
+
+    chunks = str(tmp_path / "chunks")
+    _qa(spark, sf).withColumn("id", F.col("id").cast("string")).write.parquet(chunks)
+    evaluate.main(["--input", chunks, "--output", str(tmp_path / "r"), "--n", "20", "-k", "5"])
+    metrics = {r.condition: r for r in spark.read.json(str(tmp_path / "r" / "metrics")).collect()}
+    assert set(metrics) == {"dense_raw", "dense_rr", "hybrid_raw", "hybrid_rr"}
+    assert all(0 <= m.recall_1 <= m.recall_5 <= m.recall_k <= 1 for m in metrics.values())
+    gap = spark.read.json(str(tmp_path / "r" / "gap")).first()
+    assert gap.low <= gap.point <= gap.high

@@ -135,3 +135,9 @@ def test_too_many_centres_are_refused(spark, sf):
     centres = v.selectExpr("doc_id as cluster", "embedding")
     with pytest.raises(ValueError):
         tree.assign(v, centres, broadcast_bytes=1024)
+
+
+def test_equal_texts_are_encoded_once(spark):
+    df = spark.createDataFrame([(1, "a word"), (2, "a word"), (3, None)], "i int, text string")
+    got = {r.i: r.embedding for r in models.embed_distinct(df, models.hashing_embedder()).collect()}
+    assert got[1] == got[2] and set(got) == {1, 2, 3}
