@@ -13,7 +13,7 @@ from lensmere.operators.running import running_count
 from lensmere.plans import sql as Q
 from lensmere.plans import utterances as U
 from lensmere.plans.retrieval import QUERIES_CTE, docs, queries
-from lensmere.tables import table
+from lensmere.tables import spread, table
 
 POOL = 12
 
@@ -21,7 +21,8 @@ POOL = 12
 def passages(spark, sf):
     """The BM25 pool of every benchmark query with its texts."""
     hits = lexical.search(queries(spark, sf), docs(spark, sf), POOL)
-    d = table(spark, sf, "documents").select("doc_id", "text", "source", F.col("lang").alias("category"))
+    d = spread(table(spark, sf, "documents").select(
+        "doc_id", "text", "source", F.col("lang").alias("category")))
     return join_pool(hits, d, queries(spark, sf), POOL)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lensmere.plans import sql as Q
-from lensmere.tables import table
+from lensmere.tables import spread, table
 
 PHRASES = [
     "hi", "Hello there", "hey, how are you?", "good evening doc!", "thanks a lot", "bye",
@@ -47,7 +47,7 @@ N = len(PHRASES)
 
 
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"))
     phrase = F.element_at(
         F.array(*[F.lit(p) for p in PHRASES]),
         ((F.col("conv_id") * 31 + F.col("turn") * 7) % N + 1).cast("int"))
