@@ -13,6 +13,7 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from lensmere.operators import chunking, corpus, dense, evaluation, lexical, models, tree
+from lensmere.session import ship
 from lensmere.sources import readers, writers
 
 
@@ -133,7 +134,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list | None = None) -> None:
     a = parser().parse_args(argv)
-    JOBS[a.job](SparkSession.builder.appName(f"lensmere-{a.job}").getOrCreate(), a)
+    spark = SparkSession.builder.appName(f"lensmere-{a.job}").getOrCreate()
+    ship(spark)
+    JOBS[a.job](spark, a)
 
 
 if __name__ == "__main__":

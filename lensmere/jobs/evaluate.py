@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from lensmere.functions import text as X
 from lensmere.operators import evaluation, experiment, models
+from lensmere.session import ship
 from lensmere.sources import writers
 
 
@@ -27,6 +28,7 @@ def main(argv: list | None = None) -> None:
     p.add_argument("--seed", type=int, default=evaluation.SEED)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("lensmere-evaluate").getOrCreate()
+    ship(spark)
     chunks = spark.read.parquet(a.input)
     picked = evaluation.sample(evaluation.eligible_questions(chunks), "id", a.n, a.seed)
     queries = picked.select(F.col("id").alias("query_id"),
