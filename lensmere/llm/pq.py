@@ -177,7 +177,7 @@ def _meet(books, width: int, cosine: float):
                     if not len(x):
                         continue
                     n_q += np.bincount(x, copies_s[y], len(q)).astype(np.int64)
-                    single = np.array([(v, home[u]) not in there for u, v in zip(x.tolist(), y.tolist())])
+                    single = np.array([(v, home[u]) not in there for u, v in zip(x.tolist(), y.tolist())], bool)
                     n_s += np.bincount(y[single], copies_q[x[single]], len(s)).astype(np.int64)
                     for u, v in zip(x.tolist(), y.tolist()):
                         c, d = find(u), find(len(q) + v)
