@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 SPACE = "▁"
 #: A worker keeps the ids of so many short words; it starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 REMEMBERED_CHARS = 24
 #: Symbols that one call of the merge rounds takes at a time; a longer word makes a call of its own.
 ROUND_SYMBOLS = 1 << 20
-_NONE = np.int64(-1)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -82,11 +81,20 @@ class Pieces:
         digits = [f"{i},".encode() for i in range(n)]
         self.digits_at = np.concatenate(([0], np.cumsum([len(x) for x in digits])))
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
-        self.words: dict[str, int] = {}
+        # The symbol of every code point; characters that stand in no longer piece part words for good.
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
+        self.parts_lines = not any("\n" in p and len(p) > 1 for p in own)
+        # Remembered words: after a space (without it), and at the start of a line.
+        self.spaced: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.words.clear()
+        self.spaced.clear()
+        self.bare.clear()
         self.ids, self.ids_at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     # Encoding
@@ -104,13 +112,13 @@ class Pieces:
         """Symbols after all merges, their words, and the first character of each."""
         done = []
         first = np.arange(len(symbols))
-        while len(symbols) > 1:
-            same = word[:-1] == word[1:]
-            rank = np.full(len(symbols), self.worst)
-            merged = np.zeros(len(symbols), np.int64)
-            at = np.flatnonzero(same)
+        rank = np.full(len(symbols), self.worst)
+        merged = np.zeros(len(symbols), np.int64)
+        if len(symbols):
+            at = np.flatnonzero(word[:-1] == word[1:])
             rank[at], merged[at] = self._pairs(symbols[at], symbols[at + 1])
-            starts = np.flatnonzero(np.concatenate(([True], ~same)))
+        while len(symbols) > 1:
+            starts = np.flatnonzero(np.concatenate(([True], word[:-1] != word[1:])))
             lengths = np.diff(np.append(starts, len(symbols)))
             best = np.minimum.reduceat(rank, starts)
             live = best < self.worst
@@ -160,29 +168,33 @@ class Pieces:
             symbols[hits] = merged[hits]
             stay = np.ones(len(symbols), bool)
             stay[hits + 1] = False
-            symbols, word, first = symbols[stay], word[stay], first[stay]
+            symbols, word, first, rank, merged = (x[stay] for x in (symbols, word, first, rank, merged))
+            # Only pairs on either side of a merge are new.
+            at = hits - np.arange(len(hits))
+            near = np.zeros(len(symbols), bool)
+            near[at] = True
+            near[np.maximum(at - 1, 0)] = True
+            at = np.flatnonzero(near)
+            rank[at] = self.worst
+            at = at[at < len(symbols) - 1]
+            at = at[word[at] == word[at + 1]]
+            rank[at], merged[at] = self._pairs(symbols[at], symbols[at + 1])
         done.append((symbols, word, first))
         symbols, word, first = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(first, kind="stable")
         return symbols[order], word[order], first[order]
 
-    def _learn(self, new: list[str]) -> None:
-        """Add the ids of words that are not remembered yet."""
-        start = 0
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Append the ids of new words; their numbers."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        ends = np.cumsum(sizes)
         parts, counts = [self.ids], [np.diff(self.ids_at)]
+        start = 0
         while start < len(new):
-            stop, chars = start, 0
-            while stop < len(new) and (stop == start or chars + len(new[stop]) <= ROUND_SYMBOLS):
-                chars += len(new[stop])
-                stop += 1
-            group = new[start:stop]
-            text = "".join(group)
-            sizes = np.array([len(w) for w in group])
-            get = self.symbols.get
-            code = {c: get(c, -1) for c in set(text)}
-            symbols = np.array([code[c] for c in text], np.int64)
-            word = np.repeat(np.arange(len(group)), sizes)
-            symbols, word, first = self.merge(symbols, word)
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + ROUND_SYMBOLS, "right")))
+            text = "".join(new[start:stop])
+            symbols = self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)
+            symbols, word, first = self.merge(symbols, np.repeat(np.arange(stop - start), sizes[start:stop]))
             odd = np.flatnonzero((symbols < 0) | (symbols >= self.n))
             if len(odd):  # characters outside the vocabulary: their bytes
                 raw = [text[i].encode() for i in first[odd]]
@@ -193,38 +205,66 @@ class Pieces:
                 for i, x in zip(at[odd], raw):
                     symbols[i:i + len(x)] = self.bytes[np.frombuffer(x, np.uint8)]
             parts.append(symbols)
-            counts.append(np.bincount(word, minlength=len(group)))
+            counts.append(np.bincount(word, minlength=stop - start))
             start = stop
         base = len(self.ids_at) - 1
-        self.words.update((w, base + i) for i, w in enumerate(new))
         self.ids = np.concatenate(parts)
         self.ids_at = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        return np.arange(base, base + len(new))
+
+    def _numbers(self, known: dict[str, int], words: list[str], prefix: str) -> np.ndarray:
+        new = list(set(words).difference(known))
+        long = []
+        if new:
+            numbers = self._learn([prefix + w for w in new] if prefix else new)
+            known.update(zip(new, numbers.tolist()))
+            long = [w for w in new if len(w) > REMEMBERED_CHARS]
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in long:
+            del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
         if len(self.ids_at) > REMEMBERED:
             self._forget()
-        split = []
+        spaced, bare = [], []
+        at, texts_at = [0], [0]  # where bare words stand among the spaced ones, and where texts begin
         for text in texts:
-            if not text:
-                split.append([])
-                continue
-            text = SPACE + text.replace(" ", SPACE)
-            if SPACE * 2 in text or text.endswith(SPACE):
-                split.append(_WORD.findall(text))
-            else:
-                split.append([SPACE + w for w in text[1:].split(SPACE)])
-        new = dict.fromkeys(w for own in split for w in own if w not in self.words)
-        if new:
-            self._learn(list(new))
-        out = []
-        for own in split:
-            at = np.fromiter((self.words[w] for w in own), np.int64, len(own))
-            out.append(_gather(self.ids, self.ids_at, at))
-        long = [w for w in new if len(w) > REMEMBERED_CHARS]
-        for w in long:
-            del self.words[w]
-        return out
+            if text:
+                text = SPACE + text.replace(" ", SPACE)
+                for i, line in enumerate(text.split("\n") if self.parts_lines else (text,)):
+                    if i:
+                        bare.append("\n")
+                        at.append(len(spaced) + len(bare) - 1)
+                    if not line:
+                        continue
+                    if SPACE * 2 in line or line[-1] == SPACE:
+                        head = line.split(SPACE, 1)[0]
+                        units = _WORD.findall(line)
+                        if head:
+                            bare.append(head)
+                            at.append(len(spaced) + len(bare) - 1)
+                        for u in units:
+                            bare.append(u)
+                            at.append(len(spaced) + len(bare) - 1)
+                        continue
+                    parts = line.split(SPACE)
+                    if parts[0]:
+                        bare.append(parts[0])
+                        at.append(len(spaced) + len(bare) - 1)
+                    del parts[0]
+                    spaced += parts
+            texts_at.append(len(spaced) + len(bare))
+        is_bare = np.zeros(len(spaced) + len(bare), bool)
+        is_bare[at[1:]] = True
+        numbers = np.empty(len(is_bare), np.int64)
+        numbers[is_bare] = self._numbers(self.bare, bare, "")
+        numbers[~is_bare] = self._numbers(self.spaced, spaced, SPACE)
+        sizes = self.ids_at[numbers + 1] - self.ids_at[numbers]
+        ids = _gather(self.ids, self.ids_at, numbers)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[texts_at]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     # Decoding
 
