@@ -7,7 +7,8 @@ import importlib
 
 from lensmere.session import ship
 
-MODULES = ["minhash_query", "chat_query", "mixing_query", "pieces_query", "spans_query", "pq_query", "topk_query", "html_query", "quality_query"]
+MODULES = ["minhash_query", "chat_query", "mixing_query", "pq_query", "token_edits_query", "pieces_query", "spans_query", "html_query",
+           "topk_query", "quality_query"]
 
 
 def _shipped_first(run):
