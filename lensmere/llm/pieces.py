@@ -320,6 +320,20 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     return out.withColumnRenamed("key", key)
 
 
+def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str | None = None) -> DataFrame:
+    """The rows with ``text``, what their ids decode to; null ids give a null text."""
+    path = model or default_model()
+    rows = rows.drop(text)
+
+    def run(batches):
+        pieces = _pieces(path)
+        for batch in batches:
+            texts = [None if x.as_py() is None else pieces.decode(np.asarray(x.values, np.int64)) for x in batch.column(ids)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(text, T.StringType())]))
+
+
 def _groups(batch: pa.RecordBatch, chars: int = 1 << 20):
     """Parts of a batch of about so many characters: (keys, texts)."""
     texts = batch.column("text").to_pylist()
