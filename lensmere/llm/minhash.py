@@ -212,12 +212,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             .mapInArrow(_star_links(percent), "a binary, b binary"))
     first = shared.staged(shared.components(star))
 
-    rooted = full.drop("lead").join(first.withColumnRenamed("node", "print"), "print", "left").select(
+    # The first member of a bucket has met all others.  Those are still open where they are of several
+    # components; a set of members that several buckets share is dealt with in one of them.
+    rooted = full.where("print <> lead").join(first.withColumnRenamed("node", "print"), "print", "left").select(
         "band", "print", F.coalesce("root", "print").alias("root"))
-    sized = rooted.join(sets, "print").select("band", "print", "root", "set")
-    open_bands = (sized.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                            F.sum(F.length("set")).alias("bytes"))
-                  .where("low <> high").select("band", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("n")))
+    open_bands = (rooted.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"),
+        F.sum(F.xxhash64("print").cast("decimal(38,0)")).alias("mark"), F.sum(F.xxhash64(F.lit(1), "print").cast("decimal(38,0)")).alias("mark2"))
+        .where("low <> high").groupBy("members", "mark", "mark2").agg(F.min("band").alias("band")).select("band"))
+    sized = shared.staged(rooted.join(shared.staged(open_bands), "band")).join(sets, "print").select("band", "print", "root", "set")
+    open_bands = (sized.groupBy("band").agg(F.sum(F.length("set")).alias("bytes"))
+                  .select("band", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("n")))
     block = F.pmod(F.xxhash64("print"), F.col("n")).cast("int")
     dealt = (sized.join(open_bands, "band")
              .select("band", "print", "root", "set", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
@@ -231,7 +236,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     labelled = (sketch.select("key", "n_shingles", "print")
                 .join(joined.withColumnRenamed("node", "print"), "print", "left")
                 .select("key", "n_shingles", F.coalesce("root", "print").alias("root")))
-    lowest = labelled.where("root is not null").groupBy("root").agg(F.min("key").alias("component"))
+    lowest = shared.staged(labelled.where("root is not null").groupBy("root").agg(F.min("key").alias("component")))  # so that a large component is split in the join
     return (labelled.join(lowest, "root", "left")
             .select(F.col("key").alias(key), "n_shingles",
                     F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
