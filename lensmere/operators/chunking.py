@@ -14,6 +14,8 @@ GENERAL_BUDGET, GENERAL_OVERLAP = 250, 50
 COMPACT_BUDGET, COMPACT_OVERLAP = 220, 40
 WINDOW_WORDS, SHORTEST_CHARS = 600, 100
 CHARS_PER_TOKEN = 4
+# Text ids are numbered in blocks of ids that begin alike.
+ID_BEGINNING = 8
 
 
 def budget_chunks(budget: int = GENERAL_BUDGET, overlap: int = GENERAL_OVERLAP):
@@ -80,9 +82,13 @@ def number_chunks(chunks: DataFrame, prefix: str, digits: int,
                   block: Column | None = None) -> DataFrame:
     """Running ids in document and chunk order, e.g. ``chunk_000042``.
 
-    Documents are numbered block by block, so no task sees all rows.
+    Documents are numbered block by block, so no task sees all rows.  A block
+    is a range of numeric ids, or the text ids with one beginning.
     """
-    block = F.floor(F.col("doc_id") / 10_000) if block is None else block
+    if block is None:
+        textual = chunks.schema["doc_id"].dataType == T.StringType()
+        block = F.substring("doc_id", 1, ID_BEGINNING) if textual else F.floor(
+            F.col("doc_id") / 10_000)
     numbered = running_count(chunks, [], ["doc_id", "chunk_index"], block, "_no")
     number = (F.col("_no") - 1).cast("string")
     width = F.greatest(F.lit(digits), F.length(number))

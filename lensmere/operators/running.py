@@ -8,6 +8,8 @@ window runs inside a block only.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -16,8 +18,13 @@ def _blocked(df: DataFrame, keys: list, block: Column, totals: list, carried: li
     marked = df.withColumn("_block", block)
     per_block = marked.groupBy(*keys, "_block").agg(*totals)
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carry = per_block.select(*keys, "_block", *[c(earlier) for c in carried])
-    return marked.join(carry, [*keys, "_block"])
+    # Null keys and null blocks are keys like others, so the totals are joined null-safe.
+    named = {k: f"_carry_{i}" for i, k in enumerate([*keys, "_block"])}
+    carry = per_block.select(
+        *[F.col(k).alias(n) for k, n in named.items()], *[c(earlier) for c in carried])
+    same = functools.reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return marked.join(carry, same).drop(*named.values())
 
 
 def running_count(df: DataFrame, keys: list, order: list, block: Column,
