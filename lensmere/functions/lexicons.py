@@ -400,6 +400,8 @@ OUT_OF_SCOPE_RULES = [
      None, None),
     ("cooking", r"recipe|how\s+to\s+(?:cook|bake)|restaurant", None, None),
 ]
+# Rules whose words need not end where they match.
+OPEN_ENDED_RULES = ("trivia",)
 # Trivia also covers "history of X" unless X is one of the medical topics.
 HISTORY_PATTERN = r"history\s+of\s+"
 HISTORY_MEDICAL_TOPICS = r"medicine|disease|illness"

@@ -26,13 +26,13 @@ def gap_pattern(before: str, longest: int, after: str) -> str:
 def out_of_scope_patterns() -> list:
     """(reason, pattern) in order of precedence."""
     return [
-        (reason, X.whole_words(first) if gap is None else gap_pattern(first, gap, second))
+        (reason, gap_pattern(first, gap, second) if gap is not None
+         else X.word_start(first) if reason in L.OPEN_ENDED_RULES else X.whole_words(first))
         for reason, first, gap, second in L.OUT_OF_SCOPE_RULES
     ]
 
 
-HISTORY_ANY = X.word_start(L.HISTORY_PATTERN) + f"(?:{X.NOT_WORD}|{X.WORD})"
-HISTORY_MEDICAL = X.word_start(L.HISTORY_PATTERN) + f"(?:{L.HISTORY_MEDICAL_TOPICS})"
+HISTORY = X.word_start(L.HISTORY_PATTERN) + f"(?!{L.HISTORY_MEDICAL_TOPICS})"
 
 
 def medical_pattern(vocabulary: list | None = None) -> str:
@@ -74,7 +74,7 @@ def scope(df: DataFrame, text: str = "text", has_image: Column | None = None,
     for reason, pattern in out_of_scope_patterns():
         hit = low.rlike(pattern)
         if reason == "trivia":
-            hit = hit | (low.rlike(HISTORY_ANY) & ~low.rlike(HISTORY_MEDICAL))
+            hit = hit | low.rlike(HISTORY)
         rules.append((hit, "out_of_scope", 0.95, f"non-medical pattern: {reason}"))
     continues = low.rlike(f"^(?:{L.CONTINUATION_PATTERN})(?:$|{X.NOT_WORD})")
     rules.append((in_conversation & ((n <= 12) | continues), "medical", 0.6,

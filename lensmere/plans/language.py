@@ -151,8 +151,10 @@ def _scope_sql(tie: bool, image: str, tail: str) -> str:
     for reason, pattern in gates.out_of_scope_patterns():
         hit = search(pattern)
         if reason == "trivia":
-            hit = (f"({hit} OR ({search(gates.HISTORY_ANY)} "
-                   f"AND NOT {search(gates.HISTORY_MEDICAL)}))")
+            # DuckDB has no lookahead: medical histories are taken out first.
+            other = (f"regexp_replace(low, {Q.lit(X.word_start(L.HISTORY_PATTERN) + f'(?:{L.HISTORY_MEDICAL_TOPICS})')}, "
+                     "' ', 'g')")
+            hit = f"({hit} OR regexp_matches({other}, {Q.lit(X.word_start(L.HISTORY_PATTERN))}))"
         rules.append((hit, "out_of_scope", 0.95, f"non-medical pattern: {reason}"))
     cont = search(f"^(?:{L.CONTINUATION_PATTERN})(?:$|{X.NOT_WORD})")
     rules.append((f"turn > 0 AND (n <= 12 OR {cont})", "medical", 0.6,
