@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -10,13 +12,13 @@ from lensmere.functions import vectors as V
 from lensmere.operators.pools import join_pool
 from lensmere.operators.topk import BestPerQuery
 
-# Query vectors up to this many bytes travel to every task; more are split
-# into cells and meet the corpus through a shuffle.
+# Query vectors up to this many bytes travel to every task at a time.
 BROADCAST_BYTES = 64 << 20
 SCORE_DIGITS = 6
 # Size of the score matrix a task holds at a time.
 BLOCK_ENTRIES = 4_000_000
-CELL_ROWS = 50_000
+# Parts in which the tasks' best rows of a query are merged before the last step.
+MERGE_PARTS = 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,6 +51,24 @@ def rank(df: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def merge(df: DataFrame, k: int) -> DataFrame:
+    """:func:`rank` of what many tasks found for each query, in two steps.
+
+    Each of a few parts keeps its best first, so no task merges the rows of all
+    others for one query.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(MERGE_PARTS))
+    order = W.partitionBy("query_id", "_part").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    best = df.withColumn("_part", part).withColumn("_n", F.row_number().over(order)).filter(
+        F.col("_n") <= k)
+    return rank(best.drop("_part", "_n"), k)
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(
+        F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None,
            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Best k corpus rows per query by inner product.
@@ -57,12 +77,13 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | Non
     Result: (query_id, doc_id, score, rank); scores are rounded before ranking.
 
     Each task scans its share of the corpus once against all queries and keeps
-    only k rows per query, so the shuffle carries k rows per query and task
-    whatever the corpus size.  The query side is sent to the tasks only while
-    its measured size is within ``broadcast_bytes``.
+    whatever the corpus size.  Queries are sent to the tasks in blocks of at
+    most about ``broadcast_bytes``, each answered by one scan of the corpus,
+    which is read but never copied.  Rows without a vector, or with a null in
+    it, take no part.
     """
-    queries = queries.select("query_id", V.as_double(F.col("embedding")).alias("embedding"))
-    corpus = corpus.select("doc_id", V.as_double(F.col("embedding")).alias("embedding"))
+    queries = _usable(queries.select("query_id", V.as_double(F.col("embedding")).alias("embedding")))
+    corpus = _usable(corpus.select("doc_id", V.as_double(F.col("embedding")).alias("embedding")))
     out = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("doc_id", corpus.schema["doc_id"].dataType),
@@ -70,10 +91,10 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | Non
     ])
     sample, most = bounded_table(queries, broadcast_bytes)
     if sample is None:
-        found = _search_cells(queries, corpus, k, min_score, most, out)
+        found = _search_blocks(queries, corpus, k, min_score, most, out)
     else:
         found = _search_broadcast(sample, corpus, k, min_score, out)
-    return rank(found, k)
+    return merge(found, k)
 
 
 def bounded_table(df: DataFrame, max_bytes: int, first: int = 2_000) -> tuple:
@@ -116,36 +137,14 @@ def _search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, min_score: f
     return corpus.mapInArrow(scan, out)
 
 
-def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None,
-                  block: int, out: T.StructType) -> DataFrame:
-    """Queries and corpus are hashed into blocks; every pair of blocks is one group."""
-    q_blocks = -(-queries.count() * 2 // block)
-    c_blocks = max(1, -(-corpus.count() // CELL_ROWS))
-    left = queries.select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>")).alias("c_block"),
-    )
-    right = corpus.select(
-        "*",
-        F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).alias("c_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")).alias("q_block"),
-    )
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = BestPerQuery(k)
-        if q.num_rows and c.num_rows:
-            _scan(best, _matrix(q["embedding"]), _ids(c["doc_id"]), _matrix(c["embedding"]),
-                  min_score)
-        ids = best.ids if best.ids is not None else []
-        return pa.table({
-            "query_id": q["query_id"].take(pa.array(best.query)),
-            "doc_id": pa.array(ids, c.schema.field("doc_id").type),
-            "score": pa.array(best.scores, pa.float64()),
-        })
-
-    keys = ("q_block", "c_block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, out)
+def _search_blocks(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None,
+                   most: int, out: T.StructType) -> DataFrame:
+    """Queries in hashed blocks of about ``most`` rows; one scan of the corpus for each."""
+    blocks = max(1, -(-queries.count() // max(1, most)))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_search_broadcast(queries.filter(number == b).toArrow(), corpus, k, min_score, out)
+             for b in range(blocks)]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def exclude_categories(hits: DataFrame, attributes: DataFrame, excluded: list,

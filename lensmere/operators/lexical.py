@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lensmere.functions import text as X
-from lensmere.operators.dense import SCORE_DIGITS, rank
+from lensmere.operators.dense import SCORE_DIGITS, merge, rank
 from lensmere.operators.topk import BestPerQuery
 
 # BM25 and vocabulary parameters.
@@ -104,7 +104,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 50,
     pairs = wanted.limit(max_pairs + 1).toArrow()
     if pairs.num_rows > max_pairs:
         return rank(_scores_by_join(wanted, toks), k)
-    return rank(_scores_by_scan(pairs, toks, k, docs, queries), k)
+    return merge(_scores_by_scan(pairs, toks, k, docs, queries), k)
 
 
 def _scores_by_join(wanted: DataFrame, toks: DataFrame) -> DataFrame:

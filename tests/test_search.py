@@ -141,3 +141,10 @@ def test_equal_texts_are_encoded_once(spark):
     df = spark.createDataFrame([(1, "a word"), (2, "a word"), (3, None)], "i int, text string")
     got = {r.i: r.embedding for r in models.embed_distinct(df, models.hashing_embedder()).collect()}
     assert got[1] == got[2] and set(got) == {1, 2, 3}
+
+
+def test_vectors_with_nulls_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.6, 0.8])]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    got = dense.search(v.withColumnRenamed("doc_id", "query_id"), v, 5)
+    assert {(r.query_id, r.doc_id) for r in got.collect()} == {(1, 1), (1, 4), (4, 1), (4, 4)}
