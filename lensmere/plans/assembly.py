@@ -58,9 +58,9 @@ def coverage_summary(spark, sf):
 
 
 def overview_union(spark, sf):
-    """Overview items (same source, shorter) in front of the leaf passages."""
+    """Overview items (the first passages under their source's name) in front of the leaf passages."""
     p = passages(spark, sf)
-    overview = p.filter("rank <= 4").withColumn("text", F.substring("text", 1, 300))
+    overview = p.filter("rank <= 4").withColumn("text", F.concat_ws(": ", "source", "text"))
     return evidence.union_by_prefix(overview, p)
 
 
@@ -129,7 +129,7 @@ COVER_SQL = f"WITH {PASSAGES}, {BUDGET}, {SUBTOPICS} SELECT * FROM cv"
 COVER_SUM_SQL = f"""WITH {PASSAGES}, {BUDGET}, {SUBTOPICS}
 SELECT round(avg(covered / subtopics), 3) AS mean_fraction, round(avg(covered), 2) AS mean_covered,
  count(*) AS n FROM cv"""
-OVERVIEW_SQL = f"""WITH {PASSAGES}, b AS (SELECT query_id, rank, substr(text, 1, 300) AS text, 0 AS tier
+OVERVIEW_SQL = f"""WITH {PASSAGES}, b AS (SELECT query_id, rank, concat_ws(': ', source, text) AS text, 0 AS tier
    FROM p WHERE rank <= 4 UNION ALL SELECT query_id, rank, text, 1 FROM p),
  k AS (SELECT * FROM b WHERE substr(text, 1, 60) <> '' QUALIFY row_number() OVER (PARTITION BY query_id,
    substr(text, 1, 60) ORDER BY tier, rank) = 1)
@@ -235,13 +235,14 @@ def reply_texts(spark, sf):
     mode = (F.col("conv_id") + F.col("turn")) % 3
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"),
-        F.when(mode == 0, F.concat(head, F.lit("\n"), "text")).when(mode == 1, head)
+        F.when(mode == 0, F.concat(head, F.lit("\n"), "text"))
+        .when(mode == 1, F.concat("text", F.lit("\n"), head))
         .otherwise(F.concat("text", F.lit(" "), tail)).alias("text"))
 
 
 REPLIES = f"""rp AS (SELECT conv_id * 1000 + turn AS reply_id, CASE (conv_id + turn) % 3
   WHEN 0 THEN ({Q.array(REPLY_HEADS)})[(conv_id * 5 + turn) % {len(REPLY_HEADS)} + 1] || chr(10) || text
-  WHEN 1 THEN ({Q.array(REPLY_HEADS)})[(conv_id * 5 + turn) % {len(REPLY_HEADS)} + 1]
+  WHEN 1 THEN text || chr(10) || ({Q.array(REPLY_HEADS)})[(conv_id * 5 + turn) % {len(REPLY_HEADS)} + 1]
   ELSE text || ' ' || ({Q.array(REPLY_TAILS)})[conv_id % {len(REPLY_TAILS)} + 1] END AS text
   FROM conversations WHERE role = 'assistant')"""
 
@@ -282,8 +283,8 @@ def graph_edges(spark, sf):
 
 
 def passage_conditions(spark, sf):
-    """Condition candidates of each query's first passages (English ones)."""
-    p = passages(spark, sf).filter("category = 'en' AND rank <= 3")
+    """Condition candidates of each query's first passages."""
+    p = passages(spark, sf).filter("rank <= 3")
     texts = p.groupBy("query_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("ts"))
     return texts.select("query_id", F.posexplode(explain.condition_candidates(
@@ -418,7 +419,7 @@ SELECT reply_id, 'sym_' || i AS source, 'cond_' || j AS target, 'suggests' AS la
 UNION ALL SELECT reply_id, 'cond_' || j, 'treat_' || k, 'managed_by' FROM j JOIN k USING (reply_id)"""
 PCOND_SQL = f"""WITH {PASSAGES}, x AS (SELECT query_id, {Q.trimmed('x')} AS x FROM (SELECT query_id,
    unnest(regexp_extract_all({_plain('text')}, {Q.lit(chr(92) + 'b' + L.CONDITION_PHRASE_PATTERN + chr(92) + 'b')}, 1)) AS x
-   FROM p WHERE category = 'en' AND rank <= 3)),
+   FROM p WHERE rank <= 3)),
  d AS (SELECT query_id, list_sort(list(DISTINCT x))[1:8] AS c FROM x WHERE len(x) BETWEEN 3 AND 32 GROUP BY query_id)
 SELECT query_id, (generate_subscripts(c, 1) - 1)::INT AS position, unnest(c) AS condition FROM d"""
 

@@ -53,7 +53,7 @@ def conversation_list(spark, sf):
 
 
 def _store_events(spark, sf):
-    u = U.utterances(spark, sf).filter("role <> 'system'")
+    u = U.utterances(spark, sf)
     action = (
         F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 3), "rename")
         .when((F.col("conv_id") % 11 == 0) & (F.col("turn") > 4), "delete")
@@ -155,7 +155,7 @@ LIST_SQL = f"""WITH {U.SQL} SELECT conv_id, coalesce(substr(min_by({Q.trimmed('t
  max(turn) AS last_turn, count(*) AS message_count FROM u GROUP BY conv_id"""
 STATE_SQL = f"""WITH {U.SQL}, e AS (SELECT conv_id, turn AS seq, text AS payload,
   CASE WHEN conv_id % 7 = 0 AND turn = 3 THEN 'rename' WHEN conv_id % 11 = 0 AND turn > 4
-  THEN 'delete' ELSE 'append' END AS action FROM u WHERE role <> 'system'),
+  THEN 'delete' ELSE 'append' END AS action FROM u),
  s AS (SELECT conv_id, coalesce(
    max_by(substr(coalesce(nullif(payload, ''), 'Untitled'), 1, 80), seq) FILTER (action = 'rename'),
    substr(min_by({Q.trimmed('payload')}, seq) FILTER (action = 'append'), 1, 60), 'New chat') AS title,

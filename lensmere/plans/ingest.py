@@ -79,7 +79,7 @@ def chunk_lines(spark, sf):
     good = F.to_json(F.struct(
         F.concat(F.lit("chunk_"), "doc_id").alias("id"), F.col("text"), F.col("source"),
         F.length("text").cast("int").alias("token_count")))
-    line = F.when(F.col("doc_id") % 10 == 3, F.substring(good, 1, 20)).otherwise(good)
+    line = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("{"), good)).otherwise(good)
     return readers.parse_chunk_lines(d.select(F.col("doc_id").alias("line_no"), line.alias("value"))).select(
         "line_no", "id", "text", "source", "token_count")
 
@@ -206,7 +206,7 @@ def result_rows(spark, sf):
 def prompt_split(spark, sf):
     d = table(spark, sf, "documents")
     marked = F.when(F.col("doc_id") % 2 == 0, F.concat(
-        F.substring("text", 1, 50), F.lit(" \nCONVERSATION MEMORY:\n"), "lang")).otherwise(F.col("lang"))
+        "text", F.lit(" \nCONVERSATION MEMORY:\n"), "lang")).otherwise(F.col("text"))
     return d.select("doc_id", X.split_prompt(marked, "CONVERSATION MEMORY:").alias("p")).select(
         "doc_id", "p.system", "p.user")
 
@@ -334,8 +334,8 @@ RESULT_SQL = """SELECT 'chunk_' || doc_id AS chunk_id, text, source, lang AS cat
  CASE WHEN doc_id % 4 = 0 THEN 'QA_pair' ELSE 'note' END AS type, (len(text) // 4)::INT AS token_count,
  CASE WHEN doc_id % 9 = 0 THEN '42' END AS rxcui, CASE WHEN doc_id % 4 = 0 THEN lang END AS question,
  CASE WHEN doc_id % 4 = 0 THEN source END AS answer FROM documents"""
-SPLIT_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {Q.trimmed('substr(text, 1, 50)')} ELSE '' END AS system,
- CASE WHEN doc_id % 2 = 0 THEN 'CONVERSATION MEMORY:' || chr(10) || lang ELSE lang END AS "user" FROM documents"""
+SPLIT_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {Q.trimmed('text')} ELSE '' END AS system,
+ CASE WHEN doc_id % 2 = 0 THEN 'CONVERSATION MEMORY:' || chr(10) || lang ELSE text END AS "user" FROM documents"""
 INTENT_SQL = f"""WITH m AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'which dose of drug '
   ELSE 'why ' END || text AS text FROM benchmark),
  i AS (SELECT query_id, {Q.first_rule('lower(text)', X.L.INTENT_RULES, "'qa'")} AS intent FROM m),

@@ -73,7 +73,7 @@ def bootstrap_ci(spark, sf):
 
 
 def coverage_gap(spark, sf):
-    """Bootstrap of subtopic coverage: shortened overviews against full passages."""
+    """Bootstrap of subtopic coverage: the first passages against all of them."""
     p = assembly.passages(spark, sf)
     subs = assembly._subtopics(spark, sf)
 
@@ -83,7 +83,7 @@ def coverage_gap(spark, sf):
             evidence.covered(F.col("evidence"), F.col("subtopics")) / F.size("subtopics"), 9)
             .alias(name))
 
-    brief = p.filter("rank <= 4").withColumn("text", F.substring("text", 1, 120))
+    brief = p.filter("rank <= 4")
     return evaluation.bootstrap(fraction(brief, "hit_a").join(fraction(p, "hit_b"), "query_id"))
 
 
@@ -170,7 +170,7 @@ def _fraction(items: str, name: str) -> str:
 
 SUBS = assembly.SUBTOPICS.split(" cv AS (")[0].rstrip().rstrip(",")
 GAP_SQL = f"""WITH {assembly.PASSAGES}, {SUBS},
- brief AS (SELECT query_id, rank, substr(text, 1, 120) AS text FROM p WHERE rank <= 4),
+ brief AS (SELECT query_id, rank, text FROM p WHERE rank <= 4),
  {_fraction('brief', 'fa')}, {_fraction('p', 'fb')},
  pairs AS (SELECT fa.query_id, fa.v AS hit_a, fb.v AS hit_b FROM fa JOIN fb USING (query_id)), {BOOT}"""
 LATENCY_SQL = """WITH s AS (SELECT list(value ORDER BY value) AS v, count(*) AS n, avg(value) AS mean FROM events)
@@ -192,7 +192,7 @@ def _members(spark, sf):
 
 
 def _texts(spark, sf):
-    question = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" why "), F.substring("text", 1, 50)))
+    question = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" why "), "text"))
     return table(spark, sf, "documents").select("doc_id", question.alias("question"), "text")
 
 
@@ -254,7 +254,7 @@ SIZES_SQL = """SELECT label AS cluster, count(*) AS size FROM embeddings WHERE l
  (SELECT label FROM embeddings WHERE vec_id < 2) GROUP BY label HAVING count(*) >= 3 ORDER BY size DESC, cluster LIMIT 5"""
 REPS = f"""{MEMBERS}, nr AS (SELECT m.cluster, doc_id, row_number() OVER (PARTITION BY m.cluster ORDER BY
    round(list_dot_product(vec, c), 6) DESC, doc_id) AS near FROM m JOIN ce USING (cluster) QUALIFY near <= 16),
- nt AS (SELECT cluster, near, CASE WHEN doc_id % 4 = 0 THEN {Q.trimmed("' why ' || substr(text, 1, 50)")}
+ nt AS (SELECT cluster, near, CASE WHEN doc_id % 4 = 0 THEN {Q.trimmed("' why ' || text")}
    ELSE substr(text, 1, 200) END AS t FROM nr JOIN documents USING (doc_id)),
  nu AS (SELECT * FROM nt WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY cluster, substr(lower(t), 1, 80) ORDER BY near) = 1),
  reps AS (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY near) AS place, substr(t, 1, 300) AS text

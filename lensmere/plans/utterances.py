@@ -2,7 +2,7 @@
 
 The conversation texts are invented words, on which lexicons hardly ever
 fire.  Two messages in three therefore get a phrase chosen by conversation
-and turn, alone or in front of their own text; the table keeps the size of
+and turn in front of their own text; the table keeps the size of
 ``conversations`` and grows with it.
 """
 
@@ -14,34 +14,34 @@ from lensmere.plans import sql as Q
 from lensmere.tables import spread, table
 
 PHRASES = [
-    "hi", "Hello there", "hey, how are you?", "good evening doc!", "thanks a lot", "bye",
-    "who are you?", "what can you do", "are you a robot",
-    "I have crushing chest pain and my left arm pain is severe",
-    "no chest pain today, denies fever but a cough for 3 days",
-    "seizure last night, then another seizure, no seizure since",
-    "he was unconscious after a car crash with heavy bleeding",
-    "severe headache and confusion for about 2 weeks, really terrible",
-    "what is hypertension and why does blood pressure matter",
-    "what is the dose of this drug?", "how to treat a sore throat at home",
-    "explain why stress and anxiety ruin sleep",
-    "difference between a virus and bacteria, also which antibiotic helps?",
-    "my skin rash is itchy, slight swelling since 5 days",
-    "write me a long poem about autumn leaves", "write python code that sorts a list",
-    "who won the cricket world cup", "should i invest in bitcoin",
-    "what is the capital of france", "history of rome in two pages", "history of medicine",
-    "solve the quadratic equation", "tell me a joke", "plan a trip to goa",
-    "recommend a good laptop for gaming", "best recipe with lentils",
-    "and what about my father?", "more detail please", "why?",
-    "nausea, vomiting and stomach pain, 4 hours, getting worse; palpitations too",
-    "mild pain in the lower back, dull pain, recently", "I feel dizzy and tired lately",
-    "show sources please", "drug dosage prescription test results medical records diagnose me",
-    "my joint and muscle ache after exercise, past 2 months",
-    "asthma attack, wheezing, shortness of breath, can't breathe",
-    "she wants to end it all, suicidal thoughts, overdose",
-    "not great, exhausted... ugh", "what's up?", "please describe what you can cook for dinner",
-    "compare ibuprofen versus aspirin", "diabetes glucose insulin and hormone questions",
-    "sports teams matches scores tournaments discussion tonight",
-    "warfarin and lithium with multiple medications",
+    "hiya", "Good day", "hello, how are you doing?", "greetings", "thank you", "goodbye",
+    "what is your name?", "what do you do", "are you human",
+    "there is crushing chest pain and severe left arm pain since noon",
+    "denies fever, no chest pain, but a cough for 4 days",
+    "a seizure this morning, no seizure afterwards",
+    "found unconscious after a fall, heavy bleeding at the temple",
+    "terrible headache with confusion, about 3 weeks now, severe at night",
+    "why does blood pressure rise, and what is hypertension?",
+    "which dose is right for my age", "how to treat mild sunburn at home",
+    "explain how anxiety and stress change sleep",
+    "difference between bacteria and a virus, and when an antibiotic helps",
+    "itchy skin rash with slight swelling, 6 days",
+    "compose a poem about the sea", "debug my python script please",
+    "who discovered radium", "is ethereum a good investment", "currency of Norway",
+    "history of the steam engine", "history of medicine in short",
+    "evaluate this integral for me", "crack a joke", "weather forecast for the weekend",
+    "which smartphone has the best camera", "a recipe for onion soup",
+    "what about my sister?", "go on", "how?",
+    "vomiting, nausea and stomach pain for 5 hours, getting worse, with palpitations",
+    "dull pain in the lower back, mild, since recently", "lately I feel dizzy and tired",
+    "please show your sources", "diagnose me from my test results and medical records, drug dosage, prescription",
+    "knee joint and muscle ache after running, past 3 months",
+    "wheezing, can't breathe, shortness of breath, an asthma attack",
+    "he spoke of suicidal thoughts and an overdose, wants to end it all",
+    "not well, worn out... ugh", "what's new?", "describe what you can do in a kitchen",
+    "ibuprofen versus aspirin, compare them", "insulin, glucose, hormone and diabetes questions",
+    "scores of tonight's tournament matches",
+    "lithium together with warfarin and multiple medications",
 ]
 N = len(PHRASES)
 
@@ -53,7 +53,7 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("conv_id") * 31 + F.col("turn") * 7) % N + 1).cast("int"))
     mode = (F.col("conv_id") * 5 + F.col("turn")) % 3
     said = (
-        F.when(mode == 0, F.col("text")).when(mode == 1, phrase)
+        F.when(mode == 0, F.col("text")).when(mode == 1, F.concat_ws("\n", phrase, F.col("text")))
         .otherwise(F.concat_ws(" ", phrase, F.col("text")))
     )
     return c.select("conv_id", "turn", "role", said.alias("text"))
@@ -61,6 +61,6 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL = f"""u AS (SELECT conv_id, turn, role,
   CASE (conv_id * 5 + turn) % 3 WHEN 0 THEN text
-  WHEN 1 THEN ({Q.array(PHRASES)})[(conv_id * 31 + turn * 7) % {N} + 1]
+  WHEN 1 THEN concat_ws(chr(10), ({Q.array(PHRASES)})[(conv_id * 31 + turn * 7) % {N} + 1], text)
   ELSE concat_ws(' ', ({Q.array(PHRASES)})[(conv_id * 31 + turn * 7) % {N} + 1], text) END AS text
   FROM conversations)"""
