@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession, functions as F
 from lensmere.operators import chunking, corpus, dense, evaluation, lexical, models, tree
 from lensmere.session import ship
 from lensmere.sources import readers, writers
+from lensmere.tables import exists
 
 
 def chunk(spark, a) -> None:
@@ -37,8 +38,7 @@ def index(spark, a) -> None:
     if a.append:
         have = spark.read.parquet(f"{a.output}/vectors")
         fresh = corpus.new_rows(chunks, have).select("id", embed(F.col("text")).alias("embedding"))
-        fresh.select("id", F.col("embedding").cast("array<float>")).write.mode("append").parquet(
-            f"{a.output}/vectors")
+        writers.write_vector_index(fresh, a.output, f"hashing-{a.dim}", "append")
     else:
         writers.write_vector_index(
             chunks.select("id", embed(F.col("text")).alias("embedding")), a.output, f"hashing-{a.dim}")
@@ -58,6 +58,7 @@ def shrink(spark, a) -> None:
     ranges.write.mode("overwrite").parquet(f"{a.output}/ranges")
     stored = spark.read.parquet(f"{a.output}/ranges")
     dense.encode(v, stored).write.mode("overwrite").parquet(f"{a.output}/codes")
+    writers.describe_codes(spark, a.input, a.output)
     decoded = dense.decode(spark.read.parquet(f"{a.output}/codes"), stored)
     asked = evaluation.sample(v, "doc_id", a.sample, 0).withColumnRenamed("doc_id", "query_id")
     exact, near = dense.search(asked, v, a.k), dense.search(asked, decoded, a.k)
@@ -87,13 +88,11 @@ def summary_tree(spark, a) -> None:
 
 
 def contexts(spark, a) -> None:
-    """Generated contexts for chunks that have none; the default takes the first words."""
+    """Generated contexts for chunks that have none; the default takes the chunk's first words (0: all)."""
     chunks = spark.read.parquet(a.input).select("id", "text")
-    try:
-        todo = corpus.new_rows(chunks, spark.read.parquet(a.output))
-    except Exception:
-        todo = chunks
-    ctx = F.substring(F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " "), 1, 240)
+    todo = corpus.new_rows(chunks, spark.read.parquet(a.output)) if exists(spark, a.output) else chunks
+    words = F.split("text", r"\s+")
+    ctx = F.array_join(F.slice(words, 1, a.context_words) if a.context_words else words, " ")
     todo.select("id", ctx.alias("ctx")).write.mode("append").parquet(a.output)
 
 
@@ -129,6 +128,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--domains", type=int, default=0)
     p.add_argument("--cap", type=int, default=0)
     p.add_argument("--max-concepts", type=int, default=0)
+    p.add_argument("--context-words", type=int, default=0)
     return p
 
 

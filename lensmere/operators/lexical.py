@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from lensmere.functions import text as X
 from lensmere.operators.dense import SCORE_DIGITS, merge, rank
 from lensmere.operators.topk import BestPerQuery
+from lensmere.tables import exists
 
 # BM25 and vocabulary parameters.
 K1, B, VOCABULARY_CAP = 1.5, 0.75, 200_000
@@ -257,10 +258,9 @@ def index_is_current(docs: DataFrame, folder: str, stopwords: list | None = None
     toks = tokens(docs, stopwords)
     fingerprint = F.sum(F.xxhash64("doc_id", F.array_join("tokens", " ")).cast("decimal(38,0)"))
     now = toks.agg(F.count("*").alias("n"), fingerprint.cast("string").alias("f")).first()
-    try:
-        then = spark.read.parquet(f"{folder}/stats").first()
-    except Exception:
+    if not exists(spark, f"{folder}/stats"):
         return False
+    then = spark.read.parquet(f"{folder}/stats").first()
     return then is not None and (then["n_docs"], then["fingerprint"]) == (now["n"], now["f"])
 
 

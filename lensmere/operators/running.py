@@ -67,10 +67,12 @@ def order_statistics(df: DataFrame, column: str, ranks: dict, buckets: int = 409
     """
     x = F.col(column).cast("double")
     data = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    bounds = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # Buckets are even on a logarithmic scale: a few far values leave the others spread.
+    y = F.signum("x") * F.log1p(F.abs("x"))
+    bounds = data.agg(F.min(y).alias("lo"), F.max(y).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     bucket = F.when(hi > lo, F.least(
-        F.lit(buckets - 1), F.floor((F.col("x") - lo) / (hi - lo) * buckets))).otherwise(0)
+        F.lit(buckets - 1), F.floor((y - lo) / (hi - lo) * buckets))).otherwise(0)
     bucketed = data.withColumn("bucket", bucket.cast("int"))
     histogram = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)

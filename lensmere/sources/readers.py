@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lensmere.functions import text as X
-from lensmere.tables import CHUNK_SCHEMA
+from lensmere.tables import CHUNK_SCHEMA, exists
 
 # Field names in order of preference, concept file columns.
 QUESTION_FIELDS = ["question", "q", "Question", "QUESTION"]
@@ -162,16 +162,18 @@ def parse_chunk_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_drug_files(spark: SparkSession, paths: list) -> DataFrame | None:
-    """JSON arrays of drug records from those paths that exist."""
+    """JSON arrays of drug records from those paths that exist.
+
+    A path that is there but cannot be read is an error, never a gap.  An array
+    is one document, so a file of it is read by one task: split large ones.
+    """
     from lensmere.operators.corpus import drug_documents, union
 
     parts = []
     for path in paths:
-        try:
+        if exists(spark, path):
             records = spark.read.option("multiLine", "true").json(path)
             parts.append(drug_documents(records, F.lit(path.rsplit("/", 1)[-1])))
-        except Exception as problem:
-            print(f"skipping {path}: {str(problem)[:200]}")
     return union(parts) if parts else None
 
 

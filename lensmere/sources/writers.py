@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lensmere.functions import vectors as V
+from lensmere.operators import dense
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
@@ -18,14 +19,15 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite",
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).json(path)
 
 
-def write_vector_index(chunks: DataFrame, path: str, model: str) -> None:
+def write_vector_index(chunks: DataFrame, path: str, model: str, mode: str = "overwrite") -> None:
     """Unit-length vectors with their ids, and one row describing the index.
 
-    ``chunks``: (id, embedding).  Vectors are keyed, never positional.
+    ``chunks``: (id, embedding).  Vectors are keyed, never positional.  Mode
+    ``append`` adds vectors and describes the whole index anew.
     """
     unit = chunks.select("id", V.normalised(F.col("embedding")).cast("array<float>")
                          .alias("embedding"))
-    unit.write.mode("overwrite").parquet(f"{path}/vectors")
+    unit.write.mode(mode).parquet(f"{path}/vectors")
     written = chunks.sparkSession.read.parquet(f"{path}/vectors")
     written.agg(
         F.count("*").alias("total_chunks"), F.max(F.size("embedding")).alias("dimension"),
@@ -39,13 +41,23 @@ def open_vector_index(spark: SparkSession, path: str, chunks: DataFrame,
     config = spark.read.json(f"{path}/config").first()
     if model is not None and config["embedding_model"] != model:
         raise ValueError(f"index was built with {config['embedding_model']}, not {model}")
-    vectors = spark.read.parquet(f"{path}/vectors")
+    if "codes" in config.asDict().values():
+        vectors = dense.decode(spark.read.parquet(f"{path}/codes"), spark.read.parquet(
+            f"{path}/ranges")).withColumnRenamed("doc_id", "id")
+    else:
+        vectors = spark.read.parquet(f"{path}/vectors")
     problems = integrity(vectors, chunks).first()
     if problems["without_vector"] or problems["without_chunk"]:
         raise ValueError(f"index and chunks differ: {problems.asDict()}")
     return vectors
 
 
+def describe_codes(spark: SparkSession, path: str, codes: str) -> None:
+    """Give codes made from an index its description, so that they open like it."""
+    spark.read.json(f"{path}/config").withColumn("storage", F.lit("codes")).write.mode(
+        "overwrite").json(f"{codes}/config")
+
+
 def integrity(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: chunks, vectors, and how many of each lack the other."""
     both = chunks.select("id", F.lit(1).alias("c")).join(
@@ -70,8 +82,11 @@ def swap_index(spark: SparkSession, measured_recall: float, minimum: float, curr
     fs = old.getFileSystem(conf)
     if fs.exists(kept):
         raise ValueError(f"a backup already exists: {backup}")
-    if not (fs.rename(old, kept) and fs.rename(new, old)):
-        raise IOError("the index could not be moved into place")
+    if not fs.rename(old, kept):
+        raise IOError("the index could not be moved aside")
+    if not fs.rename(new, old):
+        fs.rename(kept, old)
+        raise IOError("the new index could not be moved into place; the old one is back")
 
 
 def report(df: DataFrame, path: str) -> None:

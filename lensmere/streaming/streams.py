@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lensmere.operators.corpus import new_rows
+from lensmere.tables import exists
 
 
 def count_sessions(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -63,11 +64,8 @@ def add_contexts(chunks: DataFrame, generate: Callable[[Column], Column], folder
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         todo = batch.select("id", "text")
-        try:
-            done = spark.read.parquet(folder).filter(F.col("batch") < number)
-            todo = new_rows(todo, done)
-        except Exception:
-            pass  # nothing written yet
+        if exists(spark, f"{folder}/batch=*"):
+            todo = new_rows(todo, spark.read.parquet(folder).filter(F.col("batch") < number))
         todo.select("id", generate(F.col("text")).alias("ctx")).write.mode(
             "overwrite").parquet(f"{folder}/batch={number}")
 

@@ -33,6 +33,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder (a pattern may be given) in the store of that path?"""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy text work one partition per core when the scan has fewer.
 

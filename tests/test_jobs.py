@@ -1,6 +1,7 @@
 """The batch jobs one after the other on a small directory."""
 
 from lensmere.jobs import build
+from lensmere.sources import writers
 
 
 def test_chain(spark, tmp_path):
@@ -36,6 +37,12 @@ def test_chain(spark, tmp_path):
     codes = str(tmp_path / "codes")
     build.main(["shrink", "--input", vectors, "--output", codes, "-k", "3", "--sample", "20"])
     assert spark.read.parquet(f"{codes}/codes").count() == n
+    # Applied, the codes stand in the index's place and open like it.
+    shrunk = str(tmp_path / "shrunk")
+    build.main(["shrink", "--input", vectors, "--output", shrunk, "-k", "3", "--sample", "20", "--min-recall", "0", "--apply"])
+    opened = writers.open_vector_index(spark, vectors, chunks)
+    assert opened.count() == n and opened.columns == ["id", "embedding"]
+    assert spark.read.json(f"{vectors}/config").first().total_chunks == n
 
 
 def test_evaluation_report(spark, sf, tmp_path):

@@ -26,3 +26,12 @@ def test_chunks_of_text_ids_are_numbered(spark):
     df = spark.createDataFrame(rows, "doc_id string, chunk_index int, text string")
     got = chunking.number_chunks(df, "c_", 3).orderBy("doc_id", "chunk_index").collect()
     assert [r.id for r in got] == [f"c_{i:03}" for i in range(30)]
+
+
+def test_order_statistics_with_far_values(spark):
+    values = [float(i % 200) for i in range(2000)] + [1e12, -1e9, 0.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    ranks = {"low": lambda n: F.lit(0), "middle": lambda n: F.floor(n / 2), "high": lambda n: n - 1}
+    got = {r.name: r.value for r in running.order_statistics(df, "x", ranks).collect()}
+    ordered = sorted(values)
+    assert got == {"low": ordered[0], "middle": ordered[len(values) // 2], "high": ordered[-1]}
