@@ -132,9 +132,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     kind = rows.schema["key"].dataType
     runs = rows.mapInArrow(_runs(size, longest), T.StructType([
         T.StructField("hash", T.LongType()), T.StructField("key", kind), T.StructField("mark", T.IntegerType()), T.StructField("place", T.IntegerType())]))
-    often = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # Written first: Spark splits a hot run in a join only where both sides come straight from a shuffle.
+    often = shared.staged(runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     repeated = shared.staged(runs.join(often, "hash"))
-    firsts = repeated.groupBy("hash").agg(F.min(F.struct("key", "mark", "place")).alias("first"))
+    firsts = shared.staged(repeated.groupBy("hash").agg(F.min(F.struct("key", "mark", "place")).alias("first")))
     later = (repeated.join(firsts, "hash").where(~F.struct("key", "mark", "place").eqNullSafe(F.col("first")))
              .groupBy("key", "mark").agg(F.sort_array(F.collect_set("place")).alias("_places"))
              .withColumnsRenamed({"key": "_key", "mark": "_mark"}))
