@@ -241,7 +241,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     named = (keyed.join(distinct, "vec", "left").join(links, "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left")
              .select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
                      F.coalesce("root", "vec").alias("root")))
-    lowest = named.where("root is not null").groupBy("root").agg(F.min("key").alias("component"))
+    lowest = shared.staged(named.where("root is not null").groupBy("root").agg(F.min("key").alias("component")))  # so that a large component is split in the join
     return (named.join(lowest, "root", "left")
             .select(F.col("key").alias(key), "n_links",
                     F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
