@@ -10,21 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lensmere.llm import minhash, mixing, pieces, quality, shared, spans
-from lensmere.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text accepts."""
-    ship(spark)
+    shared.prepared(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classified(docs.select(COLUMNS), labels).where("accepted").select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (five words, 0.8); of repeated rows one."""
-    ship(spark)
+    shared.prepared(spark)
     # Ids may be null or repeated; (is it null, id, number of the row) is neither.  The rows come from a
     # written table, so a number stays with its row.
     rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
@@ -35,20 +34,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; ``n_chars`` counts what is left."""
-    ship(spark)
+    shared.prepared(spark)
     out = spans.without_repeats(docs.select(COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document, dealt to the mix's shards and shuffled within each."""
-    ship(spark)
+    shared.prepared(spark)
     return mixing.mixed(docs.select(COLUMNS)).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place").select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that the ids decode to, a row per row of the mix."""
-    ship(spark)
+    shared.prepared(spark)
     return pieces.decoded(pieces.encoded(docs.select("doc_id", "text"))).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 

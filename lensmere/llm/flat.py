@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in groups of about so many bytes; one longer text makes a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -72,6 +72,15 @@ def groups(column: pa.Array | pa.ChunkedArray, most: int = GROUP_BYTES) -> Itera
         first = last
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about so many bytes in one column, so that only those become Python objects."""
+    at = 0
+    for first, _, offsets in groups(batch.column(column), most):
+        yield batch.slice(first, len(offsets) - 1)
+        at = first + len(offsets) - 1
+    assert at == batch.num_rows
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; equal bytes give equal hashes wherever they stand."""
     n = len(data)

@@ -19,12 +19,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lensmere.llm import flat
+
 SPACE = "▁"
 #: A worker keeps the ids of so many short words; it starts anew beyond that.
 REMEMBERED = 300_000
 REMEMBERED_CHARS = 24
 #: Symbols that one call of the merge rounds takes at a time; a longer word makes a call of its own.
-ROUND_SYMBOLS = 1 << 20
+ROUND_SYMBOLS = 1 << 19
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -334,17 +336,10 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str |
     return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(text, T.StringType())]))
 
 
-def _groups(batch: pa.RecordBatch, chars: int = 1 << 20):
-    """Parts of a batch of about so many characters: (keys, texts)."""
-    texts = batch.column("text").to_pylist()
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= chars):
-            size += len(texts[stop] or "")
-            stop += 1
-        yield batch.column("key").slice(start, stop - start), texts[start:stop]
-        start = stop
+def _groups(batch: pa.RecordBatch):
+    """(keys, texts) of parts of a batch."""
+    for part in flat.slices(batch, "text"):
+        yield part.column("key"), part.column("text").to_pylist()
 
 
 def digested(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:

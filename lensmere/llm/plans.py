@@ -5,16 +5,16 @@ from __future__ import annotations
 import functools
 import importlib
 
-from lensmere.session import ship
+from lensmere.llm.shared import prepared
 
 MODULES = ["minhash_query", "chat_query", "mixing_query", "pq_query", "token_edits_query", "pieces_query", "spans_query", "html_query",
            "topk_query", "quality_query"]
 
 
-def _shipped_first(run):
+def _prepared_first(run):
     @functools.wraps(run)
     def call(spark, sf):
-        ship(spark)
+        prepared(spark)
         return run(spark, sf)
 
     return call
@@ -24,5 +24,5 @@ def registry() -> dict:
     out = {}
     for name in MODULES:
         module = importlib.import_module(f"lensmere.llm.{name}")
-        out |= {key: (_shipped_first(run), sql) for key, (run, sql) in module.REGISTRY.items()}
+        out |= {key: (_prepared_first(run), sql) for key, (run, sql) in module.REGISTRY.items()}
     return out

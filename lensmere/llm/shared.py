@@ -7,11 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lensmere.session import checkpoint_folder
+from lensmere.session import checkpoint_folder, ship
+
+#: Rows pass between Spark and Python in batches of at most so many bytes.
+BATCH_BYTES = "8m"
 
 _fallback: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> None:
+    """Make the package known to the Python workers and bound what they hold at a time.
+
+    Texts differ widely in length, so batches are bounded by bytes, not only by rows; the setting stays
+    for the session.
+    """
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``, removed when the application ends.
 
