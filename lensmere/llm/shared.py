@@ -32,11 +32,15 @@ def folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        root = _fallback.setdefault(app, "") or _fallback.update({app: tempfile.mkdtemp(prefix="lensmere-")}) or _fallback[app]
-        checkpoint_folder(spark, root)
+        if app not in _fallback:
+            _fallback[app] = tempfile.mkdtemp(prefix="lensmere-")
+        root = checkpoint_folder(spark, _fallback[app])
     path = f"{root.rstrip('/')}/lensmere-llm-{uuid.uuid4().hex}"
-    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    store, where = _file_system(spark, path)
+    store.deleteOnExit(where)
     return path
 
 

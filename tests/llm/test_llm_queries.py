@@ -93,7 +93,7 @@ def test_quality_query(spark, sf, docs):
     got = registry()["op10_quality_classifier"][0](spark, sf).toPandas()
     assert len(got) == docs.count() and got.log_perplexity.notna().all()
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").toPandas().merge(got, on="doc_id")
-    assert labels[labels.quality == 1].accepted.mean() >= 0.95
+    assert labels[labels.quality == 1].kept.mean() >= 0.95
 
 
 def test_pipeline(spark, sf, docs):
@@ -103,7 +103,7 @@ def test_pipeline(spark, sf, docs):
     stages = dict(corpus_pipeline.STAGES)
 
     kept = stages["quality"](spark, docs, sf).cache()
-    verdicts = {r.doc_id: r.accepted for r in registry()["op10_quality_classifier"][0](spark, sf).collect()}
+    verdicts = {r.doc_id: r.kept for r in registry()["op10_quality_classifier"][0](spark, sf).collect()}
     assert kept.columns == COLUMNS and {r.doc_id for r in kept.collect()} == {k for k, v in verdicts.items() if v}
 
     rows = kept.toPandas()
