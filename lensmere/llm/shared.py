@@ -70,8 +70,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node that can be reached.
 
     Alternates large and small stars: each round hangs neighbours under the smallest node seen, and the
-    number of links never grows.  A node with very many links is pre-aggregated before the shuffle, and
-    the join back splits it.  Links with a null end are left out.
+    number of links never grows.  The smallest neighbours are pre-aggregated before their shuffle and
+    written before the join back, so that Spark can split a node with very many links there.  Links with
+    a null end are left out.
     """
     edges = staged(links.select("a", "b").where("a is not null and b is not null and a <> b")
                    .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -82,15 +83,16 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = mark
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(small_low.withColumnRenamed("a", "c"), F.col("a") == F.col("c"))
-                 .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-                                           F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-                 .select("e.*").where("a <> b").distinct())
-        new = staged(small)
-        dropped(edges)
-        edges = new
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m")))
+        large = staged(both.where("b > a").join(low, F.col("a") == F.col("c"))
+                       .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        lowest = staged(large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")))
+        small = staged(large.join(lowest, F.col("a") == F.col("c"))
+                       .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+                                                 F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+                       .select("e.*").where("a <> b").distinct())
+        for done in (edges, low, large, lowest):
+            dropped(done)
+        edges = small
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
