@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     run, extra = _sketch(words, functions, width)
-    sketch = shared.staged(rows.mapInArrow(run, T.StructType([rows.schema["key"], *extra])))
+    sketch = shared.staged(rows.mapInArrow(shared.tidy(run), T.StructType([rows.schema["key"], *extra])))
 
     members = sketch.where("print is not null").select("print", F.explode("bands").alias("band")).distinct()
     leads = members.groupBy("band").agg(F.min("print").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -203,13 +203,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             .groupBy("print").agg(F.min("key").alias("key")).select(F.col("key").alias("wanted_key")).distinct())
     sets = shared.staged(
         rows.join(keys, F.col("key").eqNullSafe(F.col("wanted_key"))).select("text")
-        .mapInArrow(_sets(words), "print binary, set binary")
+        .mapInArrow(shared.tidy(_sets(words)), "print binary, set binary")
         .join(wanted, "print", "left_semi").dropDuplicates(["print"]))
 
     pairs = full.where("print <> lead").select("print", "lead").distinct()
     lead_sets = sets.select(F.col("print").alias("lead"), F.col("set").alias("lead_set"))
     star = (pairs.join(sets, "print").join(lead_sets, "lead").select("print", "lead", "set", "lead_set")
-            .mapInArrow(_star_links(percent), "a binary, b binary"))
+            .mapInArrow(shared.tidy(_star_links(percent)), "a binary, b binary"))
     first = shared.staged(shared.components(star))
 
     # The first member of a bucket has met all others.  Those are still open where they are of several

@@ -10,7 +10,6 @@ Covers BPE models with the identity normaliser, a dummy prefix and kept white sp
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lensmere.llm import flat
+from lensmere.llm import flat, shared
 
 SPACE = "▁"
 #: A worker keeps the ids of so many short words; it starts anew beyond that.
@@ -297,9 +296,19 @@ def _gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return flat[index]
 
 
-@functools.cache
+def _forget() -> None:
+    """Drop the words that this worker remembers."""
+    for known in _known.values():
+        known._forget()
+
+
+_known: dict[str, Pieces] = {}
+
+
 def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+    if path not in _known:
+        _known[path] = Pieces(path)
+    return _known[path]
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -318,7 +327,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    out = rows.mapInArrow(shared.tidy(run, _forget), T.StructType([rows.schema["key"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.withColumnRenamed("key", key)
 
 
@@ -333,7 +342,7 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str |
             texts = [None if x.as_py() is None else pieces.decode(np.asarray(x.values, np.int64)) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(shared.tidy(run, _forget), T.StructType([*rows.schema, T.StructField(text, T.StringType())]))
 
 
 def _groups(batch: pa.RecordBatch):
@@ -361,7 +370,7 @@ def digested(docs: DataFrame, key: str = "doc_id", text: str = "text", model: st
                     names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, T.StructType([
+    out = rows.mapInArrow(shared.tidy(run, _forget), T.StructType([
         rows.schema["key"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType())]))
     return out.withColumnRenamed("key", key)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lensmere.session import checkpoint_folder, ship
@@ -25,6 +29,24 @@ def prepared(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def tidy(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """A function on Arrow batches that leaves no memory behind: Spark keeps its Python workers for later stages."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``, removed when the application ends.
 

@@ -130,7 +130,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = docs.drop("removed_words")
     rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("mark"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType
-    runs = rows.mapInArrow(_runs(size, longest), T.StructType([
+    runs = rows.mapInArrow(shared.tidy(_runs(size, longest)), T.StructType([
         T.StructField("hash", T.LongType()), T.StructField("key", kind), T.StructField("mark", T.IntegerType()), T.StructField("place", T.IntegerType())]))
     # Written first: Spark splits a hot run in a join only where both sides come straight from a shuffle.
     often = shared.staged(runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
@@ -156,4 +156,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 texts = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*(texts if c == text else batch.column(c) for c in kept), pa.array(removed)], names=[*kept, "removed_words"])
 
-    return joined.select(*kept, "_places").mapInArrow(run, T.StructType([*docs.schema, T.StructField("removed_words", T.LongType())]))
+    return joined.select(*kept, "_places").mapInArrow(shared.tidy(run), T.StructType([*docs.schema, T.StructField("removed_words", T.LongType())]))
