@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lensmere.llm import flat, shared
 
 RUN = 3
-#: A sentence counts as a new one after so many words, so that one long sentence is a run by itself.
+#: A longer sentence is cut where its words decide, and after so many words at the latest, so that it holds runs of its own.
 LONGEST = 16
+#: A long sentence is cut before the second word of a pair whose hash is the least among so many pairs on either side.
+AROUND = 4
 #: A covered stretch shorter than this stays: set phrases are no copied passages.
 LEAST_WORDS = 25
 
@@ -27,6 +29,23 @@ _LINE[list(b"\n\r")] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _cuts(h: np.ndarray, first: np.ndarray, longest: int, around: int = AROUND) -> np.ndarray:
+    """Where sentences of more than ``longest`` words are cut; ``first`` has the words that begin one.
+
+    A cut depends on the words next to it alone, so equal passages are cut alike wherever in a sentence they begin.
+    """
+    n = len(h)
+    pair = np.zeros(n, np.uint64)
+    pair[1:] = flat.mix(h[:-1] * _STEP + h[1:])
+    least = np.ones(n, bool)
+    for d in range(1, around + 1):
+        least[d:] &= pair[d:] <= pair[:-d]
+        least[:-d] &= pair[:-d] <= pair[d:]
+    sizes = np.diff(np.append(first, n))
+    place, size = np.arange(n) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    return least & (size > longest) & (place > around) & (place + around < size)
+
+
 class Units:
     """The sentences of a group of texts: byte starts, words, hashes, and offsets by text."""
 
@@ -46,11 +65,12 @@ class Units:
         begins = np.ones(n, bool)
         begins[1:] = stop[:-1]
         begins[rows[:-1][np.diff(rows) > 0]] = True
+        h = flat.span_hashes(low, starts, ends)
+        begins |= _cuts(h, np.flatnonzero(begins), longest)
         first = np.flatnonzero(begins)
         place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
         unit = np.flatnonzero(place % longest == 0)
         ends_at = np.append(unit[1:], n)
-        h = flat.span_hashes(low, starts, ends)
         up, down = flat._powers.to(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(h * up[:n], out=sums[1:])
@@ -120,7 +140,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     A run of ``size`` consecutive sentences (words compared with A-Z lower-cased, whatever the white space)
     belongs to the smallest key and place that holds it; elsewhere, within a document too, its sentences are
     removed where the covered stretch has ``least`` words or more.  A text of fewer sentences is one run.
-    Sentences end at ``.``, ``!``, ``?`` (a closing quote or bracket may follow) or a line end.
+    Sentences end at ``.``, ``!``, ``?`` (a closing quote or bracket may follow) or a line end; one of more
+    than ``longest`` words is cut into several at places that its words decide.
 
     A null or empty text stays as it is; a text that is removed whole becomes empty.  Rows that repeat key
     and text are one document; equal texts under different keys are copies, the smallest key keeps its text.
