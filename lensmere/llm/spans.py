@@ -17,8 +17,8 @@ RUN = 3
 LONGEST = 16
 #: A long sentence is cut before the second word of a pair whose hash is the least among so many pairs on either side.
 AROUND = 4
-#: A covered stretch shorter than this stays: set phrases are no copied passages.
-LEAST_WORDS = 25
+#: Words of a covered stretch that is removed: any, the size of a run is the only measure.
+LEAST_WORDS = 1
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True

@@ -36,3 +36,14 @@ def test_one_edit_does_not_hide_the_rest_of_a_sentence(spark):
     rows = [(0, " ".join(line)), (1, " ".join(line[:50] + ["inserted"] + line[50:]))]
     got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].removed_words == 0 and got[1].removed_words >= 160 and "inserted" in got[1].text
+
+
+def test_short_repeats_go_too(spark):
+    """Copies of a short text, of three short sentences and of lines without spaces."""
+    rows = [(i, "Only five words in here.") for i in range(5)]
+    rows += [(10, "One two. Three four. Five six. Own end of ten."), (11, "Begin of eleven. One two. Three four. Five six."),
+             (12, "aaaa\nbbbb\ncccc\ndddd"), (13, "first\naaaa\nbbbb\ncccc\ndddd\nlast")]
+    got = {r.doc_id: (r.text, r.removed_words) for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [(rows[0][1], 0)] + [("", 5)] * 4
+    assert got[10] == (rows[5][1], 0) and got[11] == ("Begin of eleven.", 6)
+    assert got[12] == (rows[7][1], 0) and got[13] == ("first\nlast", 4)
