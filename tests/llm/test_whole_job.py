@@ -1,8 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
+import os
 import random
+import sys
 
-from lensmere.llm import spans
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import plain  # noqa: E402
+from lensmere.llm import quality, spans  # noqa: E402
 
 
 def words(rng, n):
@@ -47,3 +54,29 @@ def test_short_repeats_go_too(spark):
     assert [got[i] for i in range(5)] == [(rows[0][1], 0)] + [("", 5)] * 4
     assert got[10] == (rows[5][1], 0) and got[11] == ("Begin of eleven.", 6)
     assert got[12] == (rows[7][1], 0) and got[13] == ("first\nlast", 4)
+
+
+# 10. Classifier
+
+
+@pytest.mark.parametrize("most", [300, 1 << 21])
+def test_every_gram_counts_whatever_is_held_at_a_time(spark, most):
+    """A model of more grams than are held gives each language the perplexities of the whole model."""
+    rng = random.Random(5)
+    trusted = [(" ".join(words(rng, 60)), "aa") for _ in range(20)] + [("ÄÖ kleine Sprache, wenig Text 你好", "bb"), ("x", None)]
+    docs = trusted[:3] + trusted[20:] + [(" ".join(words(rng, 30)), "aa"), ("你好 kleine", "bb"), ("unknown", "cc"), ("", "aa"), (None, "aa")]
+    sent = quality.sent_out(spark.createDataFrame(trusted, "text string, lang string"), 5, most)
+    assert (len(sent) > 5) == (most == 300)
+    rows = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "i long, text string, lang string")
+    got = {r.i: r.log_perplexity for r in quality._scored(rows, sent, 5, "text", "lang", ["i"]).collect()}
+    score = plain.kneser_ney(trusted)
+    for i, (text, lang) in enumerate(docs):
+        assert got[i] == (pytest.approx(score(text, lang), rel=1e-5) if text else None)
+
+
+def test_rare_grams_stay_with_a_small_table(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 40)), "aa") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    by = [{r.doc_id: r.log_perplexity for r in quality.classified(docs, labels, most_grams=m).collect()} for m in (500, 1 << 21)]
+    assert by[0] == pytest.approx(by[1], rel=1e-5)
