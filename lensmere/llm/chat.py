@@ -19,7 +19,7 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 #: Turns rendered together.  A longer conversation goes on in further windows, each after the last turn of
-#: the one before, so that work grows with its length and a task holds one window at a time.
+#: the one before, so that work grows with its length.  What they give together is held against whole prefixes.
 WINDOW = 64
 MARKER = "\ue000"
 _START, _END = "<|im_start|>", "<|im_end|>"
@@ -96,12 +96,42 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int):
         yield key, number, turns, before
 
 
+def _conversations(windows, template: Template):
+    """(key, number, text, turns, spans, rewrites) of every part.
+
+    The parts so far are held against the template's text of all turns so far after 1, 2, 4, 8 ... windows and
+    after the last.  Where they differ, or a window rewrites, the conversation does and is one part.
+    """
+    key, parts, turns, text, rewrites = None, [], [], "", False
+
+    def done():
+        if len(parts) > 1 and (rewrites or template(turns) != text):
+            yield key, 0, template(turns), turns, [], True
+        else:
+            yield from parts
+
+    for k, number, own, before in windows:
+        if number == 0:
+            yield from done()
+            key, parts, turns, text, rewrites = k, [], [], "", False
+        turns.extend(own)
+        if not rewrites:
+            whole, found, rewrites = spans(own, template, before)
+            text += whole
+            parts.append((k, number, whole, own, found, rewrites))
+            if number and not rewrites and number + 1 & number == 0:
+                rewrites = template(turns) != text
+        else:
+            parts.append(None)  # not given out, the conversation is one part
+    yield from done()
+
+
 def formatted(conversations: DataFrame, template: Template = marked_turns, window: int = WINDOW, conv: str = "conv_id",
               turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, part, formatted, turns, rewrites), parts of a conversation in order within one partition.
 
     ``turns`` holds (role, start, stop, loss_start, loss_stop) in code points of the part.  A conversation
-    of up to ``window`` turns has one part.  Turns are ordered by number, then role, then text; a null
+    of up to ``window`` turns has one part, and so has one whose history is rewritten.  Turns are ordered by number, then role, then text; a null
     number comes first.  A null role or text is an empty one, rows with a null conversation form one.
     Repeated rows are turns each.  An empty table gives an empty result.  Other columns are not read.
     """
@@ -119,8 +149,7 @@ def formatted(conversations: DataFrame, template: Template = marked_turns, windo
         arrow = kinds.to_arrow_schema(schema)
         out: list[list] = [[] for _ in names]
         held = 0
-        for key, number, turns, before in _windows(batches, window):
-            whole, found, rewrites = spans(turns, template, before)
+        for key, number, whole, turns, found, rewrites in _conversations(_windows(batches, window), template):
             row = key, number, whole, [dict(zip(("role", "start", "stop", "loss_start", "loss_stop"), (r, *s)))
                                        for (r, _), s in zip(turns, found)], rewrites
             for column, value in zip(out, row):

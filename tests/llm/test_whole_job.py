@@ -9,13 +9,33 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import plain  # noqa: E402
-from lensmere.llm import quality, spans  # noqa: E402
+from lensmere.llm import chat, quality, spans  # noqa: E402
 
 
 def words(rng, n):
     return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n)]
 
 
+# 2. Chat
+
+
+def test_rewrites_that_only_long_conversations_show(spark):
+    """A template that drops turns older than 100 rewrites a conversation of 150, not one of 90 or 100."""
+    rows = [(c, i, "assistant" if i % 2 else "user", f"turn {i}") for c, n in ((1, 150), (2, 90), (3, 64), (4, 100)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def forgets(turns):
+        return "".join(f"[{r}]{t}\n" for r, t in turns[-100:])
+
+    got = {}
+    for r in chat.formatted(df, forgets).collect():
+        got.setdefault(r.conv, []).append(r)
+    for c, n in ((1, 150), (2, 90), (3, 64), (4, 100)):
+        assert {r.rewrites for r in got[c]} == {n > 100}
+        assert "".join(r.formatted for r in got[c]) == forgets([x[2:] for x in rows if x[0] == c])
+        assert sum(len(r.turns) for r in got[c]) == (0 if n > 100 else n)
+
+
 # 7. Substrings
 
 
