@@ -24,9 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (five words, 0.8); of repeated rows one."""
     shared.prepared(spark)
-    # Ids may be null or repeated; (is it null, id, number of the row) is neither.  The rows come from a
-    # written table, so a number stays with its row.
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    # Ids may be null or repeated; (is it null, id, number of the row) is neither.  The numbers are
+    # written, as those of another job may differ.
+    rows = shared.staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
     keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("key"), "text")
     gone = minhash.near_duplicates(keyed, key="key").where("not kept").select(F.col("key._row").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(COLUMNS)

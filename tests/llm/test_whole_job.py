@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import corpus_pipeline  # noqa: E402
 import plain  # noqa: E402
 from lensmere.llm import chat, quality, spans  # noqa: E402
 
@@ -100,3 +101,13 @@ def test_rare_grams_stay_with_a_small_table(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     by = [{r.doc_id: r.log_perplexity for r in quality.classified(docs, labels, most_grams=m).collect()} for m in (500, 1 << 21)]
     assert by[0] == pytest.approx(by[1], rel=1e-5)
+
+
+# Pipeline
+
+
+def test_row_numbers_of_near_dedup_are_written(spark, sf):
+    """Rows are numbered once: the jobs that find duplicates and the one that removes them read the same numbers."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = corpus_pipeline.near_dedup_stage(spark, docs, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan
