@@ -9,7 +9,7 @@ from lensmere.llm.shared import prepared
 
 MODULES = ["minhash_query", "chat_query", "mixing_query", "pq_query", "token_edits_query", "pieces_query", "spans_query", "html_query",
            "topk_query", "quality_query", "resampling_query",
-           "negatives_query"]
+           "negatives_query", "suffixes_query"]
 
 
 def _prepared_first(run):
