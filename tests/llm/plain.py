@@ -46,26 +46,53 @@ def near_duplicates(texts, size, percent):
     return {k: (len(sets[k]), roots[k]) for k in keys}
 
 
-def sentences(text, longest=16):
-    """Lists of word matches."""
-    out, now = [], []
+def pair_value(a, b):
+    """What decides about cuts between two words: a given value, not part of the rule."""
+    import numpy as np
+
+    from lensmere.llm import flat, spans
+
+    h = [flat.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in (a, b)]
+    return int(flat.mix(h[0] * spans._STEP + h[1])[0])
+
+
+def sentences(text, longest=16, around=4):
+    """Lists of word matches.  A sentence of more than ``longest`` words is cut before each word whose pair with the
+    word before has a value below those of the four pairs before and not above those of the four behind; parts still
+    too long are cut every ``longest`` words.  Each part keeps more than ``around`` words."""
     found = list(WORD.finditer(text))
+    whole, now = [], []
     for i, m in enumerate(found):
         now.append(m)
         w = m[0]
-        ends = (i + 1 == len(found) or w[-1] in ".!?" or len(w) > 1 and w[-1] in "\"')]" and w[-2] in ".!?"
-                or re.search(r"[\n\r]", text[m.end():found[i + 1].start()]))
-        if ends or len(now) == longest:
-            out.append(now)
+        if (i + 1 == len(found) or w[-1] in ".!?" or len(w) > 1 and w[-1] in "\"')]" and w[-2] in ".!?"
+                or re.search(r"[\n\r]", text[m.end():found[i + 1].start()])):
+            whole.append(now)
             now = []
+    out = []
+    for s in whole:
+        n = len(s)
+        value = [None] + [pair_value(low(s[i - 1][0]), low(s[i][0])) for i in range(1, n)] if n > longest else []
+        cuts = [0]
+        for i in range(around + 1, n - around if n > longest else 0):
+            if all(value[i] < value[i - d] and value[i] <= value[i + d] for d in range(1, around + 1)):
+                cuts.append(i)
+        for a, b in zip(cuts, cuts[1:] + [n]):
+            while b - a > longest + around:
+                out.append(s[a:a + longest])
+                a += longest
+            out.append(s[a:b])
     return out
 
 
-def without_repeats(rows, size=3, least=25):
+def without_repeats(rows, size=3):
     """[(text, words removed)] for (key, text) rows in order of their keys; rows that repeat both are one."""
+    import functools
+
     first, result = {}, {}
+    parts = functools.cache(sentences)
     for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        units = sentences(text or "")
+        units = parts(text or "")
         names = [tuple(low(m[0]) for m in u) for u in units]
         covered = [False] * len(units)
         for j in range(max(1, len(units) - size + 1) if units else 0):
@@ -78,11 +105,10 @@ def without_repeats(rows, size=3, least=25):
             y = x
             while y < len(units) and covered[y] == covered[x]:
                 y += 1
-            n = sum(map(len, units[x:y]))
-            if covered[x] and n >= least:
+            if covered[x]:
                 out += text[at:units[x][0].start()]
                 at = units[y][0].start() if y < len(units) else len(text)
-                gone += n
+                gone += sum(map(len, units[x:y]))
             x = y
         result[key, text] = ((out + text[at:]).strip(" \t\n\r\f\v"), gone) if gone else (text, 0)
     return [result[r] for r in rows]

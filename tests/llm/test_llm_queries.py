@@ -28,8 +28,8 @@ def test_against_sql(spark, sf, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry()) == list(range(1, 11))
-    assert WITH_SQL == ["op1_minhash_near_dedup", "op2_chat_formatting", "op4_pq_near_dedup", "op9_exact_top_k"]
+    assert sorted(int(n[2:].split("_")[0]) for n in registry()) == list(range(1, 14))
+    assert WITH_SQL == ["op11_importance_resampling", "op12_suffix_array_dedup", "op13_hard_negatives", "op1_minhash_near_dedup", "op2_chat_formatting", "op4_pq_near_dedup", "op9_exact_top_k"]
 
 
 @pytest.fixture(scope="module")

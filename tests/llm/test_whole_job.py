@@ -4,7 +4,9 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -77,6 +79,22 @@ def test_short_repeats_go_too(spark):
     assert got[12] == (rows[7][1], 0) and got[13] == ("first\nlast", 4)
 
 
+def test_one_word_again_and_again_is_no_repeat(spark):
+    """Equal pairs are cut at the first of them only; no part of a sentence has fewer than five words."""
+    rows = [(1, "It is very " + "very " * 30 + "late."), (2, "0 " * 22), (3, " ".join("ab cd".split() * 12)), (4, "one " * 17), (5, "x " * 33)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_hash", "_places", "_key", "_mark", "key", "mark", "row", "k", "m", "places", "hash", "other"):
+        df = df.withColumn(c, F.lit("own"))
+    got = spans.without_repeats(df).collect()
+    assert {(r.doc_id, r.text, r.removed_words) for r in got} == {(k, t, 0) for k, t in rows} and all(r._places == r.k == "own" for r in got)
+    rng = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rng.choices(["a", "b", "c", "a.", "d"] if rng.random() < 0.5 else ["a", "b"], k=rng.randint(1, 90)))
+        parts = plain.sentences(text)
+        units = spans.Units(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert units.words.tolist() == [len(p) for p in parts]
+
+
 # 10. Classifier
 
 
