@@ -42,9 +42,12 @@ def reciprocal_rank_fusion(lists: list, k: int = RRF_K) -> DataFrame:
 def hybrid(queries: DataFrame, docs: DataFrame, embedder: Embedder, k: int = 10,
            pool: int = POOL, pool_size: int | None = None,
            excluded: list | None = None, min_score: float | None = None,
-           embedded: DataFrame | None = None) -> DataFrame:
+           embedded: DataFrame | None = None, sparse: DataFrame | None = None) -> DataFrame:
     """Dense and lexical search fused per query.
 
+    ``embedded`` and ``sparse`` stand for stored vectors and for the hits of a
+    stored lexical index; with both, the texts are not read.
+
     ``queries``: (query_id, text); ``docs``: (doc_id, text[, category]).
     Result: (query_id, doc_id, rank, fused, score), where score is the dense
     similarity, or 0 for documents only the lexical arm found.  An empty
@@ -55,7 +58,7 @@ def hybrid(queries: DataFrame, docs: DataFrame, embedder: Embedder, k: int = 10,
         "doc_id", embedder(F.col("text")).alias("embedding"))
     d = dense.search(
         queries.select("query_id", embedder(F.col("text")).alias("embedding")), vectors, pool)
-    s = lexical.search(queries, docs, pool)
+    s = sparse if sparse is not None else lexical.search(queries, docs, pool)
     limit = pool_size or max(3 * k, k)
     fused = reciprocal_rank_fusion([d, s]).withColumnRenamed("score", "fused")
     if excluded:

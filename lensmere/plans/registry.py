@@ -7,7 +7,7 @@ import importlib
 
 from lensmere.session import ship
 
-MODULES = ["retrieval", "language", "dialogue", "corpora", "assembly", "measures", "ingest"]
+MODULES = ["retrieval", "language", "dialogue", "corpora", "assembly", "measures", "ingest", "stored"]
 
 
 def _shipped_first(run):
