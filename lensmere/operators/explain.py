@@ -159,10 +159,10 @@ def graph_edges(symptoms: Column, conditions: Column, treatments: Column) -> Col
                     links(conditions, "cond_", treatments, "treat_", "managed_by"))
 
 
-def package(responses: DataFrame, passages: DataFrame, level: Column) -> DataFrame:
+def package(responses: DataFrame, passages: DataFrame, level: Column, graphs: DataFrame) -> DataFrame:
     """All explanations of a response in one row per query.
 
-    Evidence has at most five entries per query.
+    Evidence has at most five entries per query; ``graphs``: (query_id, nodes, edges).
     """
     entries = alignment(responses, passages).groupBy("query_id").agg(F.array_sort(F.collect_list(
         F.struct("place", "passage_index", "source", "matched", "support"))).alias("evidence"))
@@ -171,4 +171,4 @@ def package(responses: DataFrame, passages: DataFrame, level: Column) -> DataFra
         "query_id", outline(F.col("text")).alias("outline"),
         counterfactuals(F.col("text"), F.col("_s")).alias("counterfactuals"))
     return texts.join(confidence(responses, passages, level), "query_id").join(
-        entries, "query_id", "left")
+        entries, "query_id", "left").join(graphs, "query_id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
-from lensmere.operators import (conversation, evidence, explain, lexical, replies, safety,
+from lensmere.operators import (conversation, evidence, explain, graph, lexical, replies, safety,
                                 symptoms)
 from lensmere.operators.pools import join_pool
 from lensmere.operators.running import running_count
@@ -38,8 +38,8 @@ def budget_fill(spark, sf):
 
 
 def _subtopics(spark, sf):
-    """Three subtopics per query: a word of the query or its beginning."""
-    words = F.slice(F.array_distinct(X.index_tokens(F.col("text"))), 1, 3)
+    """A subtopic per distinct word of the query: the word or its beginning."""
+    words = F.array_distinct(X.index_tokens(F.col("text")))
     return queries(spark, sf).select("query_id", F.transform(
         words, lambda w: F.array(w, F.substring(w, 1, 5))).alias("subtopics"))
 
@@ -121,7 +121,7 @@ BUDGET_SQL = f"WITH {PASSAGES}, {BUDGET} SELECT * FROM f"
 SUBTOPICS = f"""sw AS (SELECT query_id, list_distinct_ordered AS ws FROM (SELECT query_id,
    (SELECT list(t ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest({Q.tokens('q.text')}) AS t,
    generate_subscripts({Q.tokens('q.text')}, 1) AS i) GROUP BY t)) AS list_distinct_ordered FROM q)),
- st3 AS (SELECT query_id, list_transform(ws[1:3], lambda w: [w, substr(w, 1, 5)]) AS subs FROM sw),
+ st3 AS (SELECT query_id, list_transform(ws, lambda w: [w, substr(w, 1, 5)]) AS subs FROM sw),
  cv AS (SELECT f.query_id, len(list_filter(subs, lambda syn: len(list_filter(syn,
    lambda s: contains(lower(evidence), s))) > 0))::INT AS covered, len(subs)::INT AS subtopics
    FROM f JOIN st3 USING (query_id))"""
@@ -197,12 +197,14 @@ def explanation_confidence(spark, sf):
 def explanation_package(spark, sf):
     level = F.when(F.col("query_id") % 3 == 0, "CRITICAL").otherwise("LOW")
     q = queries(spark, sf)
-    packed = explain.package(q, passages(spark, sf), level)
+    p = passages(spark, sf)
+    packed = explain.package(q, p, level, graph.of_queries(q, p, DRUGS))
     return packed.select(
         "query_id", "confidence", F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence_count"),
         F.element_at("evidence", 1)["support"].alias("best_support"),
         F.element_at("counterfactuals", -1).alias("last_counterfactual"),
-        F.element_at("outline", 1).alias("first_sentence"))
+        F.element_at("outline", 1).alias("first_sentence"),
+        F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
 
 
 REPLY_HEADS = [
@@ -262,24 +264,34 @@ def counterfactuals(spark, sf):
         explain.counterfactuals(F.col("text"), F.col("symptoms"))).alias("position", "statement"))
 
 
+# The passages' category is their language here; these stand for the medication category.
+DRUGS = ("en",)
+
+
 def _graph(spark, sf):
-    own = F.array(F.concat(F.lit("Daily Ibuprofen Tablet with Aspirin. "), "text"))
-    g = _reply_symptoms(spark, sf).withColumn(
-        "conditions", explain.condition_candidates(F.col("text"), F.array().cast("array<string>"))
-    ).withColumn("treatments", explain.treatment_candidates(own))
-    return g
+    return graph.of_queries(queries(spark, sf), passages(spark, sf), DRUGS)
 
 
 def graph_nodes(spark, sf):
-    return _graph(spark, sf).select("reply_id", F.explode(explain.graph_nodes(
-        F.col("symptoms"), F.col("conditions"), F.col("treatments"))).alias("n")).select(
-        "reply_id", "n.id", "n.label", "n.type")
+    return _graph(spark, sf).select("query_id", F.explode("nodes").alias("n")).select(
+        "query_id", "n.id", "n.label", "n.type")
 
 
 def graph_edges(spark, sf):
-    return _graph(spark, sf).select("reply_id", F.explode(explain.graph_edges(
-        F.col("symptoms"), F.col("conditions"), F.col("treatments"))).alias("e")).select(
-        "reply_id", "e.source", "e.target", "e.label")
+    return _graph(spark, sf).select("query_id", F.explode("edges").alias("e")).select(
+        "query_id", "e.source", "e.target", "e.label")
+
+
+def _corpus(spark, sf):
+    return spread(table(spark, sf, "documents").select("text", F.col("lang").alias("category")))
+
+
+def corpus_graph_nodes(spark, sf):
+    return graph.nodes(_corpus(spark, sf), DRUGS)
+
+
+def corpus_graph_edges(spark, sf):
+    return graph.edges(_corpus(spark, sf), DRUGS)
 
 
 def passage_conditions(spark, sf):
@@ -316,24 +328,6 @@ SELECT q.query_id, CASE WHEN keys IS NULL THEN 0.5 ELSE round(greatest(0.3e0, le
  0.45e0 + 0.45e0 * (coalesce(seen, 0) / len(keys)) - CASE WHEN q.query_id % 3 = 0 THEN 0.1e0 ELSE 0 END)), 3)
  END::DOUBLE AS confidence FROM q LEFT JOIN ka USING (query_id) LEFT JOIN sn USING (query_id)"""
 MARK_Q = " + ".join(f"contains(lower(s), {Q.lit(m)})::INT" for m in L.REASONING_MARKERS)
-PACKAGE_SQL = f"""WITH {PASSAGES}, {_keys('q', 25, 'k')}, {KA}, {PM},
- al AS (SELECT query_id, round(len(m) / len(keys), 3) AS support, row_number() OVER (PARTITION BY query_id
-   ORDER BY round(len(m) / len(keys), 3) DESC, rank) AS place FROM pm QUALIFY place <= 5),
- ev AS (SELECT query_id, count(*)::INT AS evidence_count, max(support) AS best_support FROM al GROUP BY query_id),
- {_keys('q', 20, 'k20')}, ka20 AS (SELECT query_id, list(keyword ORDER BY place) AS keys FROM k20 GROUP BY query_id),
- pm20 AS (SELECT p.query_id, list_filter(ka20.keys, lambda x: contains(lower({Q.squeezed('p.text')}), x)) AS m
-   FROM p JOIN ka20 USING (query_id)),
- sn AS (SELECT query_id, len(list_distinct(flatten(list(m)))) AS seen FROM pm20 GROUP BY query_id),
- sp AS (SELECT query_id, string_split(regexp_replace({Q.trimmed('text')},
-   '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM q),
- sx AS (SELECT query_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM sp),
- fs AS (SELECT query_id, {Q.trimmed('s')} AS first_sentence FROM (SELECT *, CASE WHEN len(s) > 12 THEN {MARK_Q} ELSE 0 END AS w FROM sx)
-   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, i) = 1)
-SELECT q.query_id, CASE WHEN ka20.keys IS NULL THEN 0.5 ELSE round(greatest(0.3e0, least(0.92e0,
-  0.45e0 + 0.45e0 * (coalesce(seen, 0) / len(ka20.keys)) - CASE WHEN q.query_id % 3 = 0 THEN 0.1e0 ELSE 0 END)), 3)
-  END::DOUBLE AS confidence, coalesce(evidence_count, 0) AS evidence_count, best_support,
- {Q.lit(L.COUNTERFACTUAL_GENERIC)} AS last_counterfactual, first_sentence
-FROM q LEFT JOIN ka20 USING (query_id) LEFT JOIN sn USING (query_id) LEFT JOIN ev USING (query_id) LEFT JOIN fs USING (query_id)"""
 MARK = " + ".join(f"contains(lower(s), {Q.lit(m)})::INT" for m in L.REASONING_MARKERS)
 OUTLINE_SQL = f"""WITH {REPLIES}, sp AS (SELECT reply_id, string_split(regexp_replace({Q.trimmed('text')},
    '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM rp),
@@ -391,32 +385,70 @@ COUNTER_SQL = f"""WITH {REPLIES}, {RSYM}, c AS (SELECT reply_id, list_filter([
 SELECT reply_id, (generate_subscripts(c, 1) - 1)::INT AS position, unnest(c) AS statement FROM c"""
 TITLE = """array_to_string(list_transform(string_split(x, ' '),
  lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"""
-GRAPH = f"""{RSYM},
- cc AS (SELECT reply_id, regexp_replace({Q.trimmed('x')}, '[.,;:)]+$', '') AS x FROM (SELECT reply_id,
+PHRASE = Q.lit(chr(92) + 'b' + L.CONDITION_PHRASE_PATTERN + chr(92) + 'b')
+NAME = Q.lit(chr(92) + 'b' + L.TREATMENT_NAME_PATTERN + chr(92) + 'b')
+GRAPH = f"""{_symptom_ctes('q', 'query_id')},
+ cc AS (SELECT query_id, regexp_replace({Q.trimmed('x')}, '[.,;:)]+$', '') AS x FROM (SELECT query_id,
    unnest(regexp_extract_all(text, {Q.lit(L.CONDITION_CUE_PATTERN)}, 1)) AS x FROM rs)),
- cd AS (SELECT reply_id, list_sort(list(DISTINCT {TITLE}))[1:8] AS c FROM cc
-   WHERE x <> '' AND len(x) <= 40 GROUP BY reply_id),
- tt AS (SELECT reply_id, {Q.trimmed('x')} AS x FROM (SELECT reply_id, unnest(regexp_extract_all(
-   {_plain("'Daily Ibuprofen Tablet with Aspirin. ' || text")}, {Q.lit(chr(92) + 'b' + L.TREATMENT_NAME_PATTERN + chr(92) + 'b')}, 1)) AS x FROM rs)),
- td AS (SELECT reply_id, list_sort(list(DISTINCT x))[1:8] AS t FROM tt
-   WHERE len(x) BETWEEN 3 AND 30 GROUP BY reply_id),
- g AS (SELECT rs.reply_id, symptoms AS s, coalesce(c, []) AS c, coalesce(t, []) AS t FROM rs
-   LEFT JOIN cd USING (reply_id) LEFT JOIN td USING (reply_id))"""
+ ca AS (SELECT query_id, {TITLE} AS x FROM cc WHERE x <> '' AND len(x) <= 40 UNION ALL
+   SELECT query_id, x FROM (SELECT query_id, {Q.trimmed('x')} AS x FROM (SELECT query_id,
+     unnest(regexp_extract_all({_plain('text')}, {PHRASE}, 1)) AS x FROM p WHERE rank <= 3)) WHERE len(x) BETWEEN 3 AND 32),
+ cd AS (SELECT query_id, list_sort(list(DISTINCT x))[1:8] AS c FROM ca GROUP BY query_id),
+ tt AS (SELECT query_id, {Q.trimmed('x')} AS x FROM (SELECT query_id, unnest(regexp_extract_all(
+   {_plain('text')}, {NAME}, 1)) AS x FROM p WHERE category = 'en')),
+ td AS (SELECT query_id, list_sort(list(DISTINCT x))[1:8] AS t FROM tt
+   WHERE len(x) BETWEEN 3 AND 30 GROUP BY query_id),
+ g AS (SELECT rs.query_id, symptoms AS s, coalesce(c, []) AS c, coalesce(t, []) AS t FROM rs
+   LEFT JOIN cd USING (query_id) LEFT JOIN td USING (query_id))"""
 
 
 def _layer(col: str, n: int, prefix: str, kind: str) -> str:
-    return f"""SELECT reply_id, '{prefix}' || (generate_subscripts({col}[1:{n}], 1) - 1) AS id,
+    return f"""SELECT query_id, '{prefix}' || (generate_subscripts({col}[1:{n}], 1) - 1) AS id,
  unnest({col}[1:{n}]) AS label, '{kind}' AS type FROM g"""
 
 
-NODE_SQL = f"""WITH {REPLIES}, {GRAPH} {_layer('s', 10, 'sym_', 'symptom')} UNION ALL
+NODE_SQL = f"""WITH {PASSAGES}, {GRAPH} {_layer('s', 10, 'sym_', 'symptom')} UNION ALL
 {_layer('c', 8, 'cond_', 'condition')} UNION ALL {_layer('t', 8, 'treat_', 'treatment')}"""
-EDGE_SQL = f"""WITH {REPLIES}, {GRAPH},
- i AS (SELECT reply_id, unnest(range(least(5, len(s)))) AS i FROM g),
- j AS (SELECT reply_id, unnest(range(least(5, len(c)))) AS j FROM g),
- k AS (SELECT reply_id, unnest(range(least(5, len(t)))) AS k FROM g)
-SELECT reply_id, 'sym_' || i AS source, 'cond_' || j AS target, 'suggests' AS label FROM i JOIN j USING (reply_id)
-UNION ALL SELECT reply_id, 'cond_' || j, 'treat_' || k, 'managed_by' FROM j JOIN k USING (reply_id)"""
+EDGES = """i AS (SELECT query_id, unnest(range(least(5, len(s)))) AS i FROM g),
+ j AS (SELECT query_id, unnest(range(least(5, len(c)))) AS j FROM g),
+ k AS (SELECT query_id, unnest(range(least(5, len(t)))) AS k FROM g),
+ ed AS (SELECT query_id, 'sym_' || i AS source, 'cond_' || j AS target, 'suggests' AS label FROM i JOIN j USING (query_id)
+   UNION ALL SELECT query_id, 'cond_' || j, 'treat_' || k, 'managed_by' FROM j JOIN k USING (query_id))"""
+EDGE_SQL = f"WITH {PASSAGES}, {GRAPH}, {EDGES} SELECT * FROM ed"
+PACKAGE_SQL = f"""WITH {PASSAGES}, {GRAPH}, {_keys('q', 25, 'k')}, {KA}, {PM},
+ al AS (SELECT query_id, round(len(m) / len(keys), 3) AS support, row_number() OVER (PARTITION BY query_id
+   ORDER BY round(len(m) / len(keys), 3) DESC, rank) AS place FROM pm QUALIFY place <= 5),
+ ev AS (SELECT query_id, count(*)::INT AS evidence_count, max(support) AS best_support FROM al GROUP BY query_id),
+ {_keys('q', 20, 'k20')}, ka20 AS (SELECT query_id, list(keyword ORDER BY place) AS keys FROM k20 GROUP BY query_id),
+ pm20 AS (SELECT p.query_id, list_filter(ka20.keys, lambda x: contains(lower({Q.squeezed('p.text')}), x)) AS m
+   FROM p JOIN ka20 USING (query_id)),
+ sn AS (SELECT query_id, len(list_distinct(flatten(list(m)))) AS seen FROM pm20 GROUP BY query_id),
+ sp AS (SELECT query_id, string_split(regexp_replace({Q.trimmed('text')},
+   '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM q),
+ sx AS (SELECT query_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM sp),
+ fs AS (SELECT query_id, {Q.trimmed('s')} AS first_sentence FROM (SELECT *, CASE WHEN len(s) > 12 THEN {MARK_Q} ELSE 0 END AS w FROM sx)
+   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, i) = 1)
+SELECT q.query_id, CASE WHEN ka20.keys IS NULL THEN 0.5 ELSE round(greatest(0.3e0, least(0.92e0,
+  0.45e0 + 0.45e0 * (coalesce(seen, 0) / len(ka20.keys)) - CASE WHEN q.query_id % 3 = 0 THEN 0.1e0 ELSE 0 END)), 3)
+  END::DOUBLE AS confidence, coalesce(evidence_count, 0) AS evidence_count, best_support,
+ {Q.lit(L.COUNTERFACTUAL_GENERIC)} AS last_counterfactual, first_sentence,
+ (least(10, len(g.s)) + len(g.c) + len(g.t))::INT AS nodes,
+ (least(5, len(g.c)) * (least(5, len(g.s)) + least(5, len(g.t))))::INT AS edges
+FROM q JOIN g USING (query_id) LEFT JOIN ka20 USING (query_id) LEFT JOIN sn USING (query_id) LEFT JOIN ev USING (query_id) LEFT JOIN fs USING (query_id)"""
+CORPUS = f"""dc AS (SELECT doc_id, text, lang FROM documents), {_symptom_ctes('dc', 'doc_id')},
+ cd AS (SELECT doc_id, list_sort(list(DISTINCT x))[1:8] AS c FROM (SELECT doc_id, {Q.trimmed('x')} AS x FROM (SELECT doc_id,
+   unnest(regexp_extract_all({_plain('text')}, {PHRASE}, 1)) AS x FROM dc)) WHERE len(x) BETWEEN 3 AND 32 GROUP BY doc_id),
+ td AS (SELECT doc_id, list_sort(list(DISTINCT x))[1:8] AS t FROM (SELECT doc_id, {Q.trimmed('x')} AS x FROM (SELECT doc_id,
+   unnest(regexp_extract_all({_plain('text')}, {NAME}, 1)) AS x FROM dc WHERE lang = 'en')) WHERE len(x) BETWEEN 3 AND 30 GROUP BY doc_id),
+ l AS (SELECT doc_id, 'symptom' AS type, unnest(symptoms[1:10]) AS label, generate_subscripts(symptoms[1:10], 1) AS n FROM rs
+   UNION ALL SELECT doc_id, 'condition', unnest(c), generate_subscripts(c, 1) FROM cd
+   UNION ALL SELECT doc_id, 'treatment', unnest(t), generate_subscripts(t, 1) FROM td),
+ n AS (SELECT *, type || '_' || substr(md5(lower(label)), 1, 12) AS id FROM l)"""
+CORPUS_NODE_SQL = f"""WITH {CORPUS} SELECT id, type, min(label) AS label, count(DISTINCT doc_id) AS passages FROM n GROUP BY ALL"""
+CORPUS_EDGE_SQL = f"""WITH {CORPUS} SELECT a.id AS source, b.id AS target,
+ CASE a.type WHEN 'symptom' THEN 'suggests' ELSE 'managed_by' END AS label, count(DISTINCT a.doc_id) AS weight
+FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.n <= 5 AND b.n <= 5
+ AND (a.type = 'symptom' AND b.type = 'condition' OR a.type = 'condition' AND b.type = 'treatment') GROUP BY ALL"""
 PCOND_SQL = f"""WITH {PASSAGES}, x AS (SELECT query_id, {Q.trimmed('x')} AS x FROM (SELECT query_id,
    unnest(regexp_extract_all({_plain('text')}, {Q.lit(chr(92) + 'b' + L.CONDITION_PHRASE_PATTERN + chr(92) + 'b')}, 1)) AS x
    FROM p WHERE rank <= 3)),
@@ -720,6 +752,8 @@ REGISTRY = {
     "counterfactuals": (counterfactuals, COUNTER_SQL),
     "graph_nodes": (graph_nodes, NODE_SQL),
     "graph_edges": (graph_edges, EDGE_SQL),
+    "corpus_graph_nodes": (corpus_graph_nodes, CORPUS_NODE_SQL),
+    "corpus_graph_edges": (corpus_graph_edges, CORPUS_EDGE_SQL),
     "passage_conditions": (passage_conditions, PCOND_SQL),
     "reply_light_cleanup": (reply_light_cleanup, LIGHT_SQL),
     "reply_heavy_cleanup": (reply_heavy_cleanup, HEAVY_SQL),
