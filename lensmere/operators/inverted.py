@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lensmere.functions import text as X
-from lensmere.operators.dense import SCORE_DIGITS, merge
-from lensmere.operators.lexical import B, K1, idf, query_terms
+from lensmere.operators.dense import merge
+from lensmere.operators.lexical import B, K1, idf, query_terms, rounded
 from lensmere.tables import exists
 
 BUCKETS = 64
@@ -39,12 +39,6 @@ def weight(idf_: Column, tf: Column, length: Column, avgdl: Column) -> Column:
     return idf_ * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / avgdl))
 
 
-def rounded(score: Column) -> Column:
-    """Half up, by the same arithmetic in every path."""
-    unit = float(10 ** SCORE_DIGITS)
-    return F.floor(score * unit + 0.5) / unit
-
-
 def _counted(batches):
     """(row, distinct terms and their counts) of token lists, as one flat table."""
     for batch in batches:

@@ -95,40 +95,51 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 50,
     """
     toks = tokens(docs, stopwords)
     wanted = query_terms(queries, stopwords)
+    # Rows of one id are documents of their own, in the scan and in the join.
     if vocabulary is not None:
         kept = vocabulary.select("term")
-        exploded = toks.select("doc_id", F.posexplode_outer("tokens").alias("at", "term"))
+        exploded = _numbered(toks).select("_row", "doc_id", F.posexplode_outer("tokens").alias("at", "term"))
         known = exploded.join(kept.withColumn("known", F.lit(True)), "term", "left")
-        toks = known.groupBy("doc_id").agg(
-            F.collect_list(F.when(F.col("known"), F.col("term"))).alias("tokens"))
+        toks = known.groupBy("_row", "doc_id").agg(
+            F.collect_list(F.when(F.col("known"), F.col("term"))).alias("tokens")).drop("_row")
         wanted = wanted.join(kept, "term", "left_semi").select("query_id", "term")
     pairs = wanted.limit(max_pairs + 1).toArrow()
     if pairs.num_rows > max_pairs:
-        return rank(_scores_by_join(wanted, toks), k)
+        return merge(_scores_by_join(wanted, toks), k)
     return merge(_scores_by_scan(pairs, toks, k, docs, queries), k)
 
 
+def _numbered(toks: DataFrame) -> DataFrame:
+    return toks.withColumn("_row", F.monotonically_increasing_id())
+
+
+def rounded(score: Column) -> Column:
+    """To SCORE_DIGITS, half up, by the arithmetic that the scan uses too."""
+    unit = float(10 ** SCORE_DIGITS)
+    return F.floor(score * unit + 0.5) / unit
+
+
 def _scores_by_join(wanted: DataFrame, toks: DataFrame) -> DataFrame:
     """Score every (query, document) pair that shares a term."""
     stats = corpus_stats(toks)
     n, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     vocabulary = wanted.select("term").distinct()
-    with_length = toks.select("doc_id", F.size("tokens").alias("len"),
-                              F.explode("tokens").alias("term"))
+    with_length = _numbered(toks).select("_row", "doc_id", F.size("tokens").alias("len"),
+                                         F.explode("tokens").alias("term"))
     hits = (
         with_length.join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        .groupBy("_row", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
     )
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = (
         idf(n, F.col("df")) * F.col("tf") * (K1 + 1.0)
         / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / avgdl))
     )
-    weighted = hits.join(df, "term").select("term", "doc_id", weight.alias("weight"))
+    weighted = hits.join(df, "term").select("term", "_row", "doc_id", weight.alias("weight"))
     return (
-        wanted.join(weighted, "term").groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
-        .filter(F.col("score") != 0)
+        wanted.join(weighted, "term").groupBy("query_id", "_row", "doc_id")
+        .agg(rounded(F.sum("weight")).alias("score"))
+        .filter(F.col("score") != 0).drop("_row")
     )
 
 
@@ -222,7 +233,7 @@ def _scores_by_scan(pairs: pa.Table, toks: DataFrame, k: int, docs: DataFrame,
                     query * n + np.repeat(row, fan), weights=np.repeat(weight, fan),
                     minlength=len(query_ids) * n,
                 ).reshape(len(query_ids), n)
-                scores = np.round(scores, SCORE_DIGITS)
+                scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
                 best.add_matrix(0, batch.column("doc_id").to_numpy(zero_copy_only=False),
                                 scores, scores != 0)
         if best.ids is not None:

@@ -56,6 +56,17 @@ def test_bm25_both_paths(small, pairs):
     assert lists(lexical.search(queries, docs, 7, max_pairs=pairs)) == brute_bm25(texts, qs, 7)
 
 
+def test_bm25_paths_agree_on_repeated_ids(spark):
+    """Rows of one id are documents of their own, also where they are equal."""
+    rows = [("d1", "w1 w2"), ("d1", "w1 w1 w3"), ("d2", "w1"), ("d2", "w1"), ("d3", "w4 w4"), ("d4", "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w1")], "query_id int, text string")
+    known = spark.createDataFrame([("w1",), ("w2",)], "term string")
+    for vocabulary in (None, known):
+        got = [sorted(map(str, lexical.search(queries, docs, 9, max_pairs=n, vocabulary=vocabulary).collect())) for n in (2_000_000, 0)]
+        assert got[0] == got[1] and len(got[0]) == 10
+
+
 def test_index_on_disk(spark, small, tmp_path):
     docs, queries, texts, qs = small
     lexical.write_index(docs, str(tmp_path))
