@@ -94,9 +94,13 @@ def no_hypotheticals(query: Column) -> Column:
     return F.lit("")
 
 
-def extractive_summary(texts: Column) -> Column:
-    """Default cluster summary: labelled lines made of the representative texts."""
-    first = F.coalesce(F.element_at(texts, 1), F.lit(""))
-    title = F.array_join(F.slice(F.split(X.squeezed(first), " "), 1, 8), " ")
-    body = F.array_join(F.slice(texts, 1, 6), " ")
+def extractive_summary(texts: Column, title_words: int | None = None, shown: int | None = None) -> Column:
+    """Default cluster summary: labelled lines made of the representative texts.
+
+    Nothing is cut unless asked: ``title_words`` of the first text, ``shown`` texts.
+    """
+    title = X.squeezed(F.coalesce(F.element_at(texts, 1), F.lit("")))
+    if title_words is not None:
+        title = F.array_join(F.slice(F.split(title, " "), 1, title_words), " ")
+    body = F.array_join(texts if shown is None else F.slice(texts, 1, shown), " ")
     return F.concat(F.lit("TITLE: "), title, F.lit("\nOVERVIEW: "), body)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lensmere.functions import text as X
 from lensmere.functions import vectors as V
@@ -18,52 +19,158 @@ REPRESENTATIVES, TEXT_CHARS, KEY_CHARS, REPRESENTATIVE_CHARS = 8, 200, 80, 300
 OVERVIEW_K, OVERVIEW_MIN = 2, 0.35
 
 
+#: Sums that a task holds before it passes them on.
+SUM_VALUES = 8 << 20
+#: Parts in which the tasks' sums of a cluster are put together before the last step.
+SUM_PARTS = 64
+
+
+def _sums(batches):
+    """(cluster, n, s): members and their vector sum, per task."""
+    held: dict = {}
+    size = 0
+
+    def out(held):
+        return pa.RecordBatch.from_arrays([
+            pa.array(list(held), kind), pa.array([n for n, _ in held.values()], pa.int64()),
+            pa.array([s.tolist() for _, s in held.values()], pa.list_(pa.float64()))], ["cluster", "n", "s"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema.field("cluster").type
+        x = dense._matrix(batch.column("embedding"))
+        coded = batch.column("cluster").dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+        for c, total, n in zip(coded.dictionary.take(pa.array(code[order][first])).to_pylist(),
+                               np.add.reduceat(x[order], first), np.diff(np.append(first, len(order)))):
+            have = held.get(c)
+            size += 0 if have else len(total)
+            held[c] = (int(n), total) if have is None else (have[0] + int(n), have[1] + total)
+        if size > SUM_VALUES:
+            yield out(held)
+            held, size = {}, 0
+    if held:
+        yield out(held)
+
+
+def means(members: DataFrame) -> DataFrame:
+    """(cluster, n, embedding): mean vector of each cluster.
+
+    Tasks pass on one sum per cluster they met; these are put together in parts
+    first, so no task adds up what all others found for one cluster.
+    """
+    kind = members.schema["cluster"].dataType.simpleString()
+    rows = members.select("cluster", V.as_double(F.col("embedding")).alias("embedding")).filter(F.col("embedding").isNotNull())
+    partial = rows.mapInArrow(_sums, f"cluster {kind}, n bigint, s array<double>")
+    total = F.aggregate(F.collect_list("s"), F.array().cast("array<double>"), lambda a, x: F.when(
+        F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q)))
+    some = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SUM_PARTS))).groupBy("cluster", "_part").agg(
+        F.sum("n").alias("n"), total.alias("s"))
+    whole = some.groupBy("cluster").agg(F.sum("n").alias("n"), total.alias("s"))
+    return whole.select("cluster", "n", F.transform("s", lambda x: x / F.col("n")).alias("embedding"))
+
+
 def centroids(members: DataFrame, normalise: bool = True) -> DataFrame:
-    """(cluster, embedding): mean of the members; partial sums leave k x dim rows per task."""
-    means = members.select(
-        "cluster", F.posexplode(V.as_double(F.col("embedding"))).alias("dim", "x")
-    ).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-    # A cluster has one row per dimension here.
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
-    vector = means.groupBy("cluster").agg(mean.alias("embedding"))
+    """(cluster, embedding): mean of the members, of unit length if asked."""
+    vector = means(members).select("cluster", "embedding")
     return vector.withColumn(
         "embedding", V.normalised(F.col("embedding"))) if normalise else vector
 
 
-def assign(vectors: DataFrame, centres: DataFrame,
-           broadcast_bytes: int = dense.BROADCAST_BYTES) -> DataFrame:
-    """Nearest centre (least squared distance, ties to the lower id) of every vector.
-
-    Centres are a bounded table of the size of the tree level; it is measured
-    before it travels, and a larger one is refused rather than broadcast.
-    """
-    sample, most = dense.bounded_table(centres, broadcast_bytes)
-    if sample is None:
-        raise ValueError(f"more than {most} centres; cluster in levels instead")
-    sample = sample.sort_by("cluster")
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (sample["cluster"].to_numpy(), dense._matrix(sample["embedding"])))
-    out = T.StructType([
-        vectors.schema["doc_id"],
-        T.StructField("cluster", centres.schema["cluster"].dataType),
-        T.StructField("distance", T.DoubleType())])
-
-    def nearest(batches):
+def _nearer(shared, ids_type):
+    """Lower (distance, cluster) of what a row has and the nearest centre of one block."""
+    def run(batches):
         ids, matrix = shared.value
         lengths = (matrix * matrix).sum(axis=1)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = dense._matrix(batch.column("embedding"))
-            d = np.round((x * x).sum(axis=1)[:, None] - 2 * x @ matrix.T + lengths, 6)
-            best = d.argmin(axis=1)
+            own = np.zeros(len(x), np.int64)
+            found = np.full(len(x), np.inf)
+            step = max(1, dense.BLOCK_ENTRIES // max(1, len(matrix)))
+            for at in range(0, len(x), step):
+                part = x[at:at + step]
+                d = np.round((part * part).sum(axis=1)[:, None] - 2 * part @ matrix.T + lengths, 6)
+                own[at:at + step] = d.argmin(axis=1)
+                found[at:at + step] = d[np.arange(len(d)), own[at:at + step]]
+            before = batch.column("distance").fill_null(float("inf")).to_numpy(zero_copy_only=False)
+            closer = found < before  # blocks come in the order of their ids, so ties stay with the lower
+            cluster = pc.if_else(pa.array(closer), pa.array(ids[own], ids_type), batch.column("cluster"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids[best]),
-                 pa.array(d[np.arange(len(best)), best])],
-                ["doc_id", "cluster", "distance"])
+                [batch.column("doc_id"), batch.column("embedding"), cluster, pa.array(np.where(closer, found, before))],
+                ["doc_id", "embedding", "cluster", "distance"])
+
+    return run
+
 
-    return vectors.select("doc_id", V.as_double(F.col("embedding")).alias("embedding")) \
-        .mapInArrow(nearest, out)
+def assign(vectors: DataFrame, centres: DataFrame,
+           broadcast_bytes: int = dense.BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, cluster, distance): nearest centre (least squared distance, ties to the lower id).
+
+    Centres travel in blocks of at most about ``broadcast_bytes``, in the order
+    of their ids; vectors are read once and carry the best centre so far from
+    block to block.
+    """
+    return _assigned(vectors, centres, broadcast_bytes).drop("embedding")
+
+
+def _assigned(vectors: DataFrame, centres: DataFrame, broadcast_bytes: int) -> DataFrame:
+    kind = centres.schema["cluster"].dataType
+    rows = vectors.select("doc_id", V.as_double(F.col("embedding")).alias("embedding"),
+                          F.lit(None).cast(kind).alias("cluster"), F.lit(None).cast("double").alias("distance"))
+    sample, most = dense.bounded_table(centres, broadcast_bytes)
+    blocks = [sample] if sample is not None else None
+    if blocks is None:  # cut points by id, one block at a time on the driver
+        count = -(-centres.count() // most)
+        cuts = centres.select(F.percentile_approx("cluster", [i / count for i in range(1, count)], 10_000)).first()[0] if count > 1 else []
+        edges_ = [None, *sorted(set(cuts)), None]
+        blocks = []
+        for low, high in zip(edges_, edges_[1:]):
+            part = centres
+            part = part if low is None else part.filter(F.col("cluster") > low)
+            part = part if high is None else part.filter(F.col("cluster") <= high)
+            blocks.append(part.toArrow())
+    context = vectors.sparkSession.sparkContext
+    for block in blocks:
+        if not block.num_rows:
+            continue
+        block = block.sort_by("cluster")
+        shared = context.broadcast((block["cluster"].to_numpy(), dense._matrix(block["embedding"])))
+        rows = rows.mapInArrow(_nearer(shared, block["cluster"].type), rows.schema)
+    return rows
+
+
+def first_centres(vectors: DataFrame, k: int) -> DataFrame:
+    """(cluster, embedding): the k vectors whose ids have the least hashes, whatever the order of the table."""
+    mark = F.md5(F.col("doc_id").cast("string"))
+    chosen = vectors.filter(F.col("embedding").isNotNull()).select(
+        "doc_id", V.as_double(F.col("embedding")).alias("embedding"), mark.alias("_m")).orderBy("_m", "doc_id").limit(k)
+    place = W.orderBy("_m", "doc_id")  # k rows
+    return chosen.withColumn("cluster", F.row_number().over(place) - 1).select("cluster", "embedding")
+
+
+def lloyd(vectors: DataFrame, k: int, folder: str, iterations: int = ITERATIONS,
+          broadcast_bytes: int = dense.BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, embedding, cluster) after so many rounds of nearest centres and their means.
+
+    Every round reads the vectors once, in Arrow batches, and leaves one sum
+    per task and cluster; its centres are written below ``folder``, so a lost
+    executor repeats a round and not those before it.  A centre that nobody is
+    nearest to stays where it is.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.filter(F.col("embedding").isNotNull()).select("doc_id", V.as_double(F.col("embedding")).alias("embedding"))
+    first_centres(vectors, k).write.mode("overwrite").parquet(f"{folder}/centres/round=0")
+    for n in range(iterations):
+        centres = spark.read.parquet(f"{folder}/centres/round={n}")
+        found = means(_assigned(vectors, centres, broadcast_bytes)).select("cluster", F.col("embedding").alias("_new"))
+        centres.join(found, "cluster", "left").select(
+            "cluster", F.coalesce("_new", "embedding").alias("embedding")).write.mode("overwrite").parquet(f"{folder}/centres/round={n + 1}")
+    return _assigned(vectors, spark.read.parquet(f"{folder}/centres/round={iterations}"), broadcast_bytes).drop("distance")
 
 
 def kmeans(vectors: DataFrame, k: int, iterations: int = ITERATIONS,
@@ -140,6 +247,28 @@ def enough_for_domains(level_one: DataFrame, domains: int) -> bool:
     return level_one.limit(2 * domains).count() >= 2 * domains
 
 
+def levels(vectors: DataFrame, texts: DataFrame, embedder: Embedder, topics: int, domains: int, folder: str,
+           iterations: int = ITERATIONS, summarise=extractive_summary) -> DataFrame:
+    """Nodes of both levels: topics of the vectors, domains of the topics' own texts.
+
+    ``vectors``: (doc_id, embedding); ``texts``: (doc_id, question, text).  The
+    upper level is left out where there are fewer than two topics per domain.
+    """
+    spark = vectors.sparkSession
+    members = lloyd(vectors, topics, f"{folder}/topics", iterations)
+    members.write.mode("overwrite").parquet(f"{folder}/members")
+    members = spark.read.parquet(f"{folder}/members")
+    nodes(cluster_sizes(members), representatives(members, texts), "topic", summarise).write.mode(
+        "overwrite").parquet(f"{folder}/nodes/one")
+    one = spark.read.parquet(f"{folder}/nodes/one")
+    if not domains or not enough_for_domains(one, domains):
+        return one
+    leaf = one.select(F.col("id").alias("doc_id"), X.or_empty(F.col("text")).alias("text")).withColumn("embedding", embedder(F.col("text")))
+    upper = lloyd(leaf, domains, f"{folder}/domains", iterations)
+    two = nodes(cluster_sizes(upper), first_members(upper, leaf.select("doc_id", "text")), "domain", summarise)
+    return one.unionByName(two)
+
+
 def embedded_nodes(all_nodes: DataFrame, embedder: Embedder) -> DataFrame:
     """Nodes with text, embedded as title and text."""
     return all_nodes.filter(X.or_empty(F.col("text")) != "").withColumn(

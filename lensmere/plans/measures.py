@@ -9,6 +9,7 @@ from lensmere.operators import evaluation, evidence, experiment, models, tree
 from lensmere.plans import assembly, corpora
 from lensmere.plans import sql as Q
 from lensmere.plans.retrieval import docs, queries, vectors
+from lensmere.session import new_folder
 from lensmere.tables import table
 
 EMBED = models.hashing_embedder()
@@ -218,12 +219,11 @@ def cluster_representatives(spark, sf):
     return tree.representatives(_members(spark, sf), _texts(spark, sf))
 
 
+TOPICS, DOMAINS, ROUNDS = 10, 3, 5
+
+
 def _nodes(spark, sf):
-    m, t = _members(spark, sf), _texts(spark, sf)
-    level_one = tree.nodes(tree.cluster_sizes(m), tree.representatives(m, t), "topic")
-    upper = m.withColumn("cluster", F.col("cluster") % 3)
-    level_two = tree.nodes(tree.cluster_sizes(upper), tree.first_members(upper, t), "domain")
-    return level_one.unionByName(level_two)
+    return tree.levels(vectors(spark, sf), _texts(spark, sf), EMBED, TOPICS, DOMAINS, new_folder(spark, "tree"), ROUNDS)
 
 
 def tree_nodes(spark, sf):
@@ -236,15 +236,35 @@ def tree_overview(spark, sf):
 
 
 def kmeans_sizes(spark, sf):
-    """Sizes of the clusters found by k-means (labels depend on the start)."""
-    return tree.kmeans(vectors(spark, sf), 10).groupBy("cluster").agg(F.count("*").alias("size"))
-
-
-MEMBERS = """m AS (SELECT vec_id AS doc_id, label AS cluster, embedding::DOUBLE[] AS vec FROM embeddings),
- mx AS (SELECT doc_id, cluster, unnest(range(64)) AS dim, unnest(vec) AS x FROM m),
+    """Sizes of the clusters that a fixed start leads to."""
+    return tree.lloyd(vectors(spark, sf), TOPICS, new_folder(spark, "tree"), ROUNDS).groupBy("cluster").agg(F.count("*").alias("size"))
+
+
+def _lloyd(source: str, key: str, k: int, p: str, dim: int) -> str:
+    """CTEs ending in {p}m({key}, cluster): rounds of nearest centre and mean over {source}({key}, vec)."""
+    near = f"round(list_dot_product(vec, vec) - 2 * list_dot_product(vec, c) + list_dot_product(c, c), 6)"
+    out = [f"""{p}c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5({key}::VARCHAR), {key}) - 1 AS cluster, vec AS c
+  FROM {source} QUALIFY cluster < {k})"""]
+    for i in range(ROUNDS + 1):
+        out.append(f"""{p}a{i} AS MATERIALIZED (SELECT {key}, cluster FROM (SELECT s.{key}, cluster, row_number() OVER
+  (PARTITION BY s.{key} ORDER BY {near}, cluster) AS n FROM {source} s, {p}c{i}) WHERE n = 1)""")
+        if i < ROUNDS:
+            out.append(f"""{p}x{i} AS (SELECT cluster, dim, avg(x) AS x FROM (SELECT cluster, unnest(range({dim})) AS dim, unnest(vec) AS x
+  FROM {p}a{i} JOIN {source} USING ({key})) GROUP BY ALL),
+ {p}c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(w.c, o.c) AS c FROM {p}c{i} o LEFT JOIN
+  (SELECT cluster, list(x ORDER BY dim) AS c FROM {p}x{i} GROUP BY cluster) w USING (cluster))""")
+    return ",\n ".join([*out, f"{p}m AS (SELECT {key}, cluster FROM {p}a{ROUNDS})"])
+
+
+FOUND = f"""v0 AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS vec FROM embeddings), {_lloyd('v0', 'doc_id', TOPICS, 't', 64)}"""
+KMEANS_SQL = f"WITH {FOUND} SELECT cluster, count(*) AS size FROM tm GROUP BY cluster"
+BY_LABEL = "m AS (SELECT vec_id AS doc_id, label AS cluster, embedding::DOUBLE[] AS vec FROM embeddings)"
+BY_TOPIC = f"{FOUND}, m AS (SELECT doc_id, cluster, vec FROM tm JOIN v0 USING (doc_id))"
+CENTRES = """mx AS (SELECT doc_id, cluster, unnest(range(64)) AS dim, unnest(vec) AS x FROM m),
  mu AS (SELECT cluster, dim, avg(x) AS x FROM mx GROUP BY ALL),
  cr AS (SELECT cluster, list(x ORDER BY dim) AS raw FROM mu GROUP BY cluster),
  ce AS (SELECT cluster, raw, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS c FROM cr)"""
+MEMBERS = f"{BY_LABEL}, {CENTRES}"
 CENTROID_SQL = f"""WITH {MEMBERS} SELECT cluster, unnest(range(64))::INT AS dim,
  unnest(list_transform(c, lambda x: round(x, 6))) AS x FROM ce"""
 ASSIGN_SQL = f"""WITH {MEMBERS}, dd AS (SELECT doc_id, ce.cluster, round(list_dot_product(vec, vec)
@@ -252,33 +272,34 @@ ASSIGN_SQL = f"""WITH {MEMBERS}, dd AS (SELECT doc_id, ce.cluster, round(list_do
 SELECT doc_id, cluster, distance FROM dd QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, cluster) = 1"""
 SIZES_SQL = """SELECT label AS cluster, count(*) AS size FROM embeddings WHERE label NOT IN
  (SELECT label FROM embeddings WHERE vec_id < 2) GROUP BY label HAVING count(*) >= 3 ORDER BY size DESC, cluster LIMIT 5"""
-REPS = f"""{MEMBERS}, nr AS (SELECT m.cluster, doc_id, row_number() OVER (PARTITION BY m.cluster ORDER BY
+REPS_OF = f"""nr AS (SELECT m.cluster, doc_id, row_number() OVER (PARTITION BY m.cluster ORDER BY
    round(list_dot_product(vec, c), 6) DESC, doc_id) AS near FROM m JOIN ce USING (cluster) QUALIFY near <= 16),
  nt AS (SELECT cluster, near, CASE WHEN doc_id % 4 = 0 THEN {Q.trimmed("' why ' || text")}
    ELSE substr(text, 1, 200) END AS t FROM nr JOIN documents USING (doc_id)),
  nu AS (SELECT * FROM nt WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY cluster, substr(lower(t), 1, 80) ORDER BY near) = 1),
  reps AS (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY near) AS place, substr(t, 1, 300) AS text
    FROM nu QUALIFY place <= 8)"""
-REPS_SQL = f"WITH {REPS} SELECT * FROM reps"
+REPS_SQL = f"WITH {MEMBERS}, {REPS_OF} SELECT * FROM reps"
 
 
 def _node_ctes(sizes: str, reps: str, kind: str, level: int, name: str) -> str:
     body = f"regexp_extract(s, '(?is)OVERVIEW\\s*:\\s*(.+)', 1)"
     title = Q.trimmed("regexp_extract(s, '(?i)TITLE\\s*:\\s*([^\\n]+)', 1)")
     return f"""{name}g AS (SELECT cluster, list(text ORDER BY place) AS ts FROM {reps} GROUP BY cluster),
- {name}s AS (SELECT cluster, size, 'TITLE: ' || array_to_string(string_split({Q.squeezed('ts[1]')}, ' ')[1:8], ' ')
-   || chr(10) || 'OVERVIEW: ' || array_to_string(ts[1:6], ' ') AS s FROM {name}g JOIN {sizes} USING (cluster)),
+ {name}s AS (SELECT cluster, size, 'TITLE: ' || {Q.squeezed('ts[1]')}
+   || chr(10) || 'OVERVIEW: ' || array_to_string(ts, ' ') AS s FROM {name}g JOIN {sizes} USING (cluster)),
  {name} AS (SELECT '{kind}_' || cluster AS id, {level} AS level, substr({title}, 1, 80) AS title,
    substr({Q.squeezed(body)}, 1, 1500) AS text, size FROM {name}s)"""
 
 
-NODES = f"""{REPS}, s1 AS (SELECT cluster, count(*) AS size FROM m GROUP BY cluster HAVING count(*) >= 3),
- s2 AS (SELECT cluster % 3 AS cluster, count(*) AS size FROM m GROUP BY ALL HAVING count(*) >= 3),
- f2 AS (SELECT cluster % 3 AS cluster, doc_id, row_number() OVER (PARTITION BY cluster % 3 ORDER BY doc_id) AS place
-   FROM m QUALIFY place <= 8),
- r2 AS (SELECT cluster, place, substr(text, 1, 300) AS text FROM f2 JOIN documents USING (doc_id)),
- {_node_ctes('s1', 'reps', 'topic', 1, 'n1')}, {_node_ctes('s2', 'r2', 'domain', 2, 'n2')},
- nodes AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2)"""
+NODES = f"""{BY_TOPIC}, {CENTRES}, {REPS_OF}, s1 AS (SELECT cluster, count(*) AS size FROM m GROUP BY cluster HAVING count(*) >= 3),
+ {_node_ctes('s1', 'reps', 'topic', 1, 'n1')}, n1v AS MATERIALIZED ({Q.embedding('n1', 'id')}),
+ {_lloyd('n1v', 'id', DOMAINS, 'd', models.EMBEDDING_DIM)},
+ s2 AS (SELECT cluster, count(*) AS size FROM dm GROUP BY ALL HAVING count(*) >= 3),
+ r2 AS (SELECT cluster, place, substr(text, 1, 300) AS text FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place
+   FROM dm) JOIN n1 USING (id) WHERE place <= 8),
+ {_node_ctes('s2', 'r2', 'domain', 2, 'n2')},
+ nodes AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2 WHERE (SELECT count(*) FROM n1) >= {2 * DOMAINS})"""
 NODES_SQL = f"WITH {NODES} SELECT * FROM nodes"
 OVERVIEW_SQL = f"""WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {NODES},
  ne AS (SELECT id AS doc_id, title || '. ' || text AS full_text FROM nodes WHERE text <> ''),
@@ -305,5 +326,5 @@ REGISTRY = {
     "cluster_representatives": (cluster_representatives, REPS_SQL),
     "tree_nodes": (tree_nodes, NODES_SQL),
     "tree_overview": (tree_overview, OVERVIEW_SQL),
-    "kmeans_sizes": (kmeans_sizes, None),
+    "kmeans_sizes": (kmeans_sizes, KMEANS_SQL),
 }

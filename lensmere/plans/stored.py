@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession, functions as F
 
 from lensmere.operators import dense, fusion, inverted, vectorstore
 from lensmere.plans import sql as Q
 from lensmere.plans.retrieval import BM25_SQL, EMBED, HYBRID_SQL, K, docs, queries
-from lensmere.session import checkpoint_folder
+from lensmere.session import new_folder
 from lensmere.tables import spread, table
 
 MODEL = "hashing"
@@ -18,18 +15,9 @@ MODEL = "hashing"
 _folders: dict = {}
 
 
-def _new_folder(spark: SparkSession, kind: str) -> str:
-    base = checkpoint_folder(spark)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="lensmere-")
-    return f"{base}/{kind}-{uuid.uuid4().hex}"
-
-
 def _folder(spark: SparkSession, sf: str, kind: str) -> str:
     """Where this application keeps an index of this corpus."""
-    return _folders.setdefault((spark.sparkContext.applicationId, sf, kind), _new_folder(spark, kind))
+    return _folders.setdefault((spark.sparkContext.applicationId, sf, kind), new_folder(spark, kind))
 
 
 def lexical_index(spark: SparkSession, sf: str) -> str:
@@ -53,7 +41,7 @@ def bm25_stored_topk(spark, sf):
 
 def bm25_refreshed_topk(spark, sf):
     """The index held all sources but one, and the benchmark's items; then the documents as they are now."""
-    folder = _new_folder(spark, "refreshed")
+    folder = new_folder(spark, "refreshed")
     d = docs(spark, sf).select("doc_id", "text", "category")
     items = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
     inverted.build(d.filter("category <> 'src0'").select("doc_id", "text").unionByName(items), folder)
@@ -70,7 +58,7 @@ def hybrid_stored_topk(spark, sf):
 
 def reembedded_topk(spark, sf):
     """Vectors of plain texts, then of those that got a context (their source): only these are embedded again."""
-    folder = _new_folder(spark, "contexts")
+    folder = new_folder(spark, "contexts")
     d = spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
     plain = d.select(F.col("doc_id").alias("id"), "text")
     vectorstore.refresh(plain, folder, EMBED, MODEL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -45,6 +46,16 @@ def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str |
     return folder
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path for written tables that nobody else uses, below the shared checkpoint folder."""
+    base = checkpoint_folder(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="lensmere-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 _shipped: set = set()
 
 

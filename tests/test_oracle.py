@@ -6,7 +6,7 @@ import oracle
 from lensmere.plans.registry import registry
 
 # Fixed names: queries whose meaning SQL cannot state; checked elsewhere.
-WITHOUT_SQL = {"reply_repeat_collapse", "reply_opening_echo", "kmeans_sizes", "answer_context"}
+WITHOUT_SQL = {"reply_repeat_collapse", "reply_opening_echo", "answer_context"}
 
 
 @pytest.fixture(scope="module")

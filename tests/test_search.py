@@ -141,13 +141,6 @@ def test_codes_round_trip(spark, sf):
             assert abs(a - b) <= step[d] * 1.0001
 
 
-def test_too_many_centres_are_refused(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id as doc_id", "embedding")
-    centres = v.selectExpr("doc_id as cluster", "embedding")
-    with pytest.raises(ValueError):
-        tree.assign(v, centres, broadcast_bytes=1024)
-
-
 def test_equal_texts_are_encoded_once(spark):
     df = spark.createDataFrame([(1, "a word"), (2, "a word"), (3, None)], "i int, text string")
     got = {r.i: r.embedding for r in models.embed_distinct(df, models.hashing_embedder()).collect()}
