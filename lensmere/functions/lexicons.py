@@ -592,20 +592,3 @@ def emergency_weight(term: str) -> int:
     if term in EMERGENCY_WEIGHT_7:
         return 7
     return EMERGENCY_WEIGHT_OTHER
-
-
-def default_medical_vocabulary() -> list:
-    """Prefix vocabulary of the scope gate, by rule.
-
-    Every word of at least four letters in the healthcare, symptom, specialty
-    and expert lexicons that is not a stop word, and "hip".  A deployment with a larger
-    vocabulary passes its own list to the gate.
-    """
-    phrases = list(HEALTHCARE_TERMS)
-    for lexicon in (SYMPTOM_KEYWORDS, SPECIALTIES):
-        phrases += [term for _, term in flatten(lexicon)]
-    for expert in EXPERTS:
-        phrases += expert[3]
-    stop = set(INDEX_STOPWORDS) | set(EXPLANATION_STOPWORDS)
-    words = {w for p in phrases for w in p.split() if len(w) >= 4 and w not in stop}
-    return sorted(words | {"hip"}, key=lambda w: (-len(w), w))

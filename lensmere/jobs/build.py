@@ -2,8 +2,8 @@
 
     spark-submit -m lensmere.jobs.build <job> [options]
 
-Jobs: chunk, index, lexical, shrink, tree, contexts, concepts.  Every job reads
-and writes tables, so it can be run again after a failure.
+Jobs: chunk, index, lexical, shrink, tree, finalize, contexts, reembed, concepts.
+Every job reads and writes tables, so it can be run again after a failure.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import argparse
 
 from pyspark.sql import SparkSession, functions as F
 
-from lensmere.operators import chunking, corpus, dense, evaluation, lexical, models, tree
+from lensmere.operators import chunking, corpus, dense, evaluation, inverted, models, tree, vectorstore
 from lensmere.session import ship
 from lensmere.sources import readers, writers
 from lensmere.tables import exists
@@ -45,10 +45,13 @@ def index(spark, a) -> None:
 
 
 def lexical_index(spark, a) -> None:
-    """Chunk table to BM25 tables; skipped when they are current."""
+    """Chunk table to a BM25 index; an index that is there is brought up to the chunks, bucket by bucket."""
     docs = spark.read.parquet(a.input).select(F.col("id").alias("doc_id"), "text")
-    if a.force or not lexical.index_is_current(docs, a.output):
-        lexical.write_index(docs, a.output)
+    if a.force:
+        inverted.build(docs, a.output)
+    else:
+        done = inverted.refresh(docs, a.output)
+        print(f"changed rows: {done['rows']}, buckets written: {done['buckets']}")
 
 
 def shrink(spark, a) -> None:
@@ -73,7 +76,7 @@ def summary_tree(spark, a) -> None:
     chunks = spark.read.parquet(a.input).select(
         F.col("id").alias("doc_id"), "text", F.col("question"))
     vectors = spark.read.parquet(f"{a.vectors}/vectors").withColumnRenamed("id", "doc_id")
-    tree.kmeans(vectors, a.topics).write.mode("overwrite").parquet(f"{a.output}/topics")
+    tree.lloyd(vectors, a.topics, f"{a.output}/rounds/topics").write.mode("overwrite").parquet(f"{a.output}/topics")
     members = spark.read.parquet(f"{a.output}/topics")
     sizes = tree.cluster_sizes(members, cap=a.cap or None)
     tree.nodes(sizes, tree.representatives(members, chunks), "topic").write.mode(
@@ -82,9 +85,17 @@ def summary_tree(spark, a) -> None:
     if a.domains and tree.enough_for_domains(topics, a.domains):
         embed = models.hashing_embedder()
         leaf = topics.select(F.col("id").alias("doc_id"), "text", embed(F.col("text")).alias("embedding"))
-        grouped = tree.kmeans(leaf, a.domains)
+        grouped = tree.lloyd(leaf, a.domains, f"{a.output}/rounds/domains")
         tree.nodes(tree.cluster_sizes(grouped), tree.first_members(grouped, leaf.select("doc_id", "text")),
                    "domain").write.mode("overwrite").parquet(f"{a.output}/nodes/level=2")
+    finalize(spark, a)
+
+
+def finalize(spark, a) -> None:
+    """The nodes of a tree, of whatever levels are there, as a vector index beside them."""
+    nodes = spark.read.parquet(f"{a.output}/nodes")
+    embedded = tree.embedded_nodes(nodes, models.hashing_embedder(a.dim))
+    writers.write_vector_index(embedded.select("id", "embedding"), f"{a.output}/index", f"hashing-{a.dim}")
 
 
 def contexts(spark, a) -> None:
@@ -96,6 +107,17 @@ def contexts(spark, a) -> None:
     todo.select("id", ctx.alias("ctx")).write.mode("append").parquet(a.output)
 
 
+def reembed(spark, a) -> None:
+    """Chunks with their contexts (--contexts) into vectors and a BM25 index; only what changed is done again."""
+    chunks = spark.read.parquet(a.input).select("id", "text")
+    both = corpus.attach_context(chunks, spark.read.parquet(a.contexts)).withColumnRenamed("context", "ctx")
+    texts = both.select("id", vectorstore.with_context(F.col("ctx"), F.col("text")).alias("text"))
+    done = vectorstore.refresh(texts, f"{a.output}/vectors", models.hashing_embedder(a.dim), f"hashing-{a.dim}")
+    words = inverted.refresh(texts.withColumnRenamed("id", "doc_id"), f"{a.output}/lexical")
+    n = both.agg(F.count_if(F.col("ctx") != "").alias("used"), F.count("*").alias("n")).first()
+    print(f"contextual coverage: {n['used']}/{n['n']}, embedded: {done['embedded']}, lexical buckets: {words['buckets']}")
+
+
 def concepts(spark, a) -> None:
     """Concept file to one chunk per concept."""
     rows = corpus.concept_rows(readers.read_concepts(spark, a.input))
@@ -103,13 +125,13 @@ def concepts(spark, a) -> None:
 
 
 JOBS = {"chunk": chunk, "index": index, "lexical": lexical_index, "shrink": shrink,
-        "tree": summary_tree, "contexts": contexts, "concepts": concepts}
+        "tree": summary_tree, "finalize": finalize, "contexts": contexts, "reembed": reembed, "concepts": concepts}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lensmere.jobs.build")
     p.add_argument("job", choices=sorted(JOBS))
-    p.add_argument("--input", required=True)
+    p.add_argument("--input", default="")
     p.add_argument("--output", required=True)
     p.add_argument("--source", default="QA")
     p.add_argument("--url-prefix", default="")
@@ -124,6 +146,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-recall", type=float, default=0.95)
     p.add_argument("--apply", action="store_true")
     p.add_argument("--vectors", default="")
+    p.add_argument("--contexts", default="")
     p.add_argument("--topics", type=int, default=1500)
     p.add_argument("--domains", type=int, default=0)
     p.add_argument("--cap", type=int, default=0)

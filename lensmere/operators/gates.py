@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
+from lensmere.operators import terms as vocabularies
 from lensmere.operators.models import Embedder, embed_constants
 
 GAP = X.NOT_WORD
@@ -35,10 +36,8 @@ def out_of_scope_patterns() -> list:
 HISTORY = X.word_start(L.HISTORY_PATTERN) + f"(?!{L.HISTORY_MEDICAL_TOPICS})"
 
 
-def medical_pattern(vocabulary: list | None = None) -> str:
-    terms = vocabulary or L.default_medical_vocabulary()
-    longest_first = sorted(set(terms), key=lambda t: (-len(t), t))
-    return X.word_start("|".join(t.replace(".", r"\.").replace("+", r"\+") for t in longest_first))
+def default_vocabulary() -> list:
+    return sorted({term for _, term in L.flatten(L.SYMPTOM_KEYWORDS) if len(term) >= 4})
 
 
 def scope(df: DataFrame, text: str = "text", has_image: Column | None = None,
@@ -46,6 +45,9 @@ def scope(df: DataFrame, text: str = "text", has_image: Column | None = None,
           vocabulary: list | None = None, embedder: Embedder | None = None) -> DataFrame:
     """Add ``kind``, ``confidence`` and ``reason``.
 
+    ``vocabulary`` has the beginnings of medical words (``terms.vocabulary`` reads
+    them from a table); by default the longer terms of the symptom lexicon.
+
     kind is greeting, thanks, farewell, identity, out_of_scope or medical; the
     first rule that applies decides.  Without an embedder ambiguous messages
     are let through.
@@ -69,7 +71,8 @@ def scope(df: DataFrame, text: str = "text", has_image: Column | None = None,
         ((n <= 7) & whole(L.THANKS_PATTERN), "thanks", 1.0, "thanks"),
         ((n <= 7) & whole(L.FAREWELL_PATTERN), "farewell", 1.0, "farewell"),
         ((n <= 10) & identity, "identity", 1.0, "identity"),
-        (low.rlike(medical_pattern(vocabulary)), "medical", 1.0, "medical vocabulary"),
+        (vocabularies.any_word_start(low, vocabulary if vocabulary is not None else default_vocabulary()),
+         "medical", 1.0, "medical vocabulary"),
     ]
     for reason, pattern in out_of_scope_patterns():
         hit = low.rlike(pattern)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
-from lensmere.operators import gates, models, symptoms
+from lensmere.operators import gates, models, symptoms, terms
 from lensmere.plans import sql as Q
 from lensmere.plans import utterances as U
+from lensmere.session import new_folder
+from lensmere.tables import spread, table
 
 KEY = ["conv_id", "turn"]
 
@@ -17,19 +19,48 @@ def _u(spark, sf):
     return U.utterances(spark, sf)
 
 
+def _words_of(*phrases: str) -> list:
+    return sorted({w for p in phrases for w in p.split() if len(w) >= 4 and w not in L.INDEX_STOPWORDS})
+
+
+# The gate's vocabulary is a table; this one has the longer words of the other lexicons.
+VOCABULARY = _words_of(*L.HEALTHCARE_TERMS, *(t for x in (L.SYMPTOM_KEYWORDS, L.SPECIALTIES) for _, t in L.flatten(x)))
+
+
+def _vocabulary(spark) -> list:
+    """The terms as the gate reads them: from a table given by path."""
+    path = new_folder(spark, "vocabulary")
+    spark.createDataFrame([(w,) for w in VOCABULARY], "term string").write.parquet(path)
+    return terms.vocabulary(spark, path)
+
+
 def scope_classify(spark, sf):
     image = (F.col("conv_id") % 13 == 0) & (F.col("turn") == 0)
     return gates.scope(_u(spark, sf), has_image=image, in_conversation=F.col("turn") > 0,
-                       embedder=models.hashing_embedder()).select(
+                       vocabulary=_vocabulary(spark), embedder=models.hashing_embedder()).select(
         *KEY, "kind", "confidence", "reason")
 
 
 def scope_heuristics(spark, sf):
     """Kinds by role without the embedding tiebreak."""
-    g = gates.scope(_u(spark, sf), in_conversation=F.col("turn") > 0)
+    g = gates.scope(_u(spark, sf), in_conversation=F.col("turn") > 0, vocabulary=_vocabulary(spark))
     return g.groupBy("role", "kind", "reason").agg(F.count("*").alias("n"))
 
 
+def vocabulary_mentions(spark, sf):
+    """Every occurrence of the benchmark's longer words in the documents, by document.
+
+    Words that begin as they end are left out: SQL finds no occurrences that overlap.
+    """
+    words = table(spark, sf, "benchmark").select(F.explode(X.index_tokens(F.col("text"))).alias("term")).filter("length(term) >= 5")
+    words = words.filter("not exists(sequence(1, length(term) - 1), k -> left(term, k) = right(term, k))")
+    path = new_folder(spark, "vocabulary")
+    words.distinct().write.parquet(path)
+    found = terms.mentions(spread(table(spark, sf, "documents").select("doc_id", "text")), spark.read.parquet(path))
+    return found.groupBy("doc_id").agg(F.count("*").alias("mentions"), F.count_distinct("term").alias("terms"),
+                                       F.sum("start").alias("places"), F.max("start").alias("last"))
+
+
 def anchor_tiebreak(spark, sf):
     u = _u(spark, sf).withColumn("v", models.hashing_embedder()(F.col("text")))
     med = gates.nearest_anchor(L.MEDICAL_ANCHORS)(F.col("v"))
@@ -146,7 +177,7 @@ def _scope_sql(tie: bool, image: str, tail: str) -> str:
         (f"n <= 7 AND {whole(L.THANKS_PATTERN)}", "thanks", 1.0, "thanks"),
         (f"n <= 7 AND {whole(L.FAREWELL_PATTERN)}", "farewell", 1.0, "farewell"),
         (f"n <= 10 AND ({identity})", "identity", 1.0, "identity"),
-        (search(gates.medical_pattern()), "medical", 1.0, "medical vocabulary"),
+        (search(X.word_start("|".join(VOCABULARY))), "medical", 1.0, "medical vocabulary"),
     ]
     for reason, pattern in gates.out_of_scope_patterns():
         hit = search(pattern)
@@ -190,6 +221,16 @@ def _anchor_ctes() -> str:
 
 SCOPE_SQL = _scope_sql(True, "conv_id % 13 = 0 AND turn = 0",
                        "SELECT conv_id, turn, kind, confidence, reason FROM g")
+# Pieces between the occurrences of a term give their places.
+MENTION_SQL = f"""WITH v AS (SELECT DISTINCT unnest({Q.tokens('text')}) AS term FROM benchmark),
+ w AS (SELECT term FROM v WHERE len(term) >= 5
+   AND len(list_filter(range(1, len(term)), lambda k: term[1:k] = substr(term, len(term) - k + 1))) = 0),
+ d AS (SELECT doc_id, lower(text) AS low FROM documents),
+ h AS (SELECT doc_id, term, string_split(low, term) AS p FROM d JOIN w ON contains(low, term)),
+ o AS (SELECT doc_id, term, list_transform(p, lambda x: len(x)) AS n FROM h),
+ s AS (SELECT doc_id, term, unnest(range(1, len(n))) AS i, n FROM o),
+ g AS (SELECT doc_id, term, (list_sum(n[1:i]) + (i - 1) * len(term))::INT AS start FROM s)
+SELECT doc_id, count(*) AS mentions, count(DISTINCT term) AS terms, sum(start)::BIGINT AS places, max(start) AS last FROM g GROUP BY doc_id"""
 HEUR_SQL = _scope_sql(False, "false",
                       "SELECT role, kind, reason, count(*) AS n FROM g GROUP BY ALL")
 ANCHOR_SQL = f"WITH {U.SQL}, {_anchor_ctes()} SELECT * FROM sims"
@@ -310,6 +351,7 @@ SELECT cl.conv_id, cl.turn,
 REGISTRY = {
     "scope_classify": (scope_classify, SCOPE_SQL),
     "scope_heuristics": (scope_heuristics, HEUR_SQL),
+    "vocabulary_mentions": (vocabulary_mentions, MENTION_SQL),
     "anchor_tiebreak": (anchor_tiebreak, ANCHOR_SQL),
     "query_classes": (query_classes, CLASSES_SQL),
     "token_budget": (token_budget, BUDGET_SQL),

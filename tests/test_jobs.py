@@ -1,6 +1,7 @@
 """The batch jobs one after the other on a small directory."""
 
 from lensmere.jobs import build
+from lensmere.operators import inverted, vectorstore
 from lensmere.sources import writers
 
 
@@ -23,17 +24,23 @@ def test_chain(spark, tmp_path):
     assert spark.read.parquet(f"{vectors}/vectors").count() == n
     words = str(tmp_path / "words")
     build.main(["lexical", "--input", f"{out}/chunks", "--output", words])
-    before = spark.read.parquet(f"{words}/terms").inputFiles()
+    before = spark.read.parquet(f"{words}/postings").inputFiles()
     build.main(["lexical", "--input", f"{out}/chunks", "--output", words])
-    assert spark.read.parquet(f"{words}/terms").inputFiles() == before
+    assert spark.read.parquet(f"{words}/postings").inputFiles() == before
     nodes = str(tmp_path / "tree")
     build.main(["tree", "--input", f"{out}/chunks", "--output", nodes, "--vectors", vectors,
                 "--topics", "5", "--domains", "2"])
     assert spark.read.parquet(f"{nodes}/nodes").filter("level = 1").count() >= 1
+    assert spark.read.parquet(f"{nodes}/index/vectors").count() == spark.read.parquet(f"{nodes}/nodes").count()
     ctx = str(tmp_path / "ctx")
     for _ in range(2):
         build.main(["contexts", "--input", f"{out}/chunks", "--output", ctx])
     assert spark.read.parquet(ctx).count() == n
+    both = str(tmp_path / "both")
+    for _ in range(2):
+        build.main(["reembed", "--input", f"{out}/chunks", "--contexts", ctx, "--output", both])
+    assert vectorstore.vectors(spark, f"{both}/vectors").count() == n
+    assert inverted.state(spark, f"{both}/lexical")["version"] == 1
     codes = str(tmp_path / "codes")
     build.main(["shrink", "--input", vectors, "--output", codes, "-k", "3", "--sample", "20"])
     assert spark.read.parquet(f"{codes}/codes").count() == n
