@@ -19,6 +19,8 @@ SCORE_DIGITS = 6
 BLOCK_ENTRIES = 4_000_000
 # Parts in which the tasks' best rows of a query are merged before the last step.
 MERGE_PARTS = 16
+# Tasks at a time up to which one step merges them: at most so many times k rows for a query.
+MERGE_TASKS = 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -52,11 +54,15 @@ def rank(df: DataFrame, k: int, by: str = "query_id", score: str = "score",
 
 
 def merge(df: DataFrame, k: int) -> DataFrame:
-    """:func:`rank` of what many tasks found for each query, in two steps.
+    """:func:`rank` of what many tasks found for each query.
 
-    Each of a few parts keeps its best first, so no task merges the rows of all
-    others for one query.
+    A task sends k rows per query at most, as row-number filters are applied
+    before the shuffle.  Where more than ``MERGE_TASKS`` tasks may send, a few
+    parts keep their best first, so no task merges the rows of all others for
+    one query.  The rows are the same either way.
     """
+    if df.sparkSession.sparkContext.defaultParallelism <= MERGE_TASKS:
+        return rank(df, k)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(MERGE_PARTS))
     order = W.partitionBy("query_id", "_part").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     best = df.withColumn("_part", part).withColumn("_n", F.row_number().over(order)).filter(

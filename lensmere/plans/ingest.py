@@ -14,7 +14,7 @@ from lensmere.plans import sql as Q
 from lensmere.plans import utterances as U
 from lensmere.session import checkpoint_folder
 from lensmere.sources import readers, templates, writers
-from lensmere.streaming import streams
+from lensmere.streaming import conversations, streams
 from lensmere.tables import spread, table
 
 
@@ -249,6 +249,21 @@ def stream_session_counts(spark, sf):
     return streams.session_totals(spark, f"{folder}/out")
 
 
+def _conversation_events(rows):
+    """Messages as events: every seventh conversation is renamed at turn 3, every eleventh deleted now and then."""
+    action = (F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 3), "rename")
+              .when((F.col("conv_id") % 11 == 0) & (F.col("turn") % 5 == 4), "delete").otherwise("append"))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("seq"), action.alias("action"), "role", "text")
+
+
+def stream_conversations(spark, sf):
+    folder = _run_folder(spark)
+    schema = table(spark, sf, "conversations").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parquet*")
+    conversations.keep(_conversation_events(rows), folder, f"{folder}/checkpoint").awaitTermination()
+    return conversations.listing(spark, folder)
+
+
 def stream_audit_log(spark, sf):
     folder = _run_folder(spark)
     records = streams.audit_records(
@@ -308,6 +323,20 @@ SELECT reply_id, i::INT AS position, 'token' AS event, CASE WHEN i = 0 THEN ws[1
 FROM (SELECT reply_id, ws, unnest(range(len(ws))) AS i FROM w)
 UNION ALL SELECT reply_id, len(ws)::INT, 'done', text FROM w"""
 STREAM_SQL = """SELECT user_id AS session_id, count(*) AS queries, max(ts) AS last_seen FROM events GROUP BY user_id"""
+# What comes after a conversation's last deletion counts; its title is the last rename, or the first user message after it.
+STREAM_CONVERSATION_SQL = f"""WITH ev AS (SELECT conv_id, turn AS seq, role, text, CASE WHEN conv_id % 7 = 0 AND turn = 3 THEN 'rename'
+   WHEN conv_id % 11 = 0 AND turn % 5 = 4 THEN 'delete' ELSE 'append' END AS action FROM conversations),
+ ld AS (SELECT conv_id, max(seq) FILTER (WHERE action = 'delete') AS d FROM ev GROUP BY conv_id),
+ lv AS (SELECT ev.* FROM ev JOIN ld USING (conv_id) WHERE d IS NULL OR seq > d),
+ bn AS (SELECT conv_id, min(seq) AS born FROM lv WHERE action = 'append' GROUP BY conv_id),
+ lf AS (SELECT lv.*, born FROM lv JOIN bn USING (conv_id) WHERE seq >= born),
+ bs AS (SELECT conv_id, coalesce(max(seq) FILTER (WHERE action = 'rename'), min(born) - 1) AS s,
+   coalesce(arg_max(coalesce(nullif(substr(text, 1, 80), ''), 'Untitled'), seq) FILTER (WHERE action = 'rename'), 'New chat') AS t,
+   count(*) FILTER (WHERE action = 'append') AS message_count, max(seq)::BIGINT AS updated FROM lf GROUP BY conv_id),
+ fu AS (SELECT conv_id, arg_min(substr({Q.trimmed('text')}, 1, 60), seq) AS f FROM lf JOIN bs USING (conv_id)
+   WHERE action = 'append' AND role = 'user' AND {Q.trimmed('text')} <> '' AND seq > s GROUP BY conv_id)
+SELECT conv_id, CASE WHEN t IN ('', 'New chat') THEN coalesce(f, t) ELSE t END AS title, message_count, updated
+FROM bs LEFT JOIN fu USING (conv_id)"""
 AUDIT_SQL = """SELECT event_type AS event, ts::DATE AS day, count(*) AS n, sum(event_id)::BIGINT AS id_sum
 FROM events GROUP BY ALL"""
 
@@ -370,5 +399,6 @@ REGISTRY = {
     "index_integrity": (index_integrity, INTEGRITY_SQL),
     "reply_frames": (reply_frames, FRAMES_SQL),
     "stream_session_counts": (stream_session_counts, STREAM_SQL),
+    "stream_conversations": (stream_conversations, STREAM_CONVERSATION_SQL),
     "stream_audit_log": (stream_audit_log, AUDIT_SQL),
 }

@@ -147,6 +147,15 @@ def test_equal_texts_are_encoded_once(spark):
     assert got[1] == got[2] and set(got) == {1, 2, 3}
 
 
+def test_merging_in_one_step_or_two(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(q, i, float(rng.randint(0, 9))) for q in range(5) for i in range(200)] + [(9, 1, 2.0)]
+    df = spark.createDataFrame(rows, "query_id int, doc_id int, score double").repartition(6)
+    one = sorted(map(tuple, dense.merge(df, 4).collect()))
+    monkeypatch.setattr(dense, "MERGE_TASKS", 0)
+    assert sorted(map(tuple, dense.merge(df, 4).collect())) == one and len(one) == 21
+
+
 def test_vectors_with_nulls_take_no_part(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.6, 0.8])]
     v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
