@@ -31,6 +31,12 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising a
                           "consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription share sharing "
                           "social sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments "
                           "commentlist disqus replies respond related recommended widget toolbar pagination pager login signup".split())
+#: Words that join a listed one in a name without giving it another sense.
+JOINED_WORDS = frozenset("area article articles bar block body bottom box btn button buttons container content fixed form group icon icons inline "
+                         "inner item items left link links list main module outer page panel post posts right row section site slot small "
+                         "sticky stories story text title top unit wrap wrapper zone".split())
+#: Elements that hold the article's own text: only a class says that one of them is none of it.
+OWN_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th tr figure figcaption".split())
 ALWAYS_OPEN = frozenset("html body article main".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -40,6 +46,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+    """Is the element by its name, role or names no part of the main text?
+
+    Inside an article a name counts only if all its words are of that kind: "related-posts" does, "related-work"
+    does not; and headings, paragraphs and the like may have any id.  The header of an article stays.
+    """
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes or attributes.isspace():
@@ -49,8 +60,14 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if tag in ALWAYS_OPEN:
         return False
-    return found.get("role") in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(
-        _TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    if found.get("role") in DROPPED_ROLES:
+        return True
+    names = found.get("class", "") if in_article and tag in OWN_TEXT else f"{found.get('class', '')} {found.get('id', '')}"
+    for name in names.split():
+        words = [w for w in _TOKEN.findall(name) if not w.isdigit()]
+        if not DROPPED_WORDS.isdisjoint(words) and (not in_article or all(w in DROPPED_WORDS or w in JOINED_WORDS for w in words)):
+            return True
+    return False
 
 
 class _Tree:
