@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from lensmere.functions import text as X
 from lensmere.operators.dense import SCORE_DIGITS, merge, rank
+from lensmere.operators.running import running_count
 from lensmere.operators.topk import BestPerQuery
 from lensmere.tables import exists
 
@@ -18,6 +19,8 @@ K1, B, VOCABULARY_CAP = 1.5, 0.75, 200_000
 # (query, term) pairs that may travel to every task; more go through a join.
 MAX_BROADCAST_PAIRS = 2_000_000
 BLOCK_ENTRIES = 4_000_000
+# Characters of a term that make its block where terms are numbered.
+BEGINNING = 3
 
 
 def tokens(docs: DataFrame, stopwords: list | None = None) -> DataFrame:
@@ -51,8 +54,20 @@ def document_frequency(toks: DataFrame) -> DataFrame:
 
 
 def capped_vocabulary(df: DataFrame, cap: int = VOCABULARY_CAP) -> DataFrame:
-    """The most frequent terms; ties by term."""
-    return df.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(cap)
+    """The most frequent terms; ties by term.
+
+    A histogram of the counts tells which count the cap falls into.  All terms
+    above it stay; of those with exactly that count the first by term do, for
+    which they are numbered in blocks of equal beginnings.  No task sees more
+    than its share, whatever the cap.
+    """
+    histogram = df.groupBy("cf").agg(F.count("*").alias("_n"))  # a row per distinct count
+    before = F.sum("_n").over(W.orderBy(F.col("cf").desc()).rowsBetween(W.unboundedPreceding, -1))
+    room = histogram.withColumn("_room", F.lit(cap) - F.coalesce(before, F.lit(0))).filter(F.col("_room") > 0)
+    marked = df.join(room, "cf")
+    ties = running_count(marked.filter(F.col("_n") > F.col("_room")), [], ["term"], F.substring("term", 1, BEGINNING), "_place")
+    return marked.filter(F.col("_n") <= F.col("_room")).unionByName(
+        ties.filter(F.col("_place") <= F.col("_room")).drop("_place")).select(df.columns)
 
 
 def idf(n: Column, df: Column) -> Column:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit
 
 from lensmere.operators import dense, fusion, lexical, models, tree
 
@@ -147,6 +148,16 @@ def test_equal_texts_are_encoded_once(spark):
     assert got[1] == got[2] and set(got) == {1, 2, 3}
 
 
+@pytest.mark.parametrize("cap", [1, 40, 57, 100, 101, 500])
+def test_vocabulary_cut_off(spark, cap):
+    rng = random.Random(cap)
+    counts = [(f"{rng.choice('abc')}{rng.choice('xyzé')}{i}", rng.choice([1, 1, 1, 1, 2, 2, 3, 9])) for i in range(101)]
+    df = spark.createDataFrame(counts, "term string, cf long").withColumn("df", lit(1))
+    got = sorted((r.term, r.cf) for r in lexical.capped_vocabulary(df, cap).collect())
+    assert got == sorted(sorted(counts, key=lambda c: (-c[1], c[0].encode()))[:cap])
+    assert lexical.capped_vocabulary(df.limit(0), cap).count() == 0
+
+
 def test_merging_in_one_step_or_two(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(q, i, float(rng.randint(0, 9))) for q in range(5) for i in range(200)] + [(9, 1, 2.0)]
