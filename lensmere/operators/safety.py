@@ -8,23 +8,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lensmere.functions import lexicons as L
 from lensmere.functions import text as X
+from lensmere.operators.evidence import citations
 from lensmere.operators.running import running_count
 
 ANONYMOUS = "anonymous"
 SCORE_NAMES = ["relevance", "completeness", "safety", "clarity", "overall"]
 
 
-def interaction_log(df: DataFrame) -> DataFrame:
-    """Audit records: (query, ts, session_id, confidence, emergency, sources) to hashes and lengths."""
+def log_columns() -> list:
     q = X.or_empty(F.col("query"))
-    return df.select(
+    return [
         F.substring(F.md5(F.concat("ts", F.lit("_"), F.substring(q, 1, 50))), 1, 12)
         .alias("interaction_id"),
         "ts", F.coalesce("session_id", F.lit(ANONYMOUS)).alias("session_id"),
         F.md5(q).alias("query_hash"), F.length(q).alias("query_length"),
         F.coalesce("confidence", F.lit(0.0)).alias("response_confidence"),
         F.coalesce("emergency", F.lit(False)).alias("emergency_detected"),
-        F.coalesce("sources", F.lit(0)).alias("sources_used"))
+        F.coalesce("sources", F.lit(0)).alias("sources_used")]
+
+
+def interaction_log(df: DataFrame) -> DataFrame:
+    """Audit records: (query, ts, session_id, confidence, emergency, sources) to hashes and lengths."""
+    return df.select(*log_columns())
 
 
 def audit_emergencies(query: Column) -> Column:
@@ -134,6 +139,29 @@ def source_alignment(responses: DataFrame, passages: DataFrame) -> DataFrame:
         F.when(n > 10, "excellent").when(n > 5, "good").otherwise("moderate").alias("alignment"))
 
 
+def interactions(df: DataFrame, passages: DataFrame, block: Column, max_queries: int = L.MAX_QUERIES_PER_SESSION) -> DataFrame:
+    """One record per interaction: its log, its risks, the scores of its response, citations and validation.
+
+    ``df``: (query_id, query, text, ts, session_id, confidence, sources) with the
+    flags of ``response_scores``; ``passages``: (query_id, rank, text, source).
+    Within a session interactions are counted by ``ts`` and id; ``block`` rises
+    with that order.  A row without a response text scores as it is flagged.
+    """
+    known = df.withColumn("session_id", F.coalesce("session_id", F.lit(ANONYMOUS))).withColumn(
+        "emergency", F.size(audit_emergencies(X.or_empty(F.col("query")))) > 0).withColumn("sources_used", F.col("sources"))
+    scored = response_scores(risks(session_volume(known, ["session_id"], ["ts", "query_id"], block), max_queries))
+    record = scored.select("query_id", *log_columns(), "session_count", "risk_level", "risk_factors", "requires_review",
+                           *[F.round(n, 6).alias(n) for n in SCORE_NAMES])
+    cited = citations(passages).groupBy("query_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "citation"))), lambda c: c["citation"]).alias("citations"))  # five at most
+    return record.join(source_alignment(df, passages), "query_id").join(cited, "query_id", "left")
+
+
+def fallback(df: DataFrame) -> DataFrame:
+    """What is recorded where no answer could be made: an error that asks for a review and scores nothing."""
+    return df.withColumn("error", F.lit(True)).withColumn("confidence", F.lit(0.0)).withColumn("sources", F.lit(0))
+
+
 def clinical_checks(df: DataFrame) -> DataFrame:
     """Combine single checks: block on conflicts, override on severe or restricted."""
     def flag(name: str) -> Column:

@@ -671,6 +671,24 @@ def evaluation_summary(spark, sf):
     return safety.evaluation_summary(safety.response_scores(_responses(spark, sf)))
 
 
+def interaction_record(spark, sf):
+    """Every benchmark query as an interaction of one of four sessions; every ninth got no answer."""
+    q, p = queries(spark, sf), passages(spark, sf)
+
+    def some(kind):
+        return F.exists("nodes", lambda n: n["type"] == kind)
+
+    rows = (q.join(explain.confidence(q, p, F.lit("LOW")), "query_id").join(graph.of_queries(q, p, DRUGS), "query_id")
+            .join(p.groupBy("query_id").agg(F.count("*").alias("sources")), "query_id", "left")
+            .select("query_id", F.col("text").alias("query"), "text", F.concat(F.lit("t"), F.lpad(F.col("query_id").cast("string"), 9, "0")).alias("ts"),
+                    F.when(F.col("query_id") % 5 < 4, F.concat(F.lit("s"), F.col("query_id") % 5)).alias("session_id"), "confidence", "sources",
+                    F.lit(False).alias("error"), (F.length("text") > 200).alias("has_summary"), some("condition").alias("has_conditions"),
+                    some("treatment").alias("has_actions"), (F.col("query_id") % 2 == 0).alias("has_disclaimer")))
+    lost = F.col("query_id") % 9 == 8
+    both = rows.filter(~lost).unionByName(safety.fallback(rows.filter(lost)))
+    return safety.interactions(both, p, F.floor(F.col("query_id") / 8), max_queries=5)
+
+
 def source_alignment(spark, sf):
     return safety.source_alignment(queries(spark, sf), passages(spark, sf))
 
@@ -728,6 +746,35 @@ ALIGNMENT_SQL = f"""WITH {PASSAGES}, sd AS (SELECT query_id, unnest({Q.words('lo
  n AS (SELECT query_id, count(*) AS common FROM sd SEMI JOIN (SELECT * FROM kn WHERE len(w) > 4) USING (query_id, w) GROUP BY query_id)
 SELECT q.query_id, coalesce(common, 0) AS common, CASE WHEN coalesce(common, 0) > 10 THEN 'excellent'
  WHEN coalesce(common, 0) > 5 THEN 'good' ELSE 'moderate' END AS alignment FROM q LEFT JOIN n USING (query_id)"""
+RECORD_SQL = f"""WITH {PASSAGES}, {GRAPH}, {_keys('q', 20, 'k')}, {KA}, {PM},
+ sn AS (SELECT query_id, len(list_distinct(flatten(list(m)))) AS seen FROM pm GROUP BY query_id),
+ cf AS (SELECT q.query_id, CASE WHEN keys IS NULL THEN 0.5e0 ELSE round(greatest(0.3e0, least(0.92e0,
+   0.45e0 + 0.45e0 * (coalesce(seen, 0) / len(keys)))), 3) END AS confidence FROM q LEFT JOIN ka USING (query_id) LEFT JOIN sn USING (query_id)),
+ np AS (SELECT query_id, count(*) AS sources FROM p GROUP BY query_id),
+ it AS (SELECT q.query_id, q.text AS query, 't' || lpad(q.query_id::VARCHAR, 9, '0') AS ts,
+   CASE WHEN q.query_id % 5 < 4 THEN 's' || (q.query_id % 5) ELSE 'anonymous' END AS session_id, q.query_id % 9 = 8 AS error,
+   CASE WHEN q.query_id % 9 = 8 THEN 0e0 ELSE confidence END AS confidence, CASE WHEN q.query_id % 9 = 8 THEN 0 ELSE sources END AS sources,
+   (len(q.text) > 200)::INT AS s, (len(g.c) > 0)::INT AS c, (len(g.t) > 0)::INT AS a, (q.query_id % 2 = 0)::INT AS dis,
+   {Q.contains_any('lower(q.text)', AUDIT_TERMS)} AS emergency
+   FROM q JOIN cf USING (query_id) JOIN g USING (query_id) LEFT JOIN np USING (query_id)),
+ ct AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, query_id) AS n, confidence < 0.3e0 AS low,
+   ({SUSP.format(c='query')}) >= 5 AS odd,
+   CASE WHEN error THEN 0e0 ELSE (s + c + a) / 3e0 * 0.5e0 + confidence * 0.3e0 + least(coalesce(sources, 0) / 3e0, 1e0) * 0.2e0 END AS relevance,
+   CASE WHEN error THEN 0e0 ELSE (s + c + a + dis) / 4e0 END AS completeness, CASE WHEN confidence > 0.8e0 THEN 0.8e0 ELSE 1e0 END AS safety,
+   CASE WHEN error THEN 0e0 ELSE (greatest(c, a) + s) / 2e0 END AS clarity FROM it),
+ sd AS (SELECT query_id, unnest({Q.words('lower(text)')}) AS w FROM q),
+ kn AS (SELECT DISTINCT query_id, unnest({Q.words('lower(text)')}) AS w FROM p),
+ cm AS (SELECT query_id, count(*) AS common FROM sd SEMI JOIN (SELECT * FROM kn WHERE len(w) > 4) USING (query_id, w) GROUP BY query_id),
+ ci AS (SELECT query_id, list('Reference [' || (rank - 1) || ']: ' || source ORDER BY rank) AS citations FROM p WHERE rank <= 5 GROUP BY query_id)
+SELECT query_id, substr(md5(ts || '_' || substr(query, 1, 50)), 1, 12) AS interaction_id, ts, session_id, md5(query) AS query_hash,
+ len(query)::INT AS query_length, confidence AS response_confidence, emergency AS emergency_detected, coalesce(sources, 0) AS sources_used,
+ n AS session_count, CASE WHEN emergency THEN 'critical' WHEN odd THEN 'high' WHEN low THEN 'medium' ELSE 'low' END AS risk_level,
+ array_to_string(list_filter([CASE WHEN emergency THEN 'emergency' END, CASE WHEN low THEN 'low_confidence' END,
+   CASE WHEN n > 5 THEN 'high_volume' END, CASE WHEN odd THEN 'suspicious' END], lambda f: f IS NOT NULL), ',') AS risk_factors,
+ emergency OR n > 5 OR odd AS requires_review, round(relevance, 6) AS relevance, round(completeness, 6) AS completeness,
+ round(safety, 6) AS safety, round(clarity, 6) AS clarity, round((relevance + completeness + safety + clarity) / 4e0, 6) AS overall,
+ coalesce(common, 0) AS common, CASE WHEN coalesce(common, 0) > 10 THEN 'excellent' WHEN coalesce(common, 0) > 5 THEN 'good' ELSE 'moderate' END AS alignment,
+ citations FROM ct LEFT JOIN cm USING (query_id) LEFT JOIN ci USING (query_id)"""
 CLINICAL_SQL = """WITH e AS (SELECT event_id, event_type, (props->>'$.k')::INT AS k FROM events)
 SELECT event_id, k % 10 = 0 OR k % 17 = 0 AS block, k % 13 = 0 OR event_type = 'purchase' AS requires_override FROM e"""
 
@@ -772,5 +819,6 @@ REGISTRY = {
     "response_scores": (response_scores, SCORE_SQL),
     "evaluation_summary": (evaluation_summary, EVAL_SQL),
     "source_alignment": (source_alignment, ALIGNMENT_SQL),
+    "interaction_record": (interaction_record, RECORD_SQL),
     "clinical_checks": (clinical_checks, CLINICAL_SQL),
 }
