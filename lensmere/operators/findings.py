@@ -31,10 +31,11 @@ def modality(pixels: Column, stated: Column | None = None) -> Column:
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """(image_id, modality, place, label, probability), most likely first."""
+    """(image_id, modality, place, label, probability), most likely first; of a photo the first eight."""
     order = W.partitionBy("image_id").orderBy(F.col("probability").desc(), "label")
-    return findings.withColumn("label", X.pretty_label(F.col("label"))).withColumn(
+    placed = findings.withColumn("label", X.pretty_label(F.col("label"))).withColumn(
         "place", F.row_number().over(order))
+    return placed.filter((F.col("modality") != PHOTO) | (F.col("place") <= SHOWN))
 
 
 def top_findings(findings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
