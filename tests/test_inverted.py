@@ -121,3 +121,20 @@ def test_an_empty_corpus(spark, tmp_path):
     assert inverted.search(queries, str(tmp_path), 3).count() == 0 and inverted.is_current(docs, str(tmp_path))
     inverted.refresh(spark.createDataFrame([(1, "w0"), (2, "")], "doc_id long, text string"), str(tmp_path))
     assert got(inverted.search(queries, str(tmp_path), 3))[0][:2] == (1, 1)
+
+
+def test_postings_are_put_together_before_they_move(spark, tmp_path):
+    """One row leaves a task for a term and block, however many documents it stands for; a search explodes no entries."""
+    rows = [(i, "w0 w0 w1") for i in range(40)] + [(None, "w0"), (None, "w0"), (3, "w0 w0 w1")]
+    docs = inverted._tokens(inverted._by_block(inverted._keyed(frame(spark, rows)), 2), None)
+    made = docs.mapInArrow(inverted._blocked, inverted._row_schema("bigint")).collect()
+    assert len({(r.term, r.block) for r in made}) == len(made) <= 4
+    assert sum(r.n for r in made if r.term == "w0") == 43 and sum(r.n for r in made if r.term == "w1") == 41
+    assert sum(len(r.entries) for r in made if r.term == "w0") == 41
+    inverted.build(frame(spark, rows), str(tmp_path), block_docs=16)
+    plan = inverted.search(spark.createDataFrame(QUERIES, "query_id long, text string"), str(tmp_path), 3)._jdf.queryExecution().toString()
+    assert "explode(entries" not in plan
+    # A row without an id goes like any other.
+    assert inverted.refresh(frame(spark, rows[:40]), str(tmp_path))["rows"] == 2
+    query = spark.createDataFrame([(1, "w0")], "query_id long, text string")
+    assert sorted(r.doc_id for r in inverted.search(query, str(tmp_path), 50).collect()) == list(range(40))
