@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lensmere.functions import vectors as V
 from lensmere.operators.pools import join_pool
 from lensmere.operators.topk import BestPerQuery
 
-# Query vectors up to this many bytes travel to every task at a time.
-BROADCAST_BYTES = 64 << 20
+# Query vectors up to this many bytes travel to every task; more meet the corpus in cells.
+BROADCAST_BYTES = 8 << 20
+# Rows of either side of a cell, and the least number of cells that are worth a task each.
+CELL_ROWS, LEAST_CELLS = 32_768, 16
 SCORE_DIGITS = 6
 # Size of the score matrix a task holds at a time.
 BLOCK_ENTRIES = 4_000_000
@@ -41,6 +42,57 @@ def _scan(best: BestPerQuery, queries: np.ndarray, ids: np.ndarray, vectors: np.
         best.add_matrix(start, ids, scores, keep)
 
 
+# Sizes of the matrices of a cell: queries and rows at a time, and the rows that give the first floor.
+CELL_QUERIES, CELL_COLUMNS, FIRST_COLUMNS = 512, 2_048, 1_024
+
+
+def _best_of_cell(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float | None):
+    """(query number, id, score) of the best k rows per query; ids ascend.
+
+    Scores are computed in single precision first.  What could, by the bound of their error, reach a query's
+    k-th score so far is computed in double precision, so the result is that of :func:`_scan`.
+    """
+    single_q, single_v = queries.astype(np.float32), vectors.astype(np.float32)
+    norms = np.sqrt((queries * queries).sum(1)), np.sqrt((vectors * vectors).sum(1))
+    most = float(norms[0].max(initial=0.0) * norms[1].max(initial=0.0))
+    coarse = np.isfinite(most) and most < 1e30 and bool(np.isfinite(single_q).all() and np.isfinite(single_v).all())
+    out = []
+    for start in range(0, len(queries), CELL_QUERIES):
+        q, sq, nq = (x[start:start + CELL_QUERIES] for x in (queries, single_q, norms[0]))
+        best = BestPerQuery(k)
+        at = 0
+        while at < len(ids):
+            # The rounding of scores may lift a row by half a unit above what its product is.
+            end = at + (FIRST_COLUMNS if at == 0 else CELL_COLUMNS)
+            if at == 0 or not coarse:
+                _scan(best, q, ids[:end][at:], vectors[at:end], min_score)
+            else:
+                floor = np.full(len(q), -np.inf if min_score is None else float(min_score))
+                count = np.bincount(best.query, minlength=len(q))
+                full = np.flatnonzero(count >= k)
+                last = np.cumsum(count)[full] - 1
+                floor[full] = np.maximum(floor[full], best.scores[last])
+                # Error of a product of n single-precision terms, of both sides' conversion, and of underflow.
+                error = (2 * q.shape[1] + 8) * 2.0 ** -24 * nq * float(norms[1][at:end].max(initial=0.0)) + 1e-30
+                bar = floor - error - 10.0 ** -SCORE_DIGITS
+                # Rounded down to single precision.
+                bar = np.nextafter(bar.astype(np.float32), np.float32(-np.inf))
+                wide = sq @ single_v[at:end].T >= bar[:, None]
+                rows, columns = np.divmod(np.flatnonzero(wide), wide.shape[1])
+                for a in range(0, len(rows), BLOCK_ENTRIES // 16):
+                    r, c = rows[a:a + BLOCK_ENTRIES // 16], columns[a:a + BLOCK_ENTRIES // 16] + at
+                    scores = np.round(np.einsum("ij,ij->i", q[r], vectors[c]), SCORE_DIGITS)
+                    keep = scores >= floor[r]
+                    if keep.any():
+                        best.add(r[keep], ids[c[keep]], scores[keep])
+            at = end
+        if best.ids is not None:
+            out.append((best.query + start, best.ids, best.scores))
+    if not out:
+        return np.empty(0, np.int64), ids[:0], np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _ids(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else \
         column.to_numpy()
@@ -83,10 +135,10 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | Non
     Result: (query_id, doc_id, score, rank); scores are rounded before ranking.
 
     Each task scans its share of the corpus once against all queries and keeps
-    whatever the corpus size.  Queries are sent to the tasks in blocks of at
-    most about ``broadcast_bytes``, each answered by one scan of the corpus,
-    which is read but never copied.  Rows without a vector, or with a null in
-    it, take no part.
+    whatever the corpus size.  Queries of more than ``broadcast_bytes`` stay
+    where they are: both sides are cut into blocks of bounded size, and each
+    pair of blocks is a cell that one task searches.  Rows without a vector,
+    or with a null in it, take no part.
     """
     queries = _usable(queries.select("query_id", V.as_double(F.col("embedding")).alias("embedding")))
     corpus = _usable(corpus.select("doc_id", V.as_double(F.col("embedding")).alias("embedding")))
@@ -95,9 +147,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | Non
         T.StructField("doc_id", corpus.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    sample, most = bounded_table(queries, broadcast_bytes)
+    sample, _ = bounded_table(queries, broadcast_bytes)
     if sample is None:
-        found = _search_blocks(queries, corpus, k, min_score, most, out)
+        found = _search_cells(queries, corpus, k, min_score, out)
     else:
         found = _search_broadcast(sample, corpus, k, min_score, out)
     return merge(found, k)
@@ -143,14 +195,43 @@ def _search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, min_score: f
     return corpus.mapInArrow(scan, out)
 
 
-def _search_blocks(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None,
-                   most: int, out: T.StructType) -> DataFrame:
-    """Queries in hashed blocks of about ``most`` rows; one scan of the corpus for each."""
-    blocks = max(1, -(-queries.count() // max(1, most)))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [_search_broadcast(queries.filter(number == b).toArrow(), corpus, k, min_score, out)
-             for b in range(blocks)]
-    return functools.reduce(DataFrame.union, parts)
+def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None,
+                  out: T.StructType) -> DataFrame:
+    """Blocks of queries against shares of the corpus, each pair in one task; the driver sees counts only.
+
+    Every vector goes to as many cells as the other side has blocks.
+    """
+    spark = corpus.sparkSession
+    blocks = max(1, -(-queries.count() // CELL_ROWS))
+    shares = max(1, -(-corpus.count() // CELL_ROWS))
+    # Few large cells would leave cores idle.
+    while blocks * shares < max(LEAST_CELLS, 2 * spark.sparkContext.defaultParallelism):
+        blocks, shares = (blocks * 2, shares) if blocks <= shares else (blocks, shares * 2)
+
+    def dealt(df: DataFrame, item: str, own: int, other: int, cell) -> DataFrame:
+        # By id and vector, so that neither repeated ids nor repeated vectors meet in one block.
+        block = F.pmod(F.xxhash64(item, "embedding"), F.lit(own)).cast("int")
+        return df.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select(
+            cell.cast("int").alias("cell"), item, "embedding")
+
+    asked = dealt(queries, "query_id", blocks, shares, F.col("_b") * shares + F.col("_o"))
+    rows = dealt(corpus, "doc_id", shares, blocks, F.col("_o") * shares + F.col("_b"))
+    kinds = {f.name: f.dataType.simpleString() for f in out}
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        ids, query_ids = c.column("doc_id").combine_chunks(), q.column("query_id").combine_chunks()
+        if not len(ids) or not len(query_ids):
+            return pa.table({"query_id": query_ids.slice(0, 0), "doc_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        # Rows by id, so that a place stands for its id, whatever its type; a null comes last.
+        order = pa.compute.sort_indices(ids)
+        vectors = _matrix(c.column("embedding"))[order.to_numpy()]
+        query, place, scores = _best_of_cell(_matrix(q.column("embedding")), np.arange(len(ids)), vectors, k, min_score)
+        return pa.table({"query_id": query_ids.take(pa.array(query)), "doc_id": ids.take(order.take(pa.array(place))), "score": pa.array(scores)})
+
+    # A task for each few cells, whatever their bytes.
+    n = min(blocks * shares, max(spark.sparkContext.defaultParallelism * 4, blocks))
+    return asked.repartition(n, "cell").groupBy("cell").cogroup(rows.repartition(n, "cell").groupBy("cell")).applyInArrow(
+        run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
 
 
 def exclude_categories(hits: DataFrame, attributes: DataFrame, excluded: list,

@@ -172,3 +172,42 @@ def test_vectors_with_nulls_take_no_part(spark):
     v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
     got = dense.search(v.withColumnRenamed("doc_id", "query_id"), v, 5)
     assert {(r.query_id, r.doc_id) for r in got.collect()} == {(1, 1), (1, 4), (4, 1), (4, 4)}
+
+
+def test_cells_give_what_one_matrix_gives(spark, monkeypatch):
+    """Repeated vectors and ids, near ties, a zero and a huge vector; the driver gets counts, no query vectors."""
+    import numpy as np
+    from lensmere.operators import dense
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(150, 8)), 2)
+    v[40:80], v[81], v[100:110] = v[3], 0.0, v[7] + 1e-7
+    monkeypatch.setattr(dense, "FIRST_COLUMNS", 16)
+    monkeypatch.setattr(dense, "CELL_COLUMNS", 32)
+    monkeypatch.setattr(dense, "CELL_ROWS", 40)
+    for big in (v, np.vstack([v, np.full((1, 8), 1e200)])):
+        ids = [i - (i % 10 == 9) for i in range(len(big))]
+        f = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, big)], "doc_id long, embedding array<double>")
+        q = f.withColumnRenamed("doc_id", "query_id")
+        for low in (None, 0.5):
+            want = dense.search(q, f, 6, low).collect()
+            monkeypatch.setattr(dense, "_search_broadcast", None)
+            have = dense.search(q, f, 6, low, broadcast_bytes=64)
+            monkeypatch.undo()
+            assert sorted(map(tuple, have.collect())) == sorted(map(tuple, want))
+            monkeypatch.setattr(dense, "FIRST_COLUMNS", 16)
+            monkeypatch.setattr(dense, "CELL_COLUMNS", 32)
+            monkeypatch.setattr(dense, "CELL_ROWS", 40)
+
+
+def test_scan_spreads_out_a_bounded_number_of_pairs():
+    import numpy as np
+    from lensmere.operators import lexical
+
+    rng = np.random.default_rng(2)
+    rows = np.sort(rng.integers(0, 200, 3000))
+    fans = rng.integers(0, 50, 3000)
+    blocks = lexical._fan_blocks(rows, fans, 210, most=2000)
+    assert [a for a, _ in blocks] == [0, *(b for _, b in blocks[:-1])] and blocks[-1][1] == 210
+    for a, b in blocks:
+        assert fans[(rows >= a) & (rows < b)].sum() <= 2000 or b == a + 1
