@@ -19,6 +19,8 @@ K1, B, VOCABULARY_CAP = 1.5, 0.75, 200_000
 # (query, term) pairs that may travel to every task; more go through a join.
 MAX_BROADCAST_PAIRS = 2_000_000
 BLOCK_ENTRIES = 4_000_000
+# (query, term) pairs of documents that a task spreads out at a time; each takes some 40 bytes.
+BLOCK_PRODUCTS = 1_000_000
 # Characters of a term that make its block where terms are numbered.
 BEGINNING = 3
 
@@ -170,6 +172,21 @@ def _per_document(tokens_column: pa.Array, terms: pa.Array):
     return keys // len(terms), keys % len(terms), tf, lengths
 
 
+def _fan_blocks(rows: np.ndarray, fans: np.ndarray, n: int, most: int = BLOCK_PRODUCTS) -> list:
+    """Ranges of the n documents that meet about ``most`` (query, term) pairs each, or are one document.
+
+    How many pairs a document meets depends on its words, so a number of documents bounds nothing.
+    """
+    upto = np.cumsum(np.bincount(rows, weights=fans, minlength=n)) if n else np.empty(0)
+    out, first = [], 0
+    while first < n:
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + most, side="right")))
+        out.append((first, min(last, n)))
+        first = last
+    return out
+
+
 def _term_counts(toks: DataFrame, terms: list) -> dict:
     """Document counts of the wanted terms, with totals under the null term."""
     shared = toks.sparkSession.sparkContext.broadcast(terms)
@@ -237,20 +254,23 @@ def _scores_by_scan(pairs: pa.Table, toks: DataFrame, k: int, docs: DataFrame,
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 id_type = batch.schema.field("doc_id").type
-                row, term, tf, lengths = _per_document(batch.column("tokens"), value_set)
-                weight = weights[term] * tf * (K1 + 1.0) / (
-                    tf + K1 * (1.0 - B + B * lengths[row] / avgdl))
-                fan = starts[term + 1] - starts[term]
-                offset = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-                query = by_term[np.repeat(starts[term], fan) + offset]
-                n = batch.num_rows
-                scores = np.bincount(
-                    query * n + np.repeat(row, fan), weights=np.repeat(weight, fan),
-                    minlength=len(query_ids) * n,
-                ).reshape(len(query_ids), n)
-                scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
-                best.add_matrix(0, batch.column("doc_id").to_numpy(zero_copy_only=False),
-                                scores, scores != 0)
+                rows, terms_, tf, lengths = _per_document(batch.column("tokens"), value_set)
+                weight_ = weights[terms_] * tf * (K1 + 1.0) / (
+                    tf + K1 * (1.0 - B + B * lengths[rows] / avgdl))
+                fans = starts[terms_ + 1] - starts[terms_]
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                for first, last in _fan_blocks(rows, fans, batch.num_rows):
+                    a, b = np.searchsorted(rows, (first, last))
+                    row, term, weight, fan = rows[a:b] - first, terms_[a:b], weight_[a:b], fans[a:b]
+                    offset = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+                    query = by_term[np.repeat(starts[term], fan) + offset]
+                    n = last - first
+                    scores = np.bincount(
+                        query * n + np.repeat(row, fan), weights=np.repeat(weight, fan),
+                        minlength=len(query_ids) * n,
+                    ).reshape(len(query_ids), n)
+                    scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
+                    best.add_matrix(0, ids[first:last], scores, scores != 0)
         if best.ids is not None:
             yield pa.RecordBatch.from_arrays(
                 [query_ids.take(pa.array(best.query)), pa.array(best.ids, id_type),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-from lensmere.session import ship
+from lensmere.session import bounded_batches, ship
 
 MODULES = ["retrieval", "language", "dialogue", "corpora", "assembly", "measures", "ingest", "stored"]
 
@@ -14,6 +14,7 @@ def _shipped_first(run):
     @functools.wraps(run)
     def call(spark, sf):
         ship(spark)
+        bounded_batches(spark)
         return run(spark, sf)
 
     return call
