@@ -19,6 +19,10 @@ K1, B, VOCABULARY_CAP = 1.5, 0.75, 200_000
 # (query, term) pairs that may travel to every task; more go through a join.
 MAX_BROADCAST_PAIRS = 2_000_000
 BLOCK_ENTRIES = 4_000_000
+# Terms of a vocabulary that may travel to every task.
+MAX_VOCABULARY = 500_000
+# (query, term) pairs and documents of a cell, and queries scored at a time in it.
+CELL_PAIRS, CELL_DOCS, CELL_QUERIES = 1_000_000, 8_192, 1_024
 # (query, term) pairs of documents that a task spreads out at a time; each takes some 40 bytes.
 BLOCK_PRODUCTS = 1_000_000
 # Characters of a term that make its block where terms are numbered.
@@ -107,22 +111,28 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 50,
 
     While the query terms are few enough to travel to every task, documents
     are scored where they are read and a task passes on k rows per query.
-    A larger set of queries is joined with the postings on the term.
+    A larger set of queries meets the documents in cells of a block of
+    queries and a share of the documents, each scored by one task.
     ``vocabulary`` restricts the index to the given terms.
     """
     toks = tokens(docs, stopwords)
     wanted = query_terms(queries, stopwords)
     # Rows of one id are documents of their own, in the scan and in the join.
     if vocabulary is not None:
-        kept = vocabulary.select("term")
-        exploded = _numbered(toks).select("_row", "doc_id", F.posexplode_outer("tokens").alias("at", "term"))
-        known = exploded.join(kept.withColumn("known", F.lit(True)), "term", "left")
-        toks = known.groupBy("_row", "doc_id").agg(
-            F.collect_list(F.when(F.col("known"), F.col("term"))).alias("tokens")).drop("_row")
+        few = vocabulary.select("term").limit(MAX_VOCABULARY + 1).toArrow()
+        if few.num_rows <= MAX_VOCABULARY:
+            toks = _restricted(toks, few["term"].combine_chunks().cast(pa.string()))
+            kept = toks.sparkSession.createDataFrame(few) if few.num_rows else vocabulary.select("term")
+        else:
+            kept = vocabulary.select("term")
+            exploded = _numbered(toks).select("_row", "doc_id", F.posexplode_outer("tokens").alias("at", "term"))
+            known = exploded.join(kept.withColumn("known", F.lit(True)), "term", "left")
+            toks = known.groupBy("_row", "doc_id").agg(
+                F.collect_list(F.when(F.col("known"), F.col("term"))).alias("tokens")).drop("_row")
         wanted = wanted.join(kept, "term", "left_semi").select("query_id", "term")
     pairs = wanted.limit(max_pairs + 1).toArrow()
     if pairs.num_rows > max_pairs:
-        return merge(_scores_by_join(wanted, toks), k)
+        return merge(_scores_by_cells(wanted, toks, k), k)
     return merge(_scores_by_scan(pairs, toks, k, docs, queries), k)
 
 
@@ -130,34 +140,97 @@ def _numbered(toks: DataFrame) -> DataFrame:
     return toks.withColumn("_row", F.monotonically_increasing_id())
 
 
-def rounded(score: Column) -> Column:
-    """To SCORE_DIGITS, half up, by the arithmetic that the scan uses too."""
-    unit = float(10 ** SCORE_DIGITS)
-    return F.floor(score * unit + 0.5) / unit
-
+def _restricted(toks: DataFrame, terms: pa.Array) -> DataFrame:
+    """Tokens of a bounded vocabulary only, where the documents are read."""
+    shared = toks.sparkSession.sparkContext.broadcast(terms)
 
-def _scores_by_join(wanted: DataFrame, toks: DataFrame) -> DataFrame:
-    """Score every (query, document) pair that shares a term."""
-    stats = corpus_stats(toks)
-    n, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    vocabulary = wanted.select("term").distinct()
-    with_length = _numbered(toks).select("_row", "doc_id", F.size("tokens").alias("len"),
-                                         F.explode("tokens").alias("term"))
-    hits = (
-        with_length.join(vocabulary, "term", "left_semi")
-        .groupBy("_row", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = (
-        idf(n, F.col("df")) * F.col("tf") * (K1 + 1.0)
-        / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / avgdl))
-    )
-    weighted = hits.join(df, "term").select("term", "_row", "doc_id", weight.alias("weight"))
-    return (
-        wanted.join(weighted, "term").groupBy("query_id", "_row", "doc_id")
-        .agg(rounded(F.sum("weight")).alias("score"))
-        .filter(F.col("score") != 0).drop("_row")
-    )
+    def keep(batches):
+        for batch in batches:
+            column = batch.column("tokens")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = column.flatten()
+            known = pc.is_in(flat, value_set=shared.value)
+            row = np.repeat(np.arange(len(lengths)), lengths)[known.to_numpy(zero_copy_only=False)]
+            ends = np.cumsum(np.bincount(row, minlength=len(lengths)))
+            tokens_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat.filter(known))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens_], names=["doc_id", "tokens"])
+
+    kind = toks.schema["doc_id"].dataType.simpleString()
+    return toks.select("doc_id", "tokens").mapInArrow(keep, f"doc_id {kind}, tokens array<string>")
+
+
+def _scores_by_cells(wanted: DataFrame, toks: DataFrame, k: int) -> DataFrame:
+    """Best k documents per query and cell; the driver sees two counts and a mean."""
+    stats = corpus_stats(toks).first()
+    n_docs, avgdl = stats["n_docs"], float(stats["avgdl"])
+    blocks = max(1, -(-wanted.count() // CELL_PAIRS))
+    shares = max(1, -(-n_docs // CELL_DOCS))
+    df = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).join(
+        wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighted = wanted.join(df, "term").select("query_id", "term", idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    n = blocks * shares
+
+    def dealt(table: DataFrame, block: Column, own: int, other: int, cell: Column, columns: list) -> DataFrame:
+        return table.withColumn("_b", F.pmod(block, F.lit(own)).cast("int")).withColumn(
+            "_o", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select(
+            cell.cast("int").alias("cell"), *columns).repartition(n, "cell").groupBy("cell")
+
+    # A query's terms stay together; a document's block is that of its id and words, as ids may repeat.
+    asked = dealt(weighted, F.xxhash64("query_id"), blocks, shares, F.col("_b") * shares + F.col("_o"), ["query_id", "term", "idf"])
+    rows = dealt(toks, F.xxhash64("doc_id", "tokens"), shares, blocks, F.col("_o") * shares + F.col("_b"), ["doc_id", "tokens"])
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((wanted, "query_id"), (toks, "doc_id"))]
+    return asked.cogroup(rows).applyInArrow(_cell_scorer(k, avgdl), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
+def _cell_scorer(k: int, avgdl: float):
+    def run(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        doc_ids, query_ids = docs.column("doc_id").combine_chunks(), asked.column("query_id").combine_chunks()
+        # Rows by id, so that a place stands for its id, whatever its type.
+        order = pc.sort_indices(doc_ids)
+        ids = query_ids.dictionary_encode(null_encoding="encode")
+        names = asked.column("term").combine_chunks().dictionary_encode()
+        found = []
+        if len(doc_ids) and len(query_ids):
+            terms = names.dictionary
+            row, term, tf, lengths = _per_document(docs.column("tokens").combine_chunks().take(order), terms)
+            weight = np.zeros(len(terms))
+            pair_query, pair_term = ids.indices.to_numpy(), names.indices.to_numpy()
+            weight[pair_term] = asked.column("idf").to_numpy()
+            weights = weight[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * lengths[row] / avgdl))
+            for first in range(0, len(ids.dictionary), CELL_QUERIES):
+                here = np.flatnonzero((pair_query >= first) & (pair_query < first + CELL_QUERIES))
+                n = min(CELL_QUERIES, len(ids.dictionary) - first)
+                here = here[np.lexsort((pair_query[here], pair_term[here]))]
+                starts = np.searchsorted(pair_term[here], np.arange(len(terms) + 1))
+                best = BestPerQuery(k)
+                _add_scores(best, np.arange(len(doc_ids)), row, term, weights, pair_query[here] - first, starts, n)
+                if best.ids is not None:
+                    found.append((best.query + first, best.ids, best.scores))
+        query, place, scores = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"query_id": ids.dictionary.take(pa.array(query)), "doc_id": doc_ids.take(order.take(pa.array(place))), "score": pa.array(scores)})
+
+    return run
+
+
+def _add_scores(best: BestPerQuery, ids: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,
+                by_term: np.ndarray, starts: np.ndarray, n_queries: int) -> None:
+    """Offer the scores of (row, term, weight) triples; ``by_term`` lists the queries of each term."""
+    fans = starts[terms + 1] - starts[terms]
+    step = max(1, BLOCK_ENTRIES // max(1, n_queries))
+    for whole, end in _fan_blocks(rows, fans, len(ids)):
+        for first in range(whole, end, step):
+            last = min(end, first + step)
+            a, b = np.searchsorted(rows, (first, last))
+            row, term, weight, fan = rows[a:b] - first, terms[a:b], weights[a:b], fans[a:b]
+            offset = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+            query = by_term[np.repeat(starts[term], fan) + offset]
+            n = last - first
+            scores = np.bincount(
+                query * n + np.repeat(row, fan), weights=np.repeat(weight, fan),
+                minlength=n_queries * n,
+            ).reshape(n_queries, n)
+            scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
+            best.add_matrix(0, ids[first:last], scores, scores != 0)
 
 
 def _per_document(tokens_column: pa.Array, terms: pa.Array):
@@ -257,20 +330,8 @@ def _scores_by_scan(pairs: pa.Table, toks: DataFrame, k: int, docs: DataFrame,
                 rows, terms_, tf, lengths = _per_document(batch.column("tokens"), value_set)
                 weight_ = weights[terms_] * tf * (K1 + 1.0) / (
                     tf + K1 * (1.0 - B + B * lengths[rows] / avgdl))
-                fans = starts[terms_ + 1] - starts[terms_]
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                for first, last in _fan_blocks(rows, fans, batch.num_rows):
-                    a, b = np.searchsorted(rows, (first, last))
-                    row, term, weight, fan = rows[a:b] - first, terms_[a:b], weight_[a:b], fans[a:b]
-                    offset = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-                    query = by_term[np.repeat(starts[term], fan) + offset]
-                    n = last - first
-                    scores = np.bincount(
-                        query * n + np.repeat(row, fan), weights=np.repeat(weight, fan),
-                        minlength=len(query_ids) * n,
-                    ).reshape(len(query_ids), n)
-                    scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
-                    best.add_matrix(0, ids[first:last], scores, scores != 0)
+                _add_scores(best, batch.column("doc_id").to_numpy(zero_copy_only=False), rows, terms_, weight_, by_term,
+                            starts, len(query_ids))
         if best.ids is not None:
             yield pa.RecordBatch.from_arrays(
                 [query_ids.take(pa.array(best.query)), pa.array(best.ids, id_type),

@@ -211,3 +211,24 @@ def test_scan_spreads_out_a_bounded_number_of_pairs():
     assert [a for a, _ in blocks] == [0, *(b for _, b in blocks[:-1])] and blocks[-1][1] == 210
     for a, b in blocks:
         assert fans[(rows >= a) & (rows < b)].sum() <= 2000 or b == a + 1
+
+
+def test_cells_and_a_small_vocabulary_move_no_postings(spark, monkeypatch):
+    """Nothing is exploded per query or collected per document; several cells, repeated and null ids."""
+    from lensmere.operators import lexical
+
+    rows = [(i % 35, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)] + [(None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 3} w2") for q in range(9)], "query_id long, text string")
+    known = spark.createDataFrame([(f"w{i}",) for i in range(0, 17, 2)], "term string")
+    monkeypatch.setattr(lexical, "CELL_PAIRS", 7)
+    monkeypatch.setattr(lexical, "CELL_DOCS", 20)
+    monkeypatch.setattr(lexical, "CELL_QUERIES", 2)
+    some = docs.filter("doc_id is not null")
+    for words in (None, known):
+        want = sorted(map(tuple, lexical.search(queries, some, 4, vocabulary=words).collect()))
+        have = lexical.search(queries, some, 4, vocabulary=words, max_pairs=0)
+        plan = have._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "FlatMapCoGroups" in plan
+        assert sorted(map(tuple, have.collect())) == want and want
+    assert lexical.search(queries, docs, 50, max_pairs=0).filter("doc_id is null").count() == 9
