@@ -19,10 +19,15 @@ K1, B, VOCABULARY_CAP = 1.5, 0.75, 200_000
 # (query, term) pairs that may travel to every task; more go through a join.
 MAX_BROADCAST_PAIRS = 2_000_000
 BLOCK_ENTRIES = 4_000_000
+# Queries whose best rows a scan keeps in order at a time; more go through cells.
+MAX_SCANNED_QUERIES = 4_096
 # Terms of a vocabulary that may travel to every task.
 MAX_VOCABULARY = 500_000
 # (query, term) pairs and documents of a cell, and queries scored at a time in it.
-CELL_PAIRS, CELL_DOCS, CELL_QUERIES = 1_000_000, 8_192, 1_024
+CELL_PAIRS, CELL_DOCS, CELL_QUERIES = 1_000_000, 8_192, 256
+# Terms of a cell that are scored by a matrix product at most, and the share of all its pairs of a query and
+# a document that a term must be found in for that.
+SHARED_TERMS, SHARED_LEAST = 512, 1 / 1_000
 # (query, term) pairs of documents that a task spreads out at a time; each takes some 40 bytes.
 BLOCK_PRODUCTS = 1_000_000
 # Characters of a term that make its block where terms are numbered.
@@ -109,8 +114,10 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 50,
            max_pairs: int = MAX_BROADCAST_PAIRS) -> DataFrame:
     """Best k documents per query by BM25: (query_id, doc_id, score, rank).
 
-    While the query terms are few enough to travel to every task, documents
-    are scored where they are read and a task passes on k rows per query.
+    While the queries and their terms are few enough to travel to every task,
+    documents are scored where they are read and a task passes on k rows per
+    query.  A scan sorts what it keeps again for every block of documents, and
+    blocks shrink as queries grow, so its time grows with the square of both.
     A larger set of queries meets the documents in cells of a block of
     queries and a share of the documents, each scored by one task.
     ``vocabulary`` restricts the index to the given terms.
@@ -131,7 +138,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 50,
                 F.collect_list(F.when(F.col("known"), F.col("term"))).alias("tokens")).drop("_row")
         wanted = wanted.join(kept, "term", "left_semi").select("query_id", "term")
     pairs = wanted.limit(max_pairs + 1).toArrow()
-    if pairs.num_rows > max_pairs:
+    if pairs.num_rows > max_pairs or pc.count_distinct(pairs["query_id"], mode="all").as_py() > MAX_SCANNED_QUERIES:
         return merge(_scores_by_cells(wanted, toks, k), k)
     return merge(_scores_by_scan(pairs, toks, k, docs, queries), k)
 
@@ -189,29 +196,83 @@ def _cell_scorer(k: int, avgdl: float):
         order = pc.sort_indices(doc_ids)
         ids = query_ids.dictionary_encode(null_encoding="encode")
         names = asked.column("term").combine_chunks().dictionary_encode()
-        found = []
+        query, place, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(doc_ids) and len(query_ids):
             terms = names.dictionary
             row, term, tf, lengths = _per_document(docs.column("tokens").combine_chunks().take(order), terms)
             weight = np.zeros(len(terms))
-            pair_query, pair_term = ids.indices.to_numpy(), names.indices.to_numpy()
+            pair_query, pair_term = ids.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)
             weight[pair_term] = asked.column("idf").to_numpy()
             weights = weight[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * lengths[row] / avgdl))
-            for first in range(0, len(ids.dictionary), CELL_QUERIES):
-                here = np.flatnonzero((pair_query >= first) & (pair_query < first + CELL_QUERIES))
-                n = min(CELL_QUERIES, len(ids.dictionary) - first)
-                here = here[np.lexsort((pair_query[here], pair_term[here]))]
-                starts = np.searchsorted(pair_term[here], np.arange(len(terms) + 1))
-                best = BestPerQuery(k)
-                _add_scores(best, np.arange(len(doc_ids)), row, term, weights, pair_query[here] - first, starts, n)
-                if best.ids is not None:
-                    found.append((best.query + first, best.ids, best.scores))
-        query, place, scores = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            query, place, scores = _best_of_cell((row, term, weights), len(doc_ids), (pair_query, pair_term), len(ids.dictionary), len(terms), k)
         return pa.table({"query_id": ids.dictionary.take(pa.array(query)), "doc_id": doc_ids.take(order.take(pa.array(place))), "score": pa.array(scores)})
 
     return run
 
 
+def _best_of_cell(postings_: tuple, n: int, pairs: tuple, n_queries: int, n_terms: int, k: int) -> tuple:
+    """(query, document, score) of the best k of n documents for each query, by their numbers.
+
+    ``postings_``: (document, term, weight); ``pairs``: (query, term).  Terms that many queries and documents
+    share are a matrix product, first in single precision; what could by the bound of its error be among the best k
+    gets its score in double precision.  The other terms' weights are summed from their postings.
+    """
+    row, term, weight = postings_
+    pair_query, pair_term = pairs
+    by = np.argsort(term, kind="stable")
+    row, term, weight = row[by], term[by], weight[by]
+    starts = np.searchsorted(term, np.arange(n_terms + 1))
+    products = np.diff(starts) * np.bincount(pair_term, minlength=n_terms).astype(np.float64)
+    shared = np.argsort(-products, kind="stable")[:min(SHARED_TERMS, max(1, BLOCK_ENTRIES // n))]
+    shared = shared[products[shared] >= SHARED_LEAST * n * n_queries]
+    column = np.full(n_terms, -1)
+    column[shared] = np.arange(len(shared))
+    own = column[term] >= 0
+    matrix = np.zeros((n, len(shared)))
+    matrix[row[own], column[term[own]]] = weight[own]
+    single = np.ascontiguousarray(matrix.astype(np.float32).T)
+    by = np.argsort(pair_query, kind="stable")
+    pair_query, pair_term = pair_query[by], pair_term[by]
+    dense = column[pair_term] >= 0
+    dense_query, dense_column = pair_query[dense], column[pair_term[dense]]
+    rare_query, rare_term = pair_query[~dense], pair_term[~dense]
+    rare_term = [(a, z) for a, z in zip(starts[rare_term].tolist(), starts[rare_term + 1].tolist())]
+    found = []
+    step = max(1, min(CELL_QUERIES, BLOCK_ENTRIES // n))
+    for first in range(0, n_queries, step):
+        m = min(step, n_queries - first)
+        a, z = np.searchsorted(dense_query, (first, first + m))
+        # A pair that is given twice counts twice.
+        asked = np.bincount((dense_query[a:z] - first) * len(shared) + dense_column[a:z], minlength=m * len(shared)).reshape(m, len(shared)).astype(np.float64)
+        rest = np.zeros((m, n))
+        bounds = np.searchsorted(rare_query, np.arange(first, first + m + 1)).tolist()
+        for q in range(m):
+            own = [x for x in rare_term[bounds[q]:bounds[q + 1]] if x[0] < x[1]]
+            if own:
+                rest[q] = np.bincount(np.concatenate([row[x:y] for x, y in own]), np.concatenate([weight[x:y] for x, y in own]), n)
+        coarse = asked.astype(np.float32) @ single
+        coarse += rest
+        bar = np.partition(coarse, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.zeros(m)
+        # Error of a sum of single-precision products, none below 0, on both sides, and of the rounding of scores.
+        error = (len(shared) + 16) * 2.0 ** -23 * coarse.max(axis=1).astype(np.float64) + 4 * 10.0 ** -SCORE_DIGITS
+        bar = np.nextafter((bar - 2 * error).astype(np.float32), np.float32(-np.inf))
+        query, place = np.divmod(np.flatnonzero((coarse >= bar[:, None]) & (coarse > 0)), n)
+        best = BestPerQuery(k)
+        size = max(1, BLOCK_ENTRIES // 4 // max(1, len(shared)))
+        for at in range(0, len(query), size):
+            q, d = query[at:at + size], place[at:at + size]
+            scores = rest[q, d] + np.einsum("ij,ij->i", asked[q], matrix[d])
+            scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
+            keep = scores != 0
+            if keep.any():
+                best.add(q[keep], d[keep], scores[keep])
+        if best.ids is not None:
+            found.append((best.query + first, best.ids, best.scores))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _add_scores(best: BestPerQuery, ids: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,
                 by_term: np.ndarray, starts: np.ndarray, n_queries: int) -> None:
     """Offer the scores of (row, term, weight) triples; ``by_term`` lists the queries of each term."""

@@ -232,3 +232,40 @@ def test_cells_and_a_small_vocabulary_move_no_postings(spark, monkeypatch):
         assert "collect_list" not in plan and "FlatMapCoGroups" in plan
         assert sorted(map(tuple, have.collect())) == want and want
     assert lexical.search(queries, docs, 50, max_pairs=0).filter("doc_id is null").count() == 9
+
+
+def test_many_queries_are_not_scanned(spark, monkeypatch):
+    """What a scan keeps is sorted for every block, so many queries go through cells although their terms are few."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=rng.randint(0, 6))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = [(q, " ".join(rng.choices(["alpha", "beta", "omega", "nothing"], k=3))) for q in range(9)] + [(None, "gamma"), (3, "alpha delta")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    want = sorted(map(str, lexical.search(queries.filter("query_id is not null"), docs, 5).collect()))
+    monkeypatch.setattr(lexical, "MAX_SCANNED_QUERIES", 8)
+    monkeypatch.setattr(lexical, "_scores_by_scan", None)
+    have = lexical.search(queries, docs, 5).collect()
+    assert sorted(str(r) for r in have if r.query_id is not None) == want
+
+
+@pytest.mark.parametrize("least", [0, 1 / 50, 2])
+def test_best_of_a_cell(monkeypatch, least):
+    """Products of shared terms, sums of rare ones, or both: the best are those of the plain sums."""
+    monkeypatch.setattr(lexical, "SHARED_LEAST", least)
+    monkeypatch.setattr(lexical, "CELL_QUERIES", 7)
+    rng = np.random.default_rng(4)
+    n, n_queries, n_terms, k = 300, 30, 40, 6
+    weights = rng.random((n, n_terms)).round(2) * (rng.random((n, n_terms)) < rng.random(n_terms))
+    weights[50:80] = weights[20]  # ties
+    asked = (rng.random((n_queries, n_terms)) < 0.2) * 1
+    asked[3] *= 2  # pairs given twice
+    row, term = np.nonzero(weights)
+    pair_query, pair_term = (np.repeat(x, asked[asked > 0]) for x in np.nonzero(asked))
+    query, place, scores = lexical._best_of_cell((row, term, weights[row, term]), n, (pair_query, pair_term), n_queries, n_terms, k)
+    got = list(zip(query.tolist(), place.tolist(), scores.tolist()))
+    full = np.floor(asked @ weights.T * 1e6 + 0.5) / 1e6
+    want = []
+    for q in range(n_queries):
+        order = np.lexsort((np.arange(n), -full[q]))[:k]
+        want += [(q, d, full[q, d]) for d in order.tolist() if full[q, d] != 0]
+    assert got == want
