@@ -16,6 +16,8 @@ BROADCAST_BYTES = 8 << 20
 # Rows of either side of a cell, and the least number of cells that are worth a task each.
 CELL_ROWS, LEAST_CELLS = 32_768, 16
 SCORE_DIGITS = 6
+# Terms beyond this leave rounding errors that SCORE_DIGITS do not hide.
+LARGE_TERM = 1e6
 # Size of the score matrix a task holds at a time.
 BLOCK_ENTRIES = 4_000_000
 # Parts in which the tasks' best rows of a query are merged before the last step.
@@ -33,11 +35,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Rounded products; those with large terms add them in one order, whatever the matrices' shapes and the processor."""
+    scores = queries @ vectors.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = [np.abs(x).max(1, initial=0.0) for x in (queries, vectors)]
+        if most[0].max(initial=0.0) * most[1].max(initial=0.0) >= LARGE_TERM:
+            rows, columns = np.divmod(np.flatnonzero(np.multiply.outer(*most) >= LARGE_TERM), max(1, len(vectors)))
+            for a in range(0, len(rows), BLOCK_ENTRIES // 16):
+                r, c = rows[a:a + BLOCK_ENTRIES // 16], columns[a:a + BLOCK_ENTRIES // 16]
+                scores[r, c] = np.einsum("ij,ij->i", queries[r], vectors[c])
+    return np.round(scores, SCORE_DIGITS)
+
+
 def _scan(best: BestPerQuery, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
           min_score: float | None) -> None:
     step = max(1, BLOCK_ENTRIES // max(1, len(ids)))
     for start in range(0, len(queries), step):
-        scores = np.round(queries[start:start + step] @ vectors.T, SCORE_DIGITS)
+        scores = _scores(queries[start:start + step], vectors)
         keep = None if min_score is None else scores >= min_score
         best.add_matrix(start, ids, scores, keep)
 

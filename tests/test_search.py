@@ -269,3 +269,18 @@ def test_best_of_a_cell(monkeypatch, least):
         order = np.lexsort((np.arange(n), -full[q]))[:k]
         want += [(q, d, full[q, d]) for d in order.tolist() if full[q, d] != 0]
     assert got == want
+
+
+def test_scores_of_large_terms_do_not_depend_on_shapes():
+    import numpy as np
+    from lensmere.operators import dense
+
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(30, 37)), rng.normal(size=(60, 37))
+    q[3], v[5], v[6] = 1e200, 0.0, 1e200
+    q[4] *= 1e12
+    whole = dense._scores(q, v)
+    for i in range(len(q)):
+        assert (dense._scores(q[i:i + 1], v)[0] == whole[i]).all() and (dense._scores(q[i:], v[7:])[0] == whole[i, 7:]).all()
+    assert np.allclose(whole[:3, :5], np.round(q[:3] @ v[:5].T, 6)) and whole[3, 5] == 0 and np.isinf(whole[3, 6])
+    assert dense._scores(q[:0], v).shape == (0, 60)
