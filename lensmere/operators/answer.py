@@ -57,7 +57,8 @@ def answer_context(log: DataFrame, docs: DataFrame, embedder: Embedder,
     generated = hypothetical(F.col("query"))
     leaf = routed.withColumn("query", F.when(
         X.or_empty(generated) != "", F.concat("query", F.lit("\n"), generated)).otherwise(F.col("query")))
-    pool = routing.gather(leaf, docs, embedder)
+    # A few rows per conversation, read for the passages and for their count.
+    pool = routing.gather(leaf, docs, embedder).persist()
     texts = join_pool(pool, docs.select("doc_id", "text", "source"), asked, routing.POOLED)
     found = texts.select(
         "query_id", F.col("place").alias("rank"), "text", "source", F.lit(1).alias("tier"))

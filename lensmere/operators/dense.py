@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from lensmere.functions import vectors as V
 from lensmere.operators.pools import join_pool
 from lensmere.operators.topk import BestPerQuery
+from lensmere.session import free_memory
+from lensmere.tables import even_keys
 
 # Query vectors up to this many bytes travel to every task; more meet the corpus in cells.
 BROADCAST_BYTES = 8 << 20
-# Rows of either side of a cell, and the least number of cells that are worth a task each.
-CELL_ROWS, LEAST_CELLS = 32_768, 16
+# Corpus rows and queries of a cell, fewer where vectors are so long that either would take more bytes.
+CELL_ROWS, BLOCK_QUERIES, CELL_BYTES = 98_304, 32_768, 48 << 20
+# Cells that are worth a task each at least, in all and per core, and the bytes in a shuffle of a row that is found.
+LEAST_CELLS, CELLS_A_CORE, FOUND_BYTES = 12, 2, 15
 SCORE_DIGITS = 6
 # Terms beyond this leave rounding errors that SCORE_DIGITS do not hide.
 LARGE_TERM = 1e6
@@ -58,7 +62,7 @@ def _scan(best: BestPerQuery, queries: np.ndarray, ids: np.ndarray, vectors: np.
 
 
 # Sizes of the matrices of a cell: queries and rows at a time, and the rows that give the first floor.
-CELL_QUERIES, CELL_COLUMNS, FIRST_COLUMNS = 512, 2_048, 1_024
+CELL_QUERIES, CELL_COLUMNS, FIRST_COLUMNS = 512, 8_192, 1_024
 
 
 def _best_of_cell(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float | None):
@@ -94,12 +98,15 @@ def _best_of_cell(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k:
                 bar = np.nextafter(bar.astype(np.float32), np.float32(-np.inf))
                 wide = sq @ single_v[at:end].T >= bar[:, None]
                 rows, columns = np.divmod(np.flatnonzero(wide), wide.shape[1])
-                for a in range(0, len(rows), BLOCK_ENTRIES // 16):
-                    r, c = rows[a:a + BLOCK_ENTRIES // 16], columns[a:a + BLOCK_ENTRIES // 16] + at
+                better = []
+                step = max(1, BLOCK_ENTRIES // 8 // max(1, q.shape[1]))  # both sides' vectors are copied
+                for a in range(0, len(rows), step):
+                    r, c = rows[a:a + step], columns[a:a + step] + at
                     scores = np.round(np.einsum("ij,ij->i", q[r], vectors[c]), SCORE_DIGITS)
                     keep = scores >= floor[r]
-                    if keep.any():
-                        best.add(r[keep], ids[c[keep]], scores[keep])
+                    better.append((r[keep], ids[c[keep]], scores[keep]))
+                if sum(len(x[0]) for x in better):
+                    best.add(*(np.concatenate(x) for x in zip(*better)))
             at = end
         if best.ids is not None:
             out.append((best.query + start, best.ids, best.scores))
@@ -142,6 +149,19 @@ def _usable(vectors: DataFrame) -> DataFrame:
         F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
 
 
+def _complete(rows):
+    """:func:`_usable` of Arrow rows; as a filter of the DataFrame it would have a model make every vector twice."""
+    column = rows.column("embedding")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    holes = column.flatten().is_null()
+    if not column.null_count and not pa.compute.any(holes).as_py():
+        return rows
+    keep = column.is_valid().to_numpy(zero_copy_only=False).copy()
+    keep[pa.compute.list_parent_indices(column).filter(holes).to_numpy()] = False
+    return rows.filter(pa.array(keep))
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None,
            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Best k corpus rows per query by inner product.
@@ -155,15 +175,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | Non
     pair of blocks is a cell that one task searches.  Rows without a vector,
     or with a null in it, take no part.
     """
-    queries = _usable(queries.select("query_id", V.as_double(F.col("embedding")).alias("embedding")))
-    corpus = _usable(corpus.select("doc_id", V.as_double(F.col("embedding")).alias("embedding")))
+    queries = queries.select("query_id", V.as_double(F.col("embedding")).alias("embedding"))
+    corpus = corpus.select("doc_id", V.as_double(F.col("embedding")).alias("embedding"))
     out = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("doc_id", corpus.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    sample, _ = bounded_table(queries, broadcast_bytes)
+    sample, _ = bounded_table(_usable(queries), broadcast_bytes)
     if sample is None:
+        free_memory()
         found = _search_cells(queries, corpus, k, min_score, out)
     else:
         found = _search_broadcast(sample, corpus, k, min_score, out)
@@ -194,7 +215,8 @@ def _search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, min_score: f
         query_ids, matrix = shared.value
         best = BestPerQuery(k)
         schema = None
-        for batch in batches:
+        for whole in batches:
+            batch = _complete(whole)
             if batch.num_rows == 0 or len(query_ids) == 0:
                 continue
             schema = batch.schema.field("doc_id").type
@@ -217,36 +239,52 @@ def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, min_score: floa
     Every vector goes to as many cells as the other side has blocks.
     """
     spark = corpus.sparkSession
-    blocks = max(1, -(-queries.count() // CELL_ROWS))
-    shares = max(1, -(-corpus.count() // CELL_ROWS))
-    # Few large cells would leave cores idle.
-    while blocks * shares < max(LEAST_CELLS, 2 * spark.sparkContext.defaultParallelism):
-        blocks, shares = (blocks * 2, shares) if blocks <= shares else (blocks, shares * 2)
+    asked = queries.filter("embedding IS NOT NULL").first()
+    wide = 8 * max(1, len(asked["embedding"]) if asked else 1)
+    # Rows are counted without their vectors, which a model may have to make; those without one count as well.
+    n_queries, n_rows = (x.select(c).count() for x, c in ((queries, "query_id"), (corpus, "doc_id")))
+    most = max(1, CELL_BYTES // wide)
+    blocks = max(1, -(-n_queries // min(BLOCK_QUERIES, CELL_ROWS, most)))
+    shares = max(1, -(-n_rows // min(CELL_ROWS, most)))
+    # Few large cells would leave cores idle.  The corpus goes out once per block, queries and their best once per
+    # share; the cheaper grows.
+    while blocks * shares < max(LEAST_CELLS, CELLS_A_CORE * spark.sparkContext.defaultParallelism):
+        if blocks * n_rows * wide < shares * n_queries * (wide + k * FOUND_BYTES):
+            blocks += 1
+        else:
+            shares += 1
+
+    cells = even_keys(spark, blocks * shares)
+    keys = F.array(*[F.lit(x) for x in cells])
 
     def dealt(df: DataFrame, item: str, own: int, other: int, cell) -> DataFrame:
         # By id and vector, so that neither repeated ids nor repeated vectors meet in one block.
         block = F.pmod(F.xxhash64(item, "embedding"), F.lit(own)).cast("int")
         return df.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select(
-            cell.cast("int").alias("cell"), item, "embedding")
+            F.get(keys, cell).alias("cell"), item, "embedding").repartition(len(cells), "cell").groupBy("cell")
 
     asked = dealt(queries, "query_id", blocks, shares, F.col("_b") * shares + F.col("_o"))
     rows = dealt(corpus, "doc_id", shares, blocks, F.col("_o") * shares + F.col("_b"))
     kinds = {f.name: f.dataType.simpleString() for f in out}
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        ids, query_ids = c.column("doc_id").combine_chunks(), q.column("query_id").combine_chunks()
-        if not len(ids) or not len(query_ids):
-            return pa.table({"query_id": query_ids.slice(0, 0), "doc_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
-        # Rows by id, so that a place stands for its id, whatever its type; a null comes last.
-        order = pa.compute.sort_indices(ids)
-        vectors = _matrix(c.column("embedding"))[order.to_numpy()]
-        query, place, scores = _best_of_cell(_matrix(q.column("embedding")), np.arange(len(ids)), vectors, k, min_score)
-        return pa.table({"query_id": query_ids.take(pa.array(query)), "doc_id": ids.take(order.take(pa.array(place))), "score": pa.array(scores)})
-
-    # A task for each few cells, whatever their bytes.
-    n = min(blocks * shares, max(spark.sparkContext.defaultParallelism * 4, blocks))
-    return asked.repartition(n, "cell").groupBy("cell").cogroup(rows.repartition(n, "cell").groupBy("cell")).applyInArrow(
-        run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+        found = _best_of_tables(_complete(q), _complete(c), k, min_score)
+        free_memory()
+        return found
+
+    return asked.cogroup(rows).applyInArrow(
+        run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double").repartition("query_id")
+
+
+def _best_of_tables(q: pa.Table, c: pa.Table, k: int, min_score: float | None) -> pa.Table:
+    ids, query_ids = c.column("doc_id").combine_chunks(), q.column("query_id").combine_chunks()
+    if not len(ids) or not len(query_ids):
+        return pa.table({"query_id": query_ids.slice(0, 0), "doc_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+    # Rows by id, so that a place stands for its id, whatever its type; a null comes last.
+    order = pa.compute.sort_indices(ids)
+    vectors = _matrix(c.column("embedding"))[order.to_numpy()]
+    query, place, scores = _best_of_cell(_matrix(q.column("embedding")), np.arange(len(ids)), vectors, k, min_score)
+    return pa.table({"query_id": query_ids.take(pa.array(query)), "doc_id": ids.take(order.take(pa.array(place))), "score": pa.array(scores)})
 
 
 def exclude_categories(hits: DataFrame, attributes: DataFrame, excluded: list,

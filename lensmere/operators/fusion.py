@@ -27,7 +27,9 @@ def reciprocal_rank_fusion(lists: list, k: int = RRF_K) -> DataFrame:
         part = one.select("query_id", "doc_id", "rank", F.lit(number).alias("list_no"),
                           F.when(F.lit(number == 0), F.col("score")).alias("first"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    fused = tagged.groupBy("query_id", "doc_id").agg(
+    # One shuffle serves the sums and their order.  It also keeps Spark 4.1 from taking the lists' own partitioning for
+    # that of their union, which does not hold once the lists' shuffles are coalesced.
+    fused = tagged.repartition("query_id").groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 9).alias("score"),
         F.min(F.struct("list_no", "rank")).alias("first_seen"),
         F.max("first").alias("first_list_score"),

@@ -11,7 +11,8 @@ from lensmere.functions import text as X
 from lensmere.operators.dense import SCORE_DIGITS, merge, rank
 from lensmere.operators.running import running_count
 from lensmere.operators.topk import BestPerQuery
-from lensmere.tables import exists
+from lensmere.session import free_memory, staged
+from lensmere.tables import even_keys, exists
 
 # BM25 and vocabulary parameters.
 K1, B, VOCABULARY_CAP = 1.5, 0.75, 200_000
@@ -23,11 +24,16 @@ BLOCK_ENTRIES = 4_000_000
 MAX_SCANNED_QUERIES = 4_096
 # Terms of a vocabulary that may travel to every task.
 MAX_VOCABULARY = 500_000
-# (query, term) pairs and documents of a cell, and queries scored at a time in it.
-CELL_PAIRS, CELL_DOCS, CELL_QUERIES = 1_000_000, 8_192, 256
-# Terms of a cell that are scored by a matrix product at most, and the share of all its pairs of a query and
-# a document that a term must be found in for that.
-SHARED_TERMS, SHARED_LEAST = 512, 1 / 1_000
+# (query, term) pairs and queries of a block, documents and their postings of a share: a cell is one of each.
+CELL_PAIRS, BLOCK_QUERIES, CELL_DOCS, CELL_POSTINGS = 1_000_000, 32_768, 65_536, 6_000_000
+# Cells per core at least, and the bytes in a shuffle of a posting and of a row that is found.
+CELLS_A_CORE, POSTING_BYTES, FOUND_BYTES = 2, 5, 15
+# Documents of a cell that are scored first and then at a time, with at most so many postings; queries whose
+# best are put in order at a time.
+FIRST_DOCS, NEXT_DOCS, NEXT_POSTINGS, CELL_QUERIES = 2_048, 16_384, 1_000_000, 4_096
+# Terms that are looked up for the documents in question only: so many at most, each in that share of the
+# documents at least, and together below that share of what the query's last place needs.
+SHARED_TERMS, SHARED_LEAST, SHARED_WEIGHT = 256, 1 / 256, 0.5
 # (query, term) pairs of documents that a task spreads out at a time; each takes some 40 bytes.
 BLOCK_PRODUCTS = 1_000_000
 # Characters of a term that make its block where terms are numbered.
@@ -137,9 +143,12 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 50,
             toks = known.groupBy("_row", "doc_id").agg(
                 F.collect_list(F.when(F.col("known"), F.col("term"))).alias("tokens")).drop("_row")
         wanted = wanted.join(kept, "term", "left_semi").select("query_id", "term")
-    pairs = wanted.limit(max_pairs + 1).toArrow()
-    if pairs.num_rows > max_pairs or pc.count_distinct(pairs["query_id"], mode="all").as_py() > MAX_SCANNED_QUERIES:
-        return merge(_scores_by_cells(wanted, toks, k), k)
+    # Pairs come to the driver only if they may travel.
+    few = wanted.select("query_id").distinct().limit(MAX_SCANNED_QUERIES + 1).count() <= MAX_SCANNED_QUERIES
+    pairs = wanted.limit(max_pairs + 1).toArrow() if few else None
+    if pairs is None or pairs.num_rows > max_pairs:
+        # Each cell has its queries' best already, so they are put in order after the shuffle only.
+        return merge(_scores_by_cells(wanted, toks, k).repartition("query_id"), k)
     return merge(_scores_by_scan(pairs, toks, k, docs, queries), k)
 
 
@@ -167,110 +176,222 @@ def _restricted(toks: DataFrame, terms: pa.Array) -> DataFrame:
 
 
 def _scores_by_cells(wanted: DataFrame, toks: DataFrame, k: int) -> DataFrame:
-    """Best k documents per query and cell; the driver sees two counts and a mean."""
-    stats = corpus_stats(toks).first()
-    n_docs, avgdl = stats["n_docs"], float(stats["avgdl"])
-    blocks = max(1, -(-wanted.count() // CELL_PAIRS))
-    shares = max(1, -(-n_docs // CELL_DOCS))
-    df = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).join(
-        wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    """Best k documents per query and cell.
+
+    The driver sees counts and, while they are few, the terms that queries ask for; these travel as numbers.
+    Texts are read once: what a document has of the terms is written, and both the counts of documents and the
+    cells read that.
+    """
+    spark = toks.sparkSession
+    few = wanted.select("term").distinct().limit(MAX_VOCABULARY + 1).toArrow()
+    terms = None
+    if 0 < few.num_rows <= MAX_VOCABULARY:
+        terms = few["term"].combine_chunks().cast(pa.string())
+        numbers = spark.createDataFrame(pa.table({"term": terms, "_number": pa.array(np.arange(len(terms), dtype=np.int32))}))
+        wanted = wanted.join(numbers, "term").select("query_id", F.col("_number").alias("term"))
+    del few
+    counted = staged(_counted(toks, terms), "terms")
+    stats = counted.agg(F.count("*").alias("docs"), F.sum("length").alias("length"), F.sum(F.size("terms")).alias("postings")).first()
+    asked_for = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+    n_docs, postings_, queries = stats["docs"], stats["postings"] or 0, asked_for["queries"] + 1
+    avgdl = ((stats["length"] or 0) / n_docs if n_docs else 0.0) or 1.0
+    blocks = max(1, -(-asked_for["pairs"] // CELL_PAIRS), -(-queries // BLOCK_QUERIES))
+    shares = max(1, -(-n_docs // CELL_DOCS), -(-postings_ // CELL_POSTINGS))
+    # Documents go out once per block and a query's best once per share; the cheaper grows.
+    while blocks * shares < CELLS_A_CORE * spark.sparkContext.defaultParallelism:
+        if blocks * postings_ * POSTING_BYTES < shares * queries * k * FOUND_BYTES:
+            blocks += 1
+        else:
+            shares += 1
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(df, "term").select("query_id", "term", idf(F.lit(n_docs), F.col("df")).alias("idf"))
     n = blocks * shares
+    keys = F.array(*[F.lit(x) for x in even_keys(spark, n)])
 
     def dealt(table: DataFrame, block: Column, own: int, other: int, cell: Column, columns: list) -> DataFrame:
         return table.withColumn("_b", F.pmod(block, F.lit(own)).cast("int")).withColumn(
             "_o", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select(
-            cell.cast("int").alias("cell"), *columns).repartition(n, "cell").groupBy("cell")
+            F.get(keys, cell).alias("cell"), *columns).repartition(n, "cell").groupBy("cell")
 
     # A query's terms stay together; a document's block is that of its id and words, as ids may repeat.
     asked = dealt(weighted, F.xxhash64("query_id"), blocks, shares, F.col("_b") * shares + F.col("_o"), ["query_id", "term", "idf"])
-    rows = dealt(toks, F.xxhash64("doc_id", "tokens"), shares, blocks, F.col("_o") * shares + F.col("_b"), ["doc_id", "tokens"])
+    rows = dealt(counted, F.xxhash64("doc_id", "terms", "tf"), shares, blocks, F.col("_o") * shares + F.col("_b"), ["doc_id", "terms", "tf", "length"])
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((wanted, "query_id"), (toks, "doc_id"))]
     return asked.cogroup(rows).applyInArrow(_cell_scorer(k, avgdl), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
 
+def _counted(toks: DataFrame, terms: pa.Array | None) -> DataFrame:
+    """(doc_id, terms, tf, length): the distinct terms of a document, by their places in ``terms`` if given, which leaves out others."""
+    shared = None if terms is None else toks.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches):
+        for batch in batches:
+            column = batch.column("tokens")
+            known = pc.unique(column.flatten()).drop_null() if shared is None else shared.value
+            row, term, tf, lengths = _per_document(column, known)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lengths)))]).astype(np.int32))
+            term = known.take(pa.array(term)) if shared is None else pa.array(term.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.ListArray.from_arrays(offsets, term),
+                pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))), pa.array(lengths.astype(np.int64)),
+            ], names=["doc_id", "terms", "tf", "length"])
+        free_memory()
+
+    kind = toks.schema["doc_id"].dataType.simpleString()
+    return toks.select("doc_id", "tokens").mapInArrow(
+        count, f"doc_id {kind}, terms array<{'string' if terms is None else 'int'}>, tf array<int>, length bigint")
+
+
 def _cell_scorer(k: int, avgdl: float):
     def run(asked: pa.Table, docs: pa.Table) -> pa.Table:
-        doc_ids, query_ids = docs.column("doc_id").combine_chunks(), asked.column("query_id").combine_chunks()
-        # Rows by id, so that a place stands for its id, whatever its type.
-        order = pc.sort_indices(doc_ids)
-        ids = query_ids.dictionary_encode(null_encoding="encode")
-        names = asked.column("term").combine_chunks().dictionary_encode()
-        query, place, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        if len(doc_ids) and len(query_ids):
-            terms = names.dictionary
-            row, term, tf, lengths = _per_document(docs.column("tokens").combine_chunks().take(order), terms)
-            weight = np.zeros(len(terms))
-            pair_query, pair_term = ids.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)
-            weight[pair_term] = asked.column("idf").to_numpy()
-            weights = weight[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * lengths[row] / avgdl))
-            query, place, scores = _best_of_cell((row, term, weights), len(doc_ids), (pair_query, pair_term), len(ids.dictionary), len(terms), k)
-        return pa.table({"query_id": ids.dictionary.take(pa.array(query)), "doc_id": doc_ids.take(order.take(pa.array(place))), "score": pa.array(scores)})
+        found = _best_of_tables(asked, docs, k, avgdl)
+        free_memory()
+        return found
 
     return run
 
 
-def _best_of_cell(postings_: tuple, n: int, pairs: tuple, n_queries: int, n_terms: int, k: int) -> tuple:
-    """(query, document, score) of the best k of n documents for each query, by their numbers.
+def _best_of_tables(asked: pa.Table, docs: pa.Table, k: int, avgdl: float) -> pa.Table:
+    """(query_id, doc_id, score) of the best k documents of each query; a few documents at a time are scored."""
+    doc_ids, query_ids = docs.column("doc_id").combine_chunks(), asked.column("query_id").combine_chunks()
+    # Rows by id, so that a place stands for its id, whatever its type.
+    order = pc.sort_indices(doc_ids)
+    ids = query_ids.dictionary_encode(null_encoding="encode")
+    names = asked.column("term").combine_chunks().dictionary_encode()
+    terms, n_queries = names.dictionary, len(ids.dictionary)
+    weight = np.zeros(len(terms))
+    pairs = ids.indices.to_numpy(), names.indices.to_numpy()
+    weight[pairs[1]] = asked.column("idf").to_numpy()
+    by = np.argsort(pairs[0], kind="stable")
+    pairs = pairs[0][by], pairs[1][by]
+    lengths = docs.column("length").to_numpy()[order.to_numpy()]
+    sizes = pc.list_value_length(docs.column("terms")).combine_chunks().take(order).to_numpy().astype(np.int64)
+    upto = np.cumsum(sizes)
+    best = [BestPerQuery(k) for _ in range(0, n_queries, CELL_QUERIES)]
+    floor, first = np.zeros(n_queries), 0
+    while n_queries and first < len(doc_ids):
+        before = upto[first - 1] if first else 0
+        last = min(first + (NEXT_DOCS if first else FIRST_DOCS), int(np.searchsorted(upto, before + NEXT_POSTINGS, side="right")))
+        last = min(max(first + 1, last), len(doc_ids))
+        some = docs.select(["terms", "tf"]).take(order.slice(first, last - first))
+        held, counts = (some.column(c).combine_chunks().flatten() for c in ("terms", "tf"))
+        term = pc.fill_null(pc.index_in(held, value_set=terms), -1).to_numpy(zero_copy_only=False)
+        known = term >= 0
+        row = np.repeat(np.arange(last - first, dtype=np.int32), sizes[first:last])[known]
+        term, tf = term[known], counts.to_numpy()[known]
+        del some, held, counts, known
+        weights = weight[term]
+        weights *= tf
+        weights *= K1 + 1.0
+        weights /= tf + (K1 * (1.0 - B + B * lengths[first:last] / avgdl))[row]
+        postings_ = _by_term((row, term, weights), last - first, len(terms))
+        del row, term, tf, weights
+        for at, query, place, scores in _best_of_queries(postings_, last - first, pairs, n_queries, k, floor):
+            own = best[at // CELL_QUERIES]
+            own.add(query, place + first, scores)
+            count = np.bincount(own.query)
+            full = np.flatnonzero(count >= k)
+            floor[at + full] = own.scores[np.cumsum(count)[full] - 1]
+        del postings_
+        first = last
+    found = [pa.table({
+        "query_id": ids.dictionary.take(pa.array(own.query + i * CELL_QUERIES)), "doc_id": doc_ids.take(order.take(pa.array(own.ids))),
+        "score": pa.array(own.scores)}) for i, own in enumerate(best) if own.ids is not None]
+    return pa.concat_tables(found) if found else pa.table({"query_id": query_ids.slice(0, 0), "doc_id": doc_ids.slice(0, 0), "score": pa.array([], pa.float64())})
+
 
-    ``postings_``: (document, term, weight); ``pairs``: (query, term).  Terms that many queries and documents
-    share are a matrix product, first in single precision; what could by the bound of its error be among the best k
-    gets its score in double precision.  The other terms' weights are summed from their postings.
+def _by_term(postings_: tuple, n: int, n_terms: int) -> tuple:
+    """Documents and weights of each term, its greatest weight, and the terms that many documents hold as a matrix.
+
+    ``postings_``: (document, term, weight) of n documents.
     """
     row, term, weight = postings_
-    pair_query, pair_term = pairs
     by = np.argsort(term, kind="stable")
-    row, term, weight = row[by], term[by], weight[by]
-    starts = np.searchsorted(term, np.arange(n_terms + 1))
-    products = np.diff(starts) * np.bincount(pair_term, minlength=n_terms).astype(np.float64)
-    shared = np.argsort(-products, kind="stable")[:min(SHARED_TERMS, max(1, BLOCK_ENTRIES // n))]
-    shared = shared[products[shared] >= SHARED_LEAST * n * n_queries]
+    row, weight = row[by].astype(np.int64), weight[by]
+    starts = np.searchsorted(term[by], np.arange(n_terms + 1))
+    sizes = np.diff(starts)
+    held = sizes > 0
+    most = np.zeros(n_terms)
+    if held.any():
+        most[held] = np.maximum.reduceat(weight, starts[:-1][held])
+    shared = np.argsort(-sizes, kind="stable")[:SHARED_TERMS]
+    shared = shared[sizes[shared] >= max(1, SHARED_LEAST * n)]
     column = np.full(n_terms, -1)
     column[shared] = np.arange(len(shared))
-    own = column[term] >= 0
     matrix = np.zeros((n, len(shared)))
-    matrix[row[own], column[term[own]]] = weight[own]
-    single = np.ascontiguousarray(matrix.astype(np.float32).T)
-    by = np.argsort(pair_query, kind="stable")
-    pair_query, pair_term = pair_query[by], pair_term[by]
-    dense = column[pair_term] >= 0
-    dense_query, dense_column = pair_query[dense], column[pair_term[dense]]
-    rare_query, rare_term = pair_query[~dense], pair_term[~dense]
-    rare_term = [(a, z) for a, z in zip(starts[rare_term].tolist(), starts[rare_term + 1].tolist())]
-    found = []
-    step = max(1, min(CELL_QUERIES, BLOCK_ENTRIES // n))
-    for first in range(0, n_queries, step):
-        m = min(step, n_queries - first)
-        a, z = np.searchsorted(dense_query, (first, first + m))
-        # A pair that is given twice counts twice.
-        asked = np.bincount((dense_query[a:z] - first) * len(shared) + dense_column[a:z], minlength=m * len(shared)).reshape(m, len(shared)).astype(np.float64)
-        rest = np.zeros((m, n))
-        bounds = np.searchsorted(rare_query, np.arange(first, first + m + 1)).tolist()
+    for t in shared.tolist():
+        a, z = starts[t:t + 2]
+        matrix[row[a:z], column[t]] = weight[a:z]
+    rows, weights = ([x[a:z] for a, z in zip(starts[:-1].tolist(), starts[1:].tolist())] for x in (row, weight))
+    return rows, weights, most, column, matrix
+
+
+def _best_of_queries(by_term: tuple, n: int, pairs: tuple, n_queries: int, k: int, floor: np.ndarray):
+    """(first query, queries from there, documents, scores) of the best k of n documents, a few queries at a time.
+
+    ``pairs``: (query, term) by query, where a pair that is given twice counts twice.  ``floor`` has the score that a
+    document must reach for each query, 0 where all may count.  Weights of a query's terms that many documents hold
+    are not summed as long as these terms' greatest weights together stay well below the floor: a document that lacks
+    all other terms cannot reach it, so they are looked up only for documents that with them could.  All scores are
+    whole sums in double precision.
+    """
+    rows, weights, most, column, matrix = by_term
+    for first in range(0, n_queries, CELL_QUERIES):
+        m = min(CELL_QUERIES, n_queries - first)
+        a, z = np.searchsorted(pairs[0], (first, first + m))
+        query, term = pairs[0][a:z] - first, pairs[1][a:z]
+        held = most[term] > 0
+        query, term = query[held], term[held]
+        low = floor[first:first + m]
+        # A query's terms by their greatest weights: the first of the shared ones can wait.
+        by = np.lexsort((most[term], query))
+        query, term = query[by], term[by]
+        later = column[term] >= 0
+        bound = np.where(later, most[term], 0.0)
+        upto = np.concatenate([[0.0], np.cumsum(bound)])
+        later &= upto[1:] - upto[np.searchsorted(query, np.arange(m))][query] <= SHARED_WEIGHT * low[query]
+        rest = np.bincount(query[later], bound[later], m)
+        # Scores are rounded, so less by half a unit may do; sums in another order differ by far less than that.
+        bar = np.maximum(low - rest * (1 + 1e-9) - 10.0 ** -SCORE_DIGITS, np.finfo(np.float64).tiny).tolist()
+        now_from, later_from = (np.searchsorted(query[x], np.arange(m + 1)).tolist() for x in (~later, later))
+        now, columns = term[~later].tolist(), column[term[later]]
+        found = []
         for q in range(m):
-            own = [x for x in rare_term[bounds[q]:bounds[q + 1]] if x[0] < x[1]]
-            if own:
-                rest[q] = np.bincount(np.concatenate([row[x:y] for x, y in own]), np.concatenate([weight[x:y] for x, y in own]), n)
-        coarse = asked.astype(np.float32) @ single
-        coarse += rest
-        bar = np.partition(coarse, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.zeros(m)
-        # Error of a sum of single-precision products, none below 0, on both sides, and of the rounding of scores.
-        error = (len(shared) + 16) * 2.0 ** -23 * coarse.max(axis=1).astype(np.float64) + 4 * 10.0 ** -SCORE_DIGITS
-        bar = np.nextafter((bar - 2 * error).astype(np.float32), np.float32(-np.inf))
-        query, place = np.divmod(np.flatnonzero((coarse >= bar[:, None]) & (coarse > 0)), n)
-        best = BestPerQuery(k)
-        size = max(1, BLOCK_ENTRIES // 4 // max(1, len(shared)))
-        for at in range(0, len(query), size):
-            q, d = query[at:at + size], place[at:at + size]
-            scores = rest[q, d] + np.einsum("ij,ij->i", asked[q], matrix[d])
+            own = now[now_from[q]:now_from[q + 1]]
+            if not own:
+                continue
+            sums = np.bincount(np.concatenate([rows[t] for t in own]), np.concatenate([weights[t] for t in own]), n)
+            place = (sums >= bar[q]).nonzero()[0]
+            scores = sums[place]
+            a, z = later_from[q:q + 2]
+            if a < z:
+                scores += matrix[place[:, None], columns[a:z]].sum(axis=1)
             scores = np.floor(scores * 10.0 ** SCORE_DIGITS + 0.5) / 10.0 ** SCORE_DIGITS
-            keep = scores != 0
-            if keep.any():
-                best.add(q[keep], d[keep], scores[keep])
-        if best.ids is not None:
-            found.append((best.query + first, best.ids, best.scores))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*found))
+            last = low[q]
+            if len(scores) > k:
+                last = max(last, np.partition(scores, len(scores) - k)[len(scores) - k])
+            keep = ((scores >= last) & (scores != 0)).nonzero()[0]
+            if len(keep) > k:  # of those with the last score the first
+                above = scores[keep] > last
+                keep = np.concatenate([keep[above], keep[~above][:k - above.sum()]])
+            if len(keep):
+                found.append((np.full(len(keep), q), place[keep], scores[keep]))
+        if found:
+            yield first, *(np.concatenate(x) for x in zip(*found))
+
+
+def _best_of_cell(postings_: tuple, n: int, pairs: tuple, n_queries: int, n_terms: int, k: int, floor: np.ndarray | None = None) -> tuple:
+    """(query, document, score) of the best k of n documents for each query, by their numbers.
+
+    ``postings_``: (document, term, weight); ``pairs`` and ``floor`` as in :func:`_best_of_queries`.
+    """
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    floor = np.zeros(n_queries) if floor is None else floor
+    for first, *found in _best_of_queries(_by_term(postings_, n, n_terms), n, pairs, n_queries, k, floor):
+        best = BestPerQuery(k)
+        best.add(*found)
+        out.append((best.query + first, best.ids, best.scores))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _add_scores(best: BestPerQuery, ids: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lensmere.functions import text as X
+from lensmere.session import free_memory
 
 EMBEDDING_DIM = 64
 
@@ -51,6 +52,8 @@ def hashing_embedder(dim: int = EMBEDDING_DIM, stopwords: list | None = None) ->
         lengths2 = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         lengths2[lengths2 == 0] = 1.0
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+        del coded, codes, rows
+        free_memory()
         return pa.ListArray.from_arrays(offsets, pa.array((sums / lengths2).ravel()))
 
     return lambda text: embed(X.index_tokens(X.or_empty(text), stopwords))

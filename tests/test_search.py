@@ -284,3 +284,84 @@ def test_scores_of_large_terms_do_not_depend_on_shapes():
         assert (dense._scores(q[i:i + 1], v)[0] == whole[i]).all() and (dense._scores(q[i:], v[7:])[0] == whole[i, 7:]).all()
     assert np.allclose(whole[:3, :5], np.round(q[:3] @ v[:5].T, 6)) and whole[3, 5] == 0 and np.isinf(whole[3, 6])
     assert dense._scores(q[:0], v).shape == (0, 60)
+
+
+@pytest.mark.parametrize("known", [500_000, 3])
+def test_cells_score_documents_a_few_at_a_time(spark, monkeypatch, known):
+    """Floors from earlier documents, terms that wait, ties, repeated and null ids; terms as numbers or, if too many, as they are."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(30)]
+    often = [1 / (1 + i) for i in range(30)]
+    texts = [" ".join(rng.choices(words, often, k=rng.randint(0, 25))) for _ in range(400)]
+    texts[60:90] = [texts[59]] * 30
+    docs = spark.createDataFrame([(i - (i % 10 == 9), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(q, " ".join(rng.sample(words, 8))) for q in range(40)], "query_id long, text string")
+    want = sorted(map(tuple, lexical.search(queries, docs, 6).collect()))
+    for name, value in {"MAX_VOCABULARY": known, "MAX_SCANNED_QUERIES": 8, "FIRST_DOCS": 20, "NEXT_DOCS": 50, "NEXT_POSTINGS": 300,
+                        "CELL_QUERIES": 7, "CELL_POSTINGS": 900, "BLOCK_QUERIES": 25}.items():
+        monkeypatch.setattr(lexical, name, value)
+    assert sorted(map(tuple, lexical.search(queries, docs, 6).collect())) == want and len(want) == 240
+    none = spark.createDataFrame([(None, t) for t in texts[:9]], "doc_id long, text string")
+    assert lexical.search(queries, docs.unionByName(none), 500).filter("doc_id is null").count() > 0
+
+
+def test_best_of_a_cell_above_a_floor(monkeypatch):
+    """A floor leaves out documents below it and nothing else, whatever terms wait."""
+    rng = np.random.default_rng(9)
+    n, n_queries, n_terms, k = 400, 30, 40, 6
+    weights = rng.random((n, n_terms)) * (rng.random((n, n_terms)) < rng.random(n_terms) ** 2) * np.linspace(3, 0.1, n_terms)
+    asked = (rng.random((n_queries, n_terms)) < 0.3) * 1
+    row, term = np.nonzero(weights)
+    pairs = tuple(np.repeat(x, asked[asked > 0]) for x in np.nonzero(asked))
+    call = lambda floor: lexical._best_of_cell((row, term, weights[row, term]), n, pairs, n_queries, n_terms, k, floor)
+    full = list(zip(*(x.tolist() for x in call(None))))
+    for share in (0.5, 0.999, 1):
+        floor = np.zeros(n_queries)
+        for q in range(0, n_queries, 2):
+            floor[q] = share * min(s for a, _, s in full if a == q)
+        assert list(zip(*(x.tolist() for x in call(floor)))) == full
+        high = floor * 1.2
+        assert list(zip(*(x.tolist() for x in call(high)))) == [x for x in full if x[2] >= high[x[0]]]
+
+
+def test_cells_read_texts_once(spark):
+    """Tokens and vectors are costly to make: counting for cells and cutting them takes no further pass."""
+    from pyspark.sql.functions import col, udf
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @udf("string")
+    def text(i):
+        seen.add(1)
+        return f"w{i % 7} w{i % 5}"
+
+    @udf("array<double>")
+    def vector(i):
+        seen.add(1)
+        return [1.0, float(i % 7)]
+
+    queries = spark.createDataFrame([(q, f"w{q}", [1.0, float(q)]) for q in range(6)], "query_id long, text string, embedding array<double>")
+    docs = spark.range(200, numPartitions=4).select(col("id").alias("doc_id"), text("id").alias("text"))
+    assert lexical.search(queries, docs, 5, max_pairs=0).count() == 30 and seen.value == 200
+    seen.value = 0
+    vectors = spark.range(200, numPartitions=4).select(col("id").alias("doc_id"), vector("id").alias("embedding"))
+    assert dense.search(queries, vectors, 5, broadcast_bytes=16).count() == 30 and seen.value == 200
+
+
+def test_fused_lists_hold_a_document_once(spark):
+    """Each list comes in partitions of its own query ids; their union does not."""
+    rows = spark.range(4000).selectExpr("id % 400 AS query_id", "id DIV 400 AS doc_id", "1.0D / (1 + id DIV 400) AS score")
+    lists = [dense.rank(rows, 8), dense.rank(rows.selectExpr("query_id", "doc_id", "-score AS score"), 8)]
+    got = fusion.reciprocal_rank_fusion(lists)
+    assert got.groupBy("query_id").count().filter("count <> 10").count() == 0
+    assert got.groupBy("query_id", "doc_id").count().filter("count > 1").count() == 0
+    key = got.groupBy("query_id").count().join(spark.range(400).withColumnRenamed("id", "query_id"), "query_id")
+    assert key.count() == 400 and got.count() == 4000
+
+
+def test_even_keys(spark):
+    from lensmere.tables import even_keys
+
+    keys = even_keys(spark, 13)
+    parts = spark.createDataFrame([(x,) for x in keys], "k int").repartition(13, "k").selectExpr("spark_partition_id() AS p")
+    assert len(set(keys)) == 13 and parts.distinct().count() == 13
