@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from lensmere.functions import vectors as V
 from lensmere.operators.pools import join_pool
 from lensmere.operators.topk import BestPerQuery
-from lensmere.session import free_memory
+from lensmere.session import SENT_AFTER, free_memory
 from lensmere.tables import even_keys
 
 # Query vectors up to this many bytes travel to every task; more meet the corpus in cells.
@@ -269,7 +269,7 @@ def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, min_score: floa
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         found = _best_of_tables(_complete(q), _complete(c), k, min_score)
-        free_memory()
+        free_memory(SENT_AFTER)
         return found
 
     return asked.cogroup(rows).applyInArrow(

@@ -11,7 +11,7 @@ from lensmere.functions import text as X
 from lensmere.operators.dense import SCORE_DIGITS, merge, rank
 from lensmere.operators.running import running_count
 from lensmere.operators.topk import BestPerQuery
-from lensmere.session import free_memory, staged
+from lensmere.session import SENT_AFTER, free_memory, staged
 from lensmere.tables import even_keys, exists
 
 # BM25 and vocabulary parameters.
@@ -25,12 +25,12 @@ MAX_SCANNED_QUERIES = 4_096
 # Terms of a vocabulary that may travel to every task.
 MAX_VOCABULARY = 500_000
 # (query, term) pairs and queries of a block, documents and their postings of a share: a cell is one of each.
-CELL_PAIRS, BLOCK_QUERIES, CELL_DOCS, CELL_POSTINGS = 1_000_000, 32_768, 65_536, 6_000_000
+CELL_PAIRS, BLOCK_QUERIES, CELL_DOCS, CELL_POSTINGS = 1_000_000, 32_768, 65_536, 4_000_000
 # Cells per core at least, and the bytes in a shuffle of a posting and of a row that is found.
 CELLS_A_CORE, POSTING_BYTES, FOUND_BYTES = 2, 5, 15
 # Documents of a cell that are scored first and then at a time, with at most so many postings; queries whose
 # best are put in order at a time.
-FIRST_DOCS, NEXT_DOCS, NEXT_POSTINGS, CELL_QUERIES = 2_048, 16_384, 1_000_000, 4_096
+FIRST_DOCS, NEXT_DOCS, NEXT_POSTINGS, CELL_QUERIES = 2_048, 16_384, 800_000, 4_096
 # Terms that are looked up for the documents in question only: so many at most, each in that share of the
 # documents at least, and together below that share of what the query's last place needs.
 SHARED_TERMS, SHARED_LEAST, SHARED_WEIGHT = 256, 1 / 256, 0.5
@@ -245,7 +245,7 @@ def _counted(toks: DataFrame, terms: pa.Array | None) -> DataFrame:
 def _cell_scorer(k: int, avgdl: float):
     def run(asked: pa.Table, docs: pa.Table) -> pa.Table:
         found = _best_of_tables(asked, docs, k, avgdl)
-        free_memory()
+        free_memory(SENT_AFTER)
         return found
 
     return run
